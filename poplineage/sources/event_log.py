@@ -39,10 +39,10 @@ def read_log_csv(spark: SparkSession, path: str, cut_off: bool = False) -> DataF
     return with_source(reader.csv(path))
 
 
-def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+def malformed_rows(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """The lines that ``read_log_csv`` drops."""
     schema = T.StructType([*EVENT_LOG.fields, T.StructField(_CORRUPT, T.StringType())])
-    rows = _csv(spark, "PERMISSIVE").schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
+    rows = _csv(spark, "PERMISSIVE", header).schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
     # Stored with all columns: Spark refuses to read the raw line of a text file alone.
     return pin(rows.filter(F.col(_CORRUPT).isNotNull()), "malformed").select(_CORRUPT)
 
