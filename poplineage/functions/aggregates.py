@@ -45,7 +45,8 @@ def bin_number(value: Column, bins: int, clamp: bool = True) -> Column:
     if clamp:
         scaled = value.cast("float") * F.lit(bins).cast("float")
         bounded = F.least(F.greatest(scaled, F.lit(0.0)), F.lit(float(bins - 1)))
-        return F.when(F.isnan(value), F.lit(0)).otherwise(F.floor(bounded).cast("int"))
+        # Said for each case: greatest and least pass over nulls.
+        return F.when(F.isnan(value), F.lit(0)).when(value.isNotNull(), F.floor(bounded).cast("int"))
     value = value.cast("double")
     # One step past the estimate and back: edges are i/bins in double precision.
     guess = F.floor(F.when((value >= 0) & (value < 1), value) * bins).cast("int")

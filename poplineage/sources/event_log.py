@@ -36,14 +36,16 @@ def read_log_csv(spark: SparkSession, path: str, cut_off: bool = False) -> DataF
     reader = _csv(spark, "DROPMALFORMED").schema(EVENT_LOG)
     if cut_off:
         reader = reader.option("ignoreCorruptFiles", True)
-    return with_source(reader.csv(path))
+    # Always true, but it needs all columns: a field is checked only if it is asked for.
+    whole = F.xxhash64(*EVENT_LOG.names) >= F.lit(-(1 << 63))
+    return with_source(reader.csv(path)).filter(whole)
 
 
 def malformed_rows(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """The lines that ``read_log_csv`` drops."""
     schema = T.StructType([*EVENT_LOG.fields, T.StructField(_CORRUPT, T.StringType())])
     rows = _csv(spark, "PERMISSIVE", header).schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
-    # Stored with all columns: Spark refuses to read the raw line of a text file alone.
+    # Stored with all columns: a field is checked only if it is asked for.
     return pin(rows.filter(F.col(_CORRUPT).isNotNull()), "malformed").select(_CORRUPT)
 
 
