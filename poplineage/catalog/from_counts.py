@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import weighted_avg, weighted_stddev
+from ..functions.aggregates import fractions, weighted_avg, weighted_stddev
 from ..operators import muller, stats
 from ..runtime import pin
 from ..schemas import PARAM_COLUMNS, PARAMS
@@ -120,7 +120,7 @@ def histogram_struct(spark, folder):
 )
 def histogram_fractions(spark, folder):
     arrays = stats.histogram_arrays(stats.histograms(clone_counts(spark, folder)))
-    shares = arrays.select("timePoint", "parameter", F.posexplode(stats.fractions("histogram")).alias("bin", "f"))
+    shares = arrays.select("timePoint", "parameter", F.posexplode(fractions(F.col("histogram"))).alias("bin", "f"))
     return shares.select("timePoint", "parameter", "bin", rounded("f", "fraction"))
 
 

@@ -25,10 +25,15 @@ def chronicle(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def snapshot_table(spark: SparkSession, folder: str, **options) -> DataFrame:
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     return snapshots.clone_snapshots(cells, snapshots.time_grid(cells), **options)
 
 
+def stored_chronicle(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, for queries that read it more than once."""
+    return pin(chronicle(spark, folder), "chronicles")
+
+
 LIFETIME = ("particleId", "parentId", "birthTime", "deathTime", "mutationId")
 _CHRON_COLUMNS = "particleId, parentId, birthTime, deathTime, mutationId, x, y, z"
 
@@ -153,7 +158,7 @@ def snapshot_at(spark, folder):
     join points on birthTime < t and t < deathTime""",
 )
 def snapshot_open(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     rows = snapshots.cells_by_time(cells, snapshots.time_grid(cells), bounds="open")
     return rows.select("timePoint", "particleId", "parentId")
 
@@ -164,14 +169,14 @@ def snapshot_open(spark, folder):
       floor(greatest(0, birthTime))::int, floor(least(m, deathTime))::int + 1))::int as timePoint from chron, last""",
 )
 def snapshot_closed_int(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     rows = snapshots.cells_by_time(cells, snapshots.time_grid(cells), bounds="closed_int")
     return rows.select("particleId", "parentId", "timePoint")
 
 
 @query("cells_by_time", f"with {S.CHRON}, {S.POINTS}, {S.COVERED} select timePoint, particleId, parentId from covered")
 def cells_by_time(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     rows = snapshots.cells_by_time(cells, snapshots.time_grid(cells))
     return rows.select("timePoint", "particleId", "parentId")
 
@@ -231,7 +236,7 @@ def clone_snapshot_at(spark, folder):
     {", ".join(f"round(p{i}::double, 6) as {c}" for i, c in enumerate(PARAM_COLUMNS))} from snaps""",
 )
 def mutation_snapshots(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     rows = snapshots.mutation_snapshots(snapshots.cells_by_time(cells, snapshots.time_grid(cells)))
     return rows.select("timePoint", "mutationId", "count", *[rounded(c, c) for c in PARAM_COLUMNS])
 
@@ -260,7 +265,7 @@ def final_cells(spark, folder):
     f"with {S.SNAPS} select mutationId, count from snaps where abs(timePoint - (select m from last)) < 0.001",
 )
 def clones_at_last(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     grid = snapshots.time_grid(cells)
     clones = snapshots.clones_at(snapshots.clone_snapshots(cells, grid), grid.last)
     return clones.select("mutationId", "count")
@@ -295,7 +300,7 @@ def _part_sql(member: str) -> str:
 
 
 def _part(spark: SparkSession, folder: str, which: int) -> DataFrame:
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     clones = snapshots.clone_snapshots(cells, snapshots.time_grid(cells))
     part = stats.major_and_noise(clones, pin(muller.large_clones(cells, LARGE), "large"))[which]
     scalars = stats.flat_scalars(stats.scalar_stats(part))
@@ -324,7 +329,7 @@ def noise_stats(spark, folder):
     from (select *, {S.params()} from tree)""",
 )
 def tree(spark, folder):
-    edges = phylogeny.mutation_tree(chronicle(spark, folder))
+    edges = phylogeny.mutation_tree(stored_chronicle(spark, folder))
     return edges.select(
         "mutationId", "parentMutationId", "time", *[rounded(f"cellParams.{p}", p) for p in PARAMS]
     )
@@ -338,7 +343,7 @@ def tree(spark, folder):
     select mutationId, parentMutationId from tree where mutationId not in (select id from reached)""",
 )
 def disconnected(spark, folder):
-    links = pin(phylogeny.mutation_tree(chronicle(spark, folder)), "links")
+    links = pin(phylogeny.mutation_tree(stored_chronicle(spark, folder)), "links")
     return phylogeny.disconnected(links).select("mutationId", "parentMutationId")
 
 
@@ -359,6 +364,6 @@ _SHOWN = "case when size < 125 then 0 else mutationId end"
 )
 def muller_cume_dist(spark, folder):
     paths = phylogeny.lineages(mutation_tree(spark, folder))
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     shares = muller.muller_data(cells, paths, snapshots.time_grid(cells), min_cells=LARGE)
     return shares.select("mutationId", "timePoint", rounded("cumeDist", "cumeDist"))

@@ -12,7 +12,7 @@ from ..runtime import scratch_path
 from ..schemas import EVENT_LOG, PARAM_COLUMNS, PARAMS, require_not_null
 from ..sources import event_log, snapshot_text, tables
 from . import sql_views as S
-from .from_events import chronicle
+from .from_events import chronicle, stored_chronicle
 from .from_tree import paths_of
 from .registry import plain, query, rounded
 from .views import cell_events, clone_counts, mutation_tree
@@ -215,7 +215,7 @@ def appended_lineages(spark, folder):
       on birthTime < t and t < deathTime group by 1""",
 )
 def snapshot_files(spark, folder):
-    cells = chronicle(spark, folder)
+    cells = stored_chronicle(spark, folder)
     path = scratch_path(spark, "snapshots")
     tables.write_snapshot_folders(cells, path, snapshots.max_time(cells))
     schema = "particleId bigint, parentId bigint, birthTime double, deathTime double, x float, y float, z float, mutationId bigint"
@@ -273,6 +273,6 @@ def not_null_rows(spark, folder):
 )
 def connected_lineages(spark, folder):
     """Paths of the mutations that the events connect to the first one."""
-    links = phylogeny.mutation_tree(chronicle(spark, folder))
+    links = phylogeny.mutation_tree(stored_chronicle(spark, folder))
     paths = phylogeny.lineages(links, strict=False)
     return paths.select("mutationId", F.size("ancestors").alias("depth"))

@@ -1,6 +1,6 @@
 """Column functions: event kinds, weighted aggregates, intervals over time points."""
 
-from .aggregates import bin_number, dense_counts, shannon_term, weighted_avg, weighted_stddev
+from .aggregates import bin_number, dense_counts, fractions, shannon_term, weighted_avg, weighted_stddev
 from .intervals import TimeGrid
 from .kinds import CREATED, REMOVED, TRANSFORMED, kind_code, kind_label
 
@@ -11,6 +11,7 @@ __all__ = [
     "TimeGrid",
     "bin_number",
     "dense_counts",
+    "fractions",
     "kind_code",
     "kind_label",
     "shannon_term",

@@ -62,9 +62,23 @@ def dense_counts(bin_: Column, count: Column, bins: int) -> Column:
 
     At most ``bins`` pairs are gathered per group, so pre-aggregate by bin first.
     """
-    pairs = F.collect_list(F.when(bin_.isNotNull(), F.struct(bin_, count)))
-    held = F.map_from_entries(pairs)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("long")),
+    pairs = F.array_sort(F.collect_list(F.when(bin_.isNotNull(), F.struct(bin_.alias("bin"), count.alias("count")))))
+    before = F.concat(F.array(F.lit(-1)), F.transform(pairs, lambda p: p["bin"]))
+    nothing = F.array().cast("array<bigint>")
+
+    def filled(pair: Column, last: Column) -> Column:
+        gap = F.coalesce(pair["bin"], F.lit(bins)) - last - 1
+        zeros = F.array_repeat(F.lit(0).cast("long"), gap)
+        return F.concat(zeros, F.when(pair.isNull(), nothing).otherwise(F.array(pair["count"])))
+
+    # One step longer than the pairs: the last one fills up to the end.
+    return F.flatten(F.zip_with(pairs, before, filled))
+
+
+def fractions(counts: Column) -> Column:
+    """The array divided by its sum; null shares where the sum is 0."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    # Repeated beside the counts, because inside the function it would be summed for each of them.
+    return F.zip_with(
+        counts, F.array_repeat(total, F.size(counts)), lambda n, t: F.try_divide(n.cast("double"), t)
     )

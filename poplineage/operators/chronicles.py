@@ -11,7 +11,7 @@ from ..functions.kinds import CREATED, REMOVED
 from ..runtime import pin
 from ..schemas import CHRONICLE
 from .events import event_groups, initial_events, initial_size, numbered_cells
-from .ordered import CHUNK_BITS, with_neighbours
+from .ordered import CHUNK_BITS, hot_groups, with_neighbours
 
 PLUS_INF = float("inf")
 
@@ -85,6 +85,9 @@ def chronicles(
     hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """From ordered events to lifetimes with parents."""
+    if hot is None:
+        # Found here, where it costs one pass over the positions and no grouping.
+        hot = hot_groups(events, [*keys, "position"], bits)
     grouped = event_groups(events, keys, strict, bits)
     linear = linear_chronicles(grouped, initial, keys, parent_rule, bits, hot)
     needed = [*keys, "eventId", *CHRONICLE.names]

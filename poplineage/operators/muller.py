@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
-from ..runtime import pin, small_side
+from ..runtime import pin, small_side, small_table
 from .ordered import CHUNK_BITS, numbered, running_sum
 from .snapshots import clone_snapshots, earliest_params
 from .stats import count_fractions
@@ -113,7 +113,7 @@ def muller_data(
         "__place", F.coalesce("ordering", F.lit(-1).cast("long"))
     )
     placed = pin(placed, "placed")
-    totals = small_side(pin(placed.groupBy("timePoint").agg(F.sum("count").alias("__total")), "totals"))
+    totals = small_table(placed.groupBy("timePoint").agg(F.sum("count").alias("__total")), "totals")
     peers = placed.groupBy("timePoint", "__place").agg(F.sum("count").alias("count"))
     along = running_sum(peers, F.col("count"), "__place", "__upto", ["timePoint"], bits)
     shares = along.join(totals, "timePoint").select(

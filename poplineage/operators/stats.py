@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import (
     bin_number,
     dense_counts,
+    fractions,
     shannon_term,
     weighted_avg,
     weighted_stddev,
 )
-from ..runtime import pin, small_side
+from ..runtime import small_side, small_table
 from ..schemas import PARAM_COLUMNS, PARAMS
 
 HISTOGRAM_BINS = 100
@@ -36,7 +37,7 @@ def _centres(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
         for p in PARAMS
     ]
     sums = snapshots.groupBy(*keys).agg(F.sum("count").alias("systemSize"), *means)
-    return small_side(pin(sums, "centres"))
+    return small_table(sums, "centres")
 
 
 def scalar_stats(snapshots: DataFrame, keys: Sequence[str] = ("timePoint",)) -> DataFrame:
@@ -105,13 +106,7 @@ def normalized_histograms(
 ) -> DataFrame:
     """Share of the counted cells per bin, values outside [0, 1) left out, as dense arrays."""
     counted = histogram_arrays(histograms(snapshots, keys, bins, clamp=False), keys, bins)
-    return counted.withColumn("histogram", fractions("histogram"))
-
-
-def fractions(histogram: str):
-    """The array divided by its sum; null shares where the sum is 0."""
-    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda a, b: a + b)
-    return F.transform(histogram, lambda n: F.try_divide(n.cast("double"), total))
+    return counted.withColumn("histogram", fractions(F.col("histogram")))
 
 
 def clone_stats(snapshots: DataFrame, keys: Sequence[str] = ("timePoint",)) -> DataFrame:
@@ -134,7 +129,7 @@ def normalized_entropy(scalars: DataFrame) -> DataFrame:
 def count_fractions(counts: DataFrame, key: str = "timePoint") -> DataFrame:
     """Long-form counts with their share of the total at their time point."""
     totals = counts.groupBy(key).agg(F.sum("count").alias("__total"))
-    shares = counts.join(small_side(pin(totals, "totals")), key)
+    shares = counts.join(small_table(totals, "totals"), key)
     return shares.withColumn("fraction", F.try_divide(F.col("count").cast("double"), F.col("__total"))).drop("__total")
 
 

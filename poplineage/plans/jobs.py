@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import fractions
 from ..functions.intervals import TimeGrid
 from ..operators import chronicles as lifetimes
 from ..operators import events, muller, phylogeny, reports, snapshots, stats
@@ -115,7 +116,7 @@ def report(
     return {
         "stats": stats.normalized_entropy(kept["clone_stats_scalars"]),
         "histogram_fractions": arrays.select(
-            "timePoint", *[stats.fractions(p).alias(p) for p in arrays.columns[1:]]
+            "timePoint", *[fractions(F.col(p)).alias(p) for p in arrays.columns[1:]]
         ),
         "muller_fractions": stats.count_fractions(kept["muller_data_long"]),
         "muller_params": muller.param_table(kept["large_muller_order"], kept["large_clones"]),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -48,3 +48,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     held = df.limit(max_rows + 1).count()
     return F.broadcast(df) if held <= max_rows else df
+
+
+def small_table(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pins ``df`` and, like ``small_side``, marks it for broadcast if it is small.
+
+    Rows are counted while they are written. A task that runs twice can only raise the count,
+    which at worst leaves the table unmarked.
+    """
+    counted = Observation()
+    pinned = pin(df.observe(counted, F.count(F.lit(1)).alias("rows")), name)
+    return F.broadcast(pinned) if counted.get["rows"] <= max_rows else pinned

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.events import to_events
-from ..runtime import pin, small_side
+from ..runtime import pin, small_table
 from ..schemas import EVENT_LOG, INITIAL_FILE, PARENT_FILE
 
 # Where a row came from: these three order the rows of all files.
@@ -91,8 +91,8 @@ def in_log_order(rows: DataFrame, out: str = "ord", pinned: bool = False) -> Dat
     )
     earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")
-    starts = pin(counts.select(*block, before.alias("__before")), "blocks")
-    numbered = rows.join(small_side(starts), block)
+    starts = small_table(counts.select(*block, before.alias("__before")), "blocks")
+    numbered = rows.join(starts, block)
     order = F.col("source_row") + F.col("__before")
     return numbered.withColumn(out, order).drop("__before", "source_block", "source_row")
 
@@ -100,7 +100,7 @@ def in_log_order(rows: DataFrame, out: str = "ord", pinned: bool = False) -> Dat
 def without_last_rows(ordered: DataFrame) -> DataFrame:
     """Drops the last row of every file, which a broken-off writer may have left incomplete."""
     last = ordered.groupBy("source_file").agg(F.max("ord").alias("__last"))
-    joined = ordered.join(small_side(pin(last, "last")), "source_file")
+    joined = ordered.join(small_table(last, "last"), "source_file")
     return joined.filter(F.col("ord") < F.col("__last")).drop("__last")
 
 

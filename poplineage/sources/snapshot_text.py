@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import CHUNK_BITS, fill_forward
-from ..runtime import pin, small_side
+from ..runtime import small_table
 from .event_log import in_log_order, with_source
 
 # Fixed value: how a section begins.
@@ -60,7 +60,7 @@ def read_sections(
     )
     places = F.array(*[_place(F.col("names"), c) for c in columns]) if columns else F.array().cast("array<int>")
     # One row per section.
-    sections = small_side(pin(headers.select("section", places.alias("places")), "sections"))
+    sections = small_table(headers.select("section", places.alias("places")), "sections")
     rows = _body(lines, 2).join(sections, "section")
     fields = rows.select("time", "places", _split("value", delimiter, quotation).alias("fields"))
     picked = [
