@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import pin
 
-CHUNK_BITS = 20
+CHUNK_BITS = 17
 _CHUNK = "__chunk"
-# A group is taken for hot when its estimated share reaches a chunk; the sketch behind the
-# estimate holds a fixed number of candidates, whatever the size of the table.
-_SKETCH_ITEMS, _SKETCH_SIZE = 1_000, 200_000
+# The frequency sketch finds every group that holds more than about a thousandth of all rows.
+_HOT_GROUPS, _SKETCH_SIZE, _SKETCH_TASKS = 1_000, 4_096, 256
 
 
 def chunk_of(order: str, bits: int = CHUNK_BITS) -> Column:
@@ -78,14 +77,12 @@ def fill_forward(
     """Adds, for each named value, its last non-null state at or before this row."""
     parts = [*keys, _CHUNK]
     df = df.withColumns({_CHUNK: chunk_of(order, bits), **values})
-    last_set = [
-        F.max_by(F.when(F.col(v).isNotNull(), F.struct(v)), F.when(F.col(v).isNotNull(), F.col(order))).alias(v)
-        for v in values
-    ]
+    # Rows without an order are passed over, so this is the last value that is set.
+    last_set = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values]
     ends = df.groupBy(*parts).agg(*last_set)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *parts, *[F.last(v, ignorenulls=True).over(before)[v].alias(f"__{v}") for v in values]
+        *parts, *[F.last(v, ignorenulls=True).over(before).alias(f"__{v}") for v in values]
     )
     upto = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({v: F.last(v, ignorenulls=True).over(upto) for v in values})
@@ -96,14 +93,18 @@ def fill_forward(
 
 
 def hot_groups(df: DataFrame, group: Sequence[str], bits: int = CHUNK_BITS) -> list[int]:
-    """Hashes of the groups that hold more rows than a chunk; a list of bounded length.
+    """Hashes of the groups that hold more rows than a chunk, the largest thousand at most.
 
-    One pass with a mergeable frequency sketch. What it returns decides only how the work is
-    split, never the result.
+    One pass with a frequency sketch of fixed size per task; sketches are combined in two steps,
+    so that no task receives those of all others. What is found decides only how the work is
+    split, never the result: groups that are not found are small beside the whole table.
     """
-    sketch = f"approx_top_k({_hash_sql(group)}, {_SKETCH_ITEMS}, {_SKETCH_SIZE})"
-    found = df.agg(F.expr(sketch).alias("top")).first()["top"] or []
-    return [row["item"] for row in found if row["count"] > (1 << bits)]
+    sketch = f"approx_top_k_accumulate({_hash_sql(group)}, {_SKETCH_SIZE})"
+    some = df.groupBy((F.spark_partition_id() % _SKETCH_TASKS).alias("__task")).agg(F.expr(sketch).alias("__sketch"))
+    total = f"approx_top_k_estimate(approx_top_k_combine(__sketch, {_SKETCH_SIZE}), {_HOT_GROUPS})"
+    # Grouped by a constant, for which an empty table gives no row instead of an error.
+    found = some.groupBy(F.lit(1)).agg(F.expr(total).alias("top")).first()
+    return [row["item"] for row in (found["top"] if found else []) if row["count"] > (1 << bits)]
 
 
 def _hash_sql(group: Sequence[str]) -> str:

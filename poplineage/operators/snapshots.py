@@ -43,16 +43,15 @@ def cells_by_time(chronicles: DataFrame, grid: TimeGrid, bounds: str = "half_ope
     ``closed_int`` takes every whole number from the one at or before birth up to the one at or
     before death or the last point, both included.
     """
-    return chronicles.withColumn("timePoint", F.explode(_points(grid, bounds)))
-
-
-def _points(grid: TimeGrid, bounds: str) -> Column:
     birth, death = F.col("birthTime"), F.col("deathTime")
-    if bounds != "closed_int":
-        return grid.points_inside(birth, death, bounds)
-    start = F.greatest(F.least(birth, F.lit(grid.last)), F.lit(0.0)).cast("int")
-    stop = F.least(F.greatest(death, F.lit(0.0)), F.lit(grid.last)).cast("int")
-    return F.when(birth <= grid.last, F.sequence(start, stop))
+    if bounds == "closed_int":
+        start = F.greatest(F.least(birth, F.lit(grid.last)), F.lit(0.0)).cast("int")
+        stop = F.least(F.greatest(death, F.lit(0.0)), F.lit(grid.last)).cast("int")
+        alive = chronicles.filter(birth <= grid.last)
+        return alive.withColumn("timePoint", F.explode(F.sequence(start, stop)))
+    start, stop = grid.covered(birth, death, bounds)
+    indexed = chronicles.filter(start < stop).withColumn("__index", F.explode(F.sequence(start, stop - 1)))
+    return indexed.withColumn("timePoint", grid.point(F.col("__index"))).drop("__index")
 
 
 def earliest_params() -> Column:
