@@ -181,6 +181,23 @@ def cells_by_time(spark, folder):
     return rows.select("timePoint", "particleId", "parentId")
 
 
+@query(
+    "time_point_lists",
+    f"""with {S.CHRON}, {S.POINTS}, {S.COVERED}, l as (
+      select particleId, parentId, string_agg(timePoint::int::varchar, ',' order by timePoint) as points
+      from covered where timePoint < (select m from last) group by 1, 2)
+    select c.particleId, c.parentId, coalesce(points, '') as points from chron c
+    left join l on l.particleId = c.particleId and l.parentId = c.parentId""",
+)
+def time_point_lists(spark, folder):
+    """Whole time points inside each lifetime, as one list."""
+    cells = stored_chronicle(spark, folder)
+    grid = snapshots.time_grid(cells)
+    inside = grid.points_inside(F.col("birthTime"), F.col("deathTime"))
+    whole = F.transform(F.filter(inside, lambda t: t < grid.last), lambda t: t.cast("int").cast("string"))
+    return cells.select("particleId", "parentId", F.array_join(whole, ",").alias("points"))
+
+
 _COUNTS_SQL = f"with {S.SNAPS} select mutationId, timePoint, count, {S.rounded_params()} from snaps"
 
 

@@ -1,4 +1,4 @@
-"""Queries that write the given tables in the file formats of the reference and read them back."""
+"""Queries that write the given tables in the file formats of the pipeline and read them back."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..runtime import scratch_path
 from ..schemas import EVENT_LOG, PARAM_COLUMNS, PARAMS, require_not_null
 from ..sources import event_log, snapshot_text, tables
 from . import sql_views as S
-from .from_events import chronicle, stored_chronicle
+from .from_events import LIFETIME, chronicle, stored_chronicle
 from .from_tree import paths_of
 from .registry import plain, query, rounded
 from .views import cell_events, clone_counts, mutation_tree
@@ -276,3 +276,48 @@ def connected_lineages(spark, folder):
     links = phylogeny.mutation_tree(stored_chronicle(spark, folder))
     paths = phylogeny.lineages(links, strict=False)
     return paths.select("mutationId", F.size("ancestors").alias("depth"))
+
+
+@query(
+    "sectioned_text_all",
+    f"""with {S.CHRON} select t.t as time, count(*) as cells, sum(c.mutationId)::bigint as mutations from chron c
+    join (select unnest([0, 10, 20, 30])::double as t) t on birthTime <= t.t and t.t < deathTime group by 1""",
+)
+def sectioned_text_all(spark, folder):
+    """All columns, as the headers name them."""
+    read = snapshot_text.read_sections(spark, _write_sections(spark, folder))
+    mutations = F.sum(F.col(f"`{jobs.MUTATION_COLUMN}`")).cast("long").alias("mutations")
+    return read.groupBy("time").agg(F.count(F.lit(1)).alias("cells"), mutations)
+
+
+_WITH_INITIAL_SQL = f"""with {S.CHRON_WITH_INITIAL}
+  select particleId, parentId, birthTime, deathTime, mutationId, x, y, z from chron"""
+
+
+@query("chronicles_from_initial_file", _WITH_INITIAL_SQL)
+def chronicles_from_initial_file(spark, folder):
+    start = events.starting_snapshot(spark)
+    path = scratch_path(spark, "initial")
+    fixed = [F.lit(0), F.lit("-inf"), F.col("ord") + 125, F.lit(1)]
+    rows = start.select("position.*", *[c.alias(f"c{i}") for i, c in enumerate(fixed)], "mutationId", "cellParams.*")
+    tables.save_csv(rows, path, header=False)
+    cells = events.cells_from_initial_file(event_log.read_initial(spark, path))
+    return plain(chronicle(spark, folder, initial=cells), *LIFETIME)
+
+
+@query("chronicle_job", _WITH_INITIAL_SQL)
+def chronicle_job(spark, folder):
+    log, out = scratch_path(spark, "converted"), scratch_path(spark, "out")
+    jobs.convert(spark, _write_log(spark, folder), log)
+    return plain(jobs.chronicle(spark, log, out), *LIFETIME)
+
+
+@query(
+    "linear_chronicle_job",
+    f"with {S.CHRON_WITH_INITIAL} select particleId, parentId, birthTime, deathTime, mutationId, eventId, x, y, z from lin",
+)
+def linear_chronicle_job(spark, folder):
+    log, out = scratch_path(spark, "converted"), scratch_path(spark, "out")
+    jobs.convert(spark, _write_log(spark, folder), log)
+    jobs.linear_chronicle(spark, log, out)
+    return plain(spark.read.parquet(f"{out}/linear_chronicles.parquet"), *LIFETIME, "eventId")
