@@ -11,7 +11,7 @@ from ..schemas import PARAM_COLUMNS, PARAMS
 from ..sources.tables import histogram_lines
 from . import sql_views as S
 from .registry import joined, query, rounded
-from .views import clone_counts
+from .views import clone_counts, table
 
 NOISE_UP_TO = 95
 TOP = 11
@@ -175,7 +175,7 @@ def noise_series(spark, folder):
     from lineitem group by 1, 2""",
 )
 def snapshot_counts(spark, folder):
-    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    items = table(spark, folder, "lineitem")
     cells = items.select(F.year("l_shipdate").cast("double").alias("time"), (F.col("l_suppkey") + 1).alias("mutationId"))
     return muller.snapshot_counts(cells)
 
