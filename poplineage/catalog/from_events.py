@@ -35,6 +35,15 @@ def stored_chronicle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LIFETIME = ("particleId", "parentId", "birthTime", "deathTime", "mutationId")
+# No parent is shown as -1: a column of whole numbers with nulls reads as floats in some clients.
+LINEAR_COLUMNS = """particleId, coalesce(parentId, -1) as parentId, birthTime, deathTime, mutationId, eventId,
+  x, y, z"""
+
+
+def no_parent_as_minus_one(linear: DataFrame) -> DataFrame:
+    return linear.withColumn("parentId", F.coalesce("parentId", F.lit(-1).cast("long")))
+
+
 _CHRON_COLUMNS = "particleId, parentId, birthTime, deathTime, mutationId, x, y, z"
 
 
@@ -61,11 +70,11 @@ def initial_events(spark, folder):
 
 @query(
     "linear_chronicles",
-    f"with {S.LINEAR} select particleId, parentId, birthTime, deathTime, mutationId, eventId, x, y, z from lin",
+    f"with {S.LINEAR} select {LINEAR_COLUMNS} from lin",
 )
 def linear_chronicles(spark, folder):
     linear = lifetimes.linear_chronicles(events.event_groups(cell_events(spark, folder)))
-    return plain(linear, *LIFETIME, "eventId")
+    return plain(no_parent_as_minus_one(linear), *LIFETIME, "eventId")
 
 
 @query("chronicles", f"with {S.CHRON} select {_CHRON_COLUMNS} from chron")

@@ -12,7 +12,7 @@ from ..runtime import scratch_path
 from ..schemas import EVENT_LOG, PARAM_COLUMNS, PARAMS, require_not_null
 from ..sources import event_log, snapshot_text, tables
 from . import sql_views as S
-from .from_events import LIFETIME, chronicle, stored_chronicle
+from .from_events import LIFETIME, LINEAR_COLUMNS, chronicle, no_parent_as_minus_one, stored_chronicle
 from .from_tree import paths_of
 from .registry import plain, query, rounded
 from .views import cell_events, clone_counts, mutation_tree
@@ -314,10 +314,11 @@ def chronicle_job(spark, folder):
 
 @query(
     "linear_chronicle_job",
-    f"with {S.CHRON_WITH_INITIAL} select particleId, parentId, birthTime, deathTime, mutationId, eventId, x, y, z from lin",
+    f"with {S.CHRON_WITH_INITIAL} select {LINEAR_COLUMNS} from lin",
 )
 def linear_chronicle_job(spark, folder):
     log, out = scratch_path(spark, "converted"), scratch_path(spark, "out")
     jobs.convert(spark, _write_log(spark, folder), log)
     jobs.linear_chronicle(spark, log, out)
-    return plain(spark.read.parquet(f"{out}/linear_chronicles.parquet"), *LIFETIME, "eventId")
+    linear = spark.read.parquet(f"{out}/linear_chronicles.parquet")
+    return plain(no_parent_as_minus_one(linear), *LIFETIME, "eventId")

@@ -156,12 +156,13 @@ def muller_fractions(spark, folder):
     "muller_ordered_counts",
     f"""with recursive {S.CS}, {S.FINAL}, {S.TR}, {S.PATHS}, {_BIG},
     placed as (select mutationId, {_DESCENDING} from paths where mutationId in (select mutationId from big))
-    select ordering, sum(count)::bigint as count from (
+    select coalesce(ordering, -1) as ordering, sum(count)::bigint as count from (
       select p.ordering, coalesce(f.count, 0) as count from final f full join placed p using (mutationId)
-      union all select null, 0) group by ordering""",
+      union all select null, 0) group by 1""",
 )
 def muller_ordered_counts(spark, folder):
-    return muller.ordered_counts(final_clones(spark, folder), _large_order(spark, folder))
+    counts = muller.ordered_counts(final_clones(spark, folder), _large_order(spark, folder))
+    return counts.withColumn("ordering", F.coalesce("ordering", F.lit(-1).cast("long")))
 
 
 @query(

@@ -27,7 +27,7 @@ class TimeGrid:
     def size(self) -> int:
         if self.given is not None:
             return len(self.given)
-        return max(math.ceil(self.last), 0) + 1
+        return (math.ceil(self.last) if self.last > 0 else 0) + 1
 
     def point(self, index: Column) -> Column:
         if self.given is not None:

@@ -46,7 +46,7 @@ def cells_by_time(chronicles: DataFrame, grid: TimeGrid, bounds: str = "half_ope
     birth, death = F.col("birthTime"), F.col("deathTime")
     if bounds == "closed_int":
         start = F.greatest(F.least(birth, F.lit(grid.last)), F.lit(0.0)).cast("int")
-        stop = F.least(F.greatest(death, F.lit(0.0)), F.lit(grid.last)).cast("int")
+        stop = F.greatest(F.least(death, F.lit(grid.last)), F.lit(0.0)).cast("int")
         alive = chronicles.filter(birth <= grid.last)
         return alive.withColumn("timePoint", F.explode(F.sequence(start, stop)))
     start, stop = grid.covered(birth, death, bounds)

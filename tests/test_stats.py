@@ -88,7 +88,7 @@ def test_kinds(spark):
     assert labels == ["JUMPED_OUT", "JUMPED_OUT", "MODIFIED", "invalid event kind", "invalid event kind"]
 
 
-@pytest.mark.parametrize("last", [0.0, 0.5, 3.0, 3.2, -1.0])
+@pytest.mark.parametrize("last", [0.0, 0.5, 3.0, 3.2, -1.0, -math.inf])
 def test_grid(spark, last):
     grid = TimeGrid(last)
     points = [float(i) for i in range(10) if i < last] + [last]
