@@ -10,7 +10,7 @@ from ..schemas import PARAMS
 # One multiplier per parameter; a mutation's parameters follow from its id.
 MULTIPLIERS = (37, 101, 211, 307, 401, 503)
 MODULUS = 997
-EPOCH_MICROS = 1_704_067_200_000_000
+EPOCH = "2024-01-01 00:00:00"
 DAY_MICROS = 86_400_000_000.0
 EVENT_MUTATIONS = 64
 
@@ -37,12 +37,13 @@ def params_of(mutation: Column) -> Column:
 
 def cell_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as a cell-event log: users are positions, a signup creates, an error removes."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    # A difference of local times, so that the session's time zone does not shift it.
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{EPOCH}', ts)")
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 2).otherwise(4)
     mutation = F.col("event_id") % EVENT_MUTATIONS + 1
     return table(spark, folder, "events").select(
         F.col("event_id").alias("ord"),
-        ((micros - EPOCH_MICROS) / F.lit(DAY_MICROS)).alias("time"),
+        (micros / F.lit(DAY_MICROS)).alias("time"),
         F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("timeDelta"),
         F.struct(kind.cast("int").alias("encoded")).alias("eventKind"),
         F.struct(
