@@ -16,6 +16,10 @@ LARGE_CLONE = 1000
 PIVOT_COLUMNS = 10_000
 
 
+class TooWide(ValueError):
+    """More mutations than a table can have columns."""
+
+
 def ancestry_key(descending: bool = True) -> Column:
     """Sort key of a path: element by element, an ancestor before its descendants."""
     return F.transform("ancestors", lambda a: -a) if descending else F.col("ancestors")
@@ -66,7 +70,7 @@ def muller_pivot(snapshots: DataFrame, order: DataFrame) -> DataFrame:
     """
     held = order.orderBy("ordering").limit(PIVOT_COLUMNS + 1).collect()
     if len(held) > PIVOT_COLUMNS:
-        raise ValueError(f"more than {PIVOT_COLUMNS} columns; use the long form, or a higher threshold")
+        raise TooWide(f"more than {PIVOT_COLUMNS} columns; use the long form, or a higher threshold")
     ids = [NOISE, *(row["mutationId"] for row in held)]
     counts = collapsed(snapshots, order)
     wide = counts.groupBy("timePoint").pivot("mutationId", ids).agg(F.sum("count"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ def linear_chronicle(spark: SparkSession, log: str, out: str) -> None:
 def analyze(spark: SparkSession, log: str, out: str, threshold: int = muller.LARGE_CLONE) -> dict[str, DataFrame]:
     """All result tables of one run, each computed once and kept under ``out``.
 
-    Tables that depend on the clone-size threshold are kept in a folder named after it.
+    Tables that depend on the clone-size threshold are kept in a folder named after it. Müller
+    counts are always kept in long form, and as columns where there are few enough mutations.
     """
     kept: dict[str, DataFrame] = {}
     by_size = f"{out}/threshold-{threshold}"
@@ -93,7 +95,10 @@ def analyze(spark: SparkSession, log: str, out: str, threshold: int = muller.LAR
     statistics("major_", lambda: stats.major_and_noise(clones, large)[0], by_size)
     statistics("noise_", lambda: stats.major_and_noise(clones, large)[1], by_size)
     table("muller_data_long", lambda: muller.collapsed(clones, order), by_size)
-    table("muller_data", lambda: muller.muller_pivot(clones, order), by_size)
+    try:
+        table("muller_data", lambda: muller.muller_pivot(clones, order), by_size)
+    except muller.TooWide as error:
+        warnings.warn(f"no muller_data: {error}; muller_data_long holds the same counts", stacklevel=2)
 
     tables.save_csv(snapshots.final_cells(cells), f"{out}/final_snapshot.csv")
     final = snapshots.clones_at(clones, last)

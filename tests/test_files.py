@@ -6,7 +6,7 @@ import golden
 from pyspark.sql import functions as F
 import pytest
 
-from poplineage.operators import events
+from poplineage.operators import events, muller
 from poplineage.plans import jobs
 from poplineage.schemas import EVENT_LOG, not_nullable, require_not_null
 from poplineage.sources import event_log, snapshot_text, tables
@@ -139,7 +139,7 @@ def test_points(spark, tmp_path):
     assert sorted(tuple(r) for r in rows.collect()) == [(0.0, -3.5, 4.0), (0.0, 1.0, 2.0), (10.5, 5.0, 6.0)]
 
 
-def test_jobs_from_log_to_reports(spark, tmp_path, log_file):
+def test_jobs_from_log_to_reports(spark, tmp_path, log_file, monkeypatch):
     stored, out = str(tmp_path / "stored"), str(tmp_path / "out")
     jobs.convert(spark, log_file, stored)
     cells = jobs.chronicle(spark, stored, out, golden.initial(spark))
@@ -157,7 +157,10 @@ def test_jobs_from_log_to_reports(spark, tmp_path, log_file):
         assert major.get(time, 0) + noise.get(time, 0) == size
     lines = spark.read.text(f"{out}/histogram_birthEfficiency.csv").collect()
     assert len(lines) == 5 and all(r.value.count(";") == 99 for r in lines)
-    other = jobs.analyze(spark, stored, out, threshold=1)
+    monkeypatch.setattr(muller, "PIVOT_COLUMNS", 1)
+    with pytest.warns(UserWarning, match="no muller_data"):
+        other = jobs.analyze(spark, stored, out, threshold=1)
+    assert "muller_data" not in other and other["muller_data_long"].count() > 0
     assert {r.mutationId for r in other["large_clones"].collect()} == {1, 2, 3}
 
     reports = jobs.report(kept, shown=2, drawn_above=1)
