@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import pin
@@ -71,8 +71,6 @@ def variants(fp: str = "fp") -> Column:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a < b: verified links at two bits or fewer that connect all that the radius connects."""
-    from pyspark.sql import Window
-
     dealt = distinct.select("fp", F.explode(variants()).alias("variant"))
     met = dealt.withColumn("a", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")))
     pairs = met.filter("a is not null").select("a", F.col("fp").alias("b")).distinct()
@@ -83,14 +81,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``edges``; label is the smallest node of the component.
 
     Each round works on the links between components found so far: every component hooks to the smallest component
-    beside it, the forest of hooks is flattened by doubling, and links are renamed to its roots. Each component that
-    still has a link joins another, so their number at least halves in each round.
+    beside it, the forest of hooks is flattened by doubling, and links are renamed to its roots. Only components
+    smaller than all beside them stay, so few rounds are needed.
     """
     edges = pin(edges.select("a", "b"), "links")
     labels: DataFrame | None = None
     while edges.head(1):
         both = edges.union(edges.select("b", "a"))
-        hooks = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), "hooks")
+        hooks = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
         while True:  # flatten: up = up of up
             over = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
             step = hooks.join(over, "up").select("node", "up", "top")
