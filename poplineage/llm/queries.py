@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, tokenfile
+from . import bpe, html, lm, mixing, quality, simhash, substrings, tokenfile, topk, urls
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -57,6 +57,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = tokenfile.scratch_folder(spark)
     manifest = tokenfile.write_tokens(table(spark, folder, "documents"), BPE_FILE, END_ID, place)
@@ -64,10 +68,55 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+RULES = (
+    urls.Rule("net", "/", "block"),
+    urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"),
+    urls.Rule("org", "/fr/", "allow"),
+)
+
+
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    judged = urls.filter_urls(pages, table(spark, folder, "documents"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "words", "score")
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    held = F.col(substrings.RESULT)
+    return cut.select("doc_id", held["n_words"].alias("n_words"), held["n_removed"].alias("n_removed"), digest(held["kept"]).alias("kept_sha256"))
+
+
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    rows, plan = mixing.plan_for(table(spark, folder, "documents"))
+    taken = mixing.with_copies(rows, plan)
+    return taken.select(
+        "doc_id",
+        F.col("_mix_size").alias("size"),
+        F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"),
+    )
+
+
+def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"), BPE_FILE)
+
+
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_html_text": op5_html_text,
     "op6_token_files": op6_token_files,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_source_mix": op8_source_mix,
+    "op9_lm_scores": op9_lm_scores,
+    "op10_top_k": op10_top_k,
 }
-SQL: dict[str, str] = {}

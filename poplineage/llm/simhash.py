@@ -12,7 +12,7 @@ in the shared folder.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a null ``doc_id`` takes part
 and gets the smallest id of its component, null if the component has no other; repeated rows are rows of their own
-in one component.
+in one component, of which ``one_of_each`` keeps one; among rows of one id the smaller hash of the text stays.
 """
 
 from __future__ import annotations
@@ -51,16 +51,18 @@ def _fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(held), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
-    """``doc_id`` and the fingerprint of the whole text, as a signed long."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``tie`` (a hash of the text) and ``fp``, the fingerprint of the whole text as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             made = np.fromiter((_fingerprint(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", column])
+            held = [batch.column("doc_id"), batch.column("tie"), pa.array(made.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(held, ["doc_id", "tie", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id long, {column} long")
+    read = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return read.mapInArrow(compute, "doc_id long, tie long, fp long")
 
 
 def variants(fp: str = "fp") -> Column:
@@ -112,17 +114,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``: the smallest id reachable over links."""
+    """``doc_id``, ``tie``, ``fp``, ``component_id``: the smallest id reachable over links, and ``first``: whether the row stays."""
     marked = pin(fingerprints(docs), "fingerprints")
-    distinct = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
+    distinct = pin(marked.groupBy("fp").agg(F.min(rank).alias("rank")), "distinct")
     found = components(links(distinct))
     linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
     linked = pin(linked, "linked")
-    smallest = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = linked.select("fp", "label").join(smallest, "label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    smallest = linked.groupBy("label").agg(F.min("rank").alias("rank"))
+    named = linked.select("fp", "label").join(smallest, "label").select("fp", "rank")
+    first = F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("tie") == F.col("rank.tie"))
+    joined = marked.join(named, "fp")
+    return joined.select("doc_id", "tie", "fp", F.col("rank.doc_id").alias("component_id"), first.alias("first"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row of the smallest id of each component."""
+    stays = near_duplicates(docs).filter("first").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    keyed = docs.withColumn("_tie", F.xxhash64("text"))
+    kept = keyed.join(stays.withColumnRenamed("_tie", "_first"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_tie"]).drop("_tie")
 
 
 def hex_digits(fp: str = "fp") -> Column:
