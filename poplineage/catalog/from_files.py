@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
 from ..operators import events, phylogeny, snapshots, stats
+from ..operators.ordered import numbered
 from ..plans import jobs
-from ..runtime import scratch_path
+from ..runtime import pin, scratch_path
 from ..schemas import EVENT_LOG, PARAM_COLUMNS, PARAMS, require_not_null
 from ..sources import event_log, snapshot_text, tables
 from . import sql_views as S
@@ -54,6 +55,19 @@ def csv_roundtrip(spark, folder):
     return _logged(event_log.read_events(spark, _write_log(spark, folder), "csv"))
 
 
+@query("natural_file_order", _LOG_SQL)
+def natural_file_order(spark, folder):
+    """The log in folders whose names sort wrongly as text: run-8 to run-11, then run-99999 and run-100000."""
+    path, names = scratch_path(spark, "log"), (8, 9, 10, 11, 99_999, 100_000)
+    placed = flat_log(spark, folder).withColumn("at", F.monotonically_increasing_id())
+    rows = pin(numbered(placed, ["at"], "row").drop("at"), "rows")
+    each = -(-rows.count() // len(names))
+    for k, name in enumerate(names):
+        part = rows.filter(F.floor(F.col("row") / each) == k).orderBy("row").drop("row")
+        tables.save_csv(part, f"{path}/run-{name}")
+    return _logged(event_log.read_events(spark, f"{path}/*", "csv"))
+
+
 @query("csv_gzip", _LOG_SQL)
 def csv_gzip(spark, folder):
     return _logged(event_log.read_events(spark, _write_log(spark, folder, gz=True), "csv"))

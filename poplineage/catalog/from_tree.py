@@ -133,13 +133,16 @@ def muller_long(spark, folder):
 
 @query(
     "muller_pivot",
-    f"""{_SHOWN}, cells as (select timePoint, mutationId, count from shown
-      union all select t.timePoint, b.mutationId, 0 from (select distinct timePoint from cs) t
-        join (select mutationId from big union all select 0) b on true)
-    select * from (pivot cells on mutationId using sum(count)::bigint group by timePoint)""",
+    f"""{_SHOWN}, placed as (select mutationId, {_DESCENDING} from paths where mutationId in (select mutationId from big)),
+    ids as (select 0 as mutationId, 0 as place union all select mutationId, ordering + 1 from placed),
+    cells as (select t.timePoint, i.mutationId, i.place, coalesce(s.count, 0) as count
+      from (select distinct timePoint from cs) t join ids i on true left join shown s on s.timePoint = t.timePoint and s.mutationId = i.mutationId)
+    select timePoint, (place // 16)::bigint as block, string_agg(mutationId::varchar, ',' order by place) as ids,
+      string_agg(count::varchar, ',' order by place) as counts from cells group by 1, 2""",
 )
 def muller_pivot(spark, folder):
-    return muller.muller_pivot(clone_counts(spark, folder), _large_order(spark, folder))
+    blocks = muller.muller_pivot(clone_counts(spark, folder), _large_order(spark, folder), width=16)
+    return blocks.select("timePoint", "block", joined("ids", "ids"), joined("counts", "counts"))
 
 
 @query(

@@ -22,7 +22,7 @@ def linear_chronicles(
     keys: Sequence[str] = (),
     parent_rule: str = "previous_row",
     bits: int = CHUNK_BITS,
-    hot: Sequence[int] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per lifetime at a position: who was there before, and when the next event came.
 
@@ -82,7 +82,7 @@ def chronicles(
     strict: bool = False,
     parent_rule: str = "previous_row",
     bits: int = CHUNK_BITS,
-    hot: Sequence[int] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """From ordered events to lifetimes with parents."""
     if hot is None:

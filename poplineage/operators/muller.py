@@ -13,11 +13,7 @@ from .stats import count_fractions
 
 NOISE = 0
 LARGE_CLONE = 1000
-PIVOT_COLUMNS = 10_000
-
-
-class TooWide(ValueError):
-    """More mutations than a table can have columns."""
+BLOCK_WIDTH = 1024
 
 
 def ancestry_key(descending: bool = True) -> Column:
@@ -62,19 +58,26 @@ def collapsed(snapshots: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def muller_pivot(snapshots: DataFrame, order: DataFrame) -> DataFrame:
-    """One row per time point; columns ``0`` and every ordered mutation, in order.
+def muller_pivot(snapshots: DataFrame, order: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``timePoint, block, ids, counts``: the wide table of all ordered mutations, cut into blocks of ``width`` columns.
 
-    The columns are the large mutations, so their number must fit a table's width; beyond that
-    ``collapsed`` gives the same counts in long form.
+    Columns are id 0 (all others) and the mutations in their order. A block holds the ids of its columns and
+    their counts at the time point, zeros included; it is the same at any number of mutations.
     """
-    held = order.orderBy("ordering").limit(PIVOT_COLUMNS + 1).collect()
-    if len(held) > PIVOT_COLUMNS:
-        raise TooWide(f"more than {PIVOT_COLUMNS} columns; use the long form, or a higher threshold")
-    ids = [NOISE, *(row["mutationId"] for row in held)]
-    counts = collapsed(snapshots, order)
-    wide = counts.groupBy("timePoint").pivot("mutationId", ids).agg(F.sum("count"))
-    return wide.na.fill(0).orderBy("timePoint")
+    nobody = order.sparkSession.range(1).select(F.lit(NOISE).cast("long").alias("mutationId"), F.lit(0).cast("long").alias("__place"))
+    places = nobody.unionByName(order.select("mutationId", (F.col("ordering") + 1).alias("__place")))
+    places = places.withColumn("block", F.floor(F.col("__place") / width))
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("__place", "mutationId"))), lambda c: c["mutationId"])
+    blocks = pin(places.groupBy("block").agg(columns.alias("ids")), "blocks")
+    last = blocks.agg(F.max("block")).first()[0]
+    counts = collapsed(snapshots, order).join(places, "mutationId")
+    held = counts.groupBy("timePoint", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("mutationId", "count"))).alias("__counts")
+    )
+    every = snapshots.select("timePoint").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    filled = every.join(held, ["timePoint", "block"], "left").join(blocks, "block")
+    count = lambda c: F.coalesce(F.element_at("__counts", c), F.lit(0).cast("long"))
+    return filled.select("timePoint", "block", "ids", F.transform("ids", count).alias("counts"))
 
 
 def ordered_counts(clones: DataFrame, order: DataFrame) -> DataFrame:

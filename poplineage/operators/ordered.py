@@ -15,12 +15,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import pin
+from ..runtime import pin, small_table
 
 CHUNK_BITS = 17
 _CHUNK = "__chunk"
-# The frequency sketch finds every group that holds more than about a thousandth of all rows.
-_HOT_GROUPS, _SKETCH_SIZE, _SKETCH_TASKS = 1_000, 4_096, 256
+_HOT = "__hot"
 
 
 def chunk_of(order: str, bits: int = CHUNK_BITS) -> Column:
@@ -92,23 +91,14 @@ def fill_forward(
     )
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], bits: int = CHUNK_BITS) -> list[int]:
-    """Hashes of the groups that hold more rows than a chunk, the largest thousand at most.
+def hot_groups(df: DataFrame, group: Sequence[str], bits: int = CHUNK_BITS) -> DataFrame:
+    """(``__hot``): hashes of all groups that hold more rows than a chunk, counted exactly.
 
-    One pass with a frequency sketch of fixed size per task; sketches are combined in two steps,
-    so that no task receives those of all others. What is found decides only how the work is
-    split, never the result: groups that are not found are small beside the whole table.
+    Counts are summed before the shuffle. There is at most one such group per chunk of rows; they stay a
+    table, which is broadcast only if it is counted small.
     """
-    sketch = f"approx_top_k_accumulate({_hash_sql(group)}, {_SKETCH_SIZE})"
-    some = df.groupBy((F.spark_partition_id() % _SKETCH_TASKS).alias("__task")).agg(F.expr(sketch).alias("__sketch"))
-    total = f"approx_top_k_estimate(approx_top_k_combine(__sketch, {_SKETCH_SIZE}), {_HOT_GROUPS})"
-    # Grouped by a constant, for which an empty table gives no row instead of an error.
-    found = some.groupBy(F.lit(1)).agg(F.expr(total).alias("top")).first()
-    return [row["item"] for row in (found["top"] if found else []) if row["count"] > (1 << bits)]
-
-
-def _hash_sql(group: Sequence[str]) -> str:
-    return "xxhash64(" + ", ".join(f"`{g}`" for g in group) + ")"
+    counts = df.groupBy(F.xxhash64(*group).alias(_HOT)).agg(F.count(F.lit(1)).alias("__rows"))
+    return small_table(counts.filter(F.col("__rows") > (1 << bits)).select(_HOT), "hot")
 
 
 def with_neighbours(
@@ -118,27 +108,29 @@ def with_neighbours(
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
     bits: int = CHUNK_BITS,
-    hot: Sequence[int] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Adds values of the row before and of the row after within each group.
 
-    Groups listed in ``hot`` (found by ``hot_groups`` when not given) are cut into chunks, and
+    Groups in the table ``hot`` (that of ``hot_groups`` when not given) are cut into chunks, and
     the values at the cuts are carried over; all others are one window partition each.
     Where there is no such row the value is null.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    hot = hot_groups(df, group, bits) if hot is None else list(hot)
-    parts = [*group, _CHUNK]
-    is_hot = F.expr(_hash_sql(group)).isin(hot) if hot else F.lit(False)
-    df = df.withColumn(_CHUNK, F.when(is_hot, chunk_of(order, bits)).otherwise(F.lit(0)) if hot else F.lit(0))
-    # Without hot groups the constant is folded away and the window partitions by group alone.
-    window = Window.partitionBy(*(parts if hot else group)).orderBy(order)
+    hot = hot_groups(df, group, bits) if hot is None else hot
+    any_hot = bool(hot.head(1))
+    parts, is_hot = [*group, _CHUNK], F.col("__is_hot")
+    if any_hot:
+        marks = hot.withColumn("__is_hot", F.lit(True))
+        df = df.withColumn(_HOT, F.xxhash64(*group)).join(marks, _HOT, "left").drop(_HOT)
+        df = df.withColumn(_CHUNK, F.when(is_hot, chunk_of(order, bits)).otherwise(F.lit(0)))
+    window = Window.partitionBy(*(parts if any_hot else group)).orderBy(order)
     local = {
         **{name: F.lag(value).over(window) for name, value in previous.items()},
         **{name: F.lead(value).over(window) for name, value in following.items()},
     }
-    if not hot:
-        return df.withColumns(local).drop(_CHUNK)
+    if not any_hot:
+        return df.withColumns(local)
     cuts = {
         "__first": F.lag(F.lit(True)).over(window).isNull(),
         "__last": F.lead(F.lit(True)).over(window).isNull(),
@@ -159,4 +151,4 @@ def with_neighbours(
         **{n: F.when(F.col("__first"), F.col(f"__{n}")).otherwise(F.col(n)) for n in previous},
         **{n: F.when(F.col("__last"), F.col(f"__{n}")).otherwise(F.col(n)) for n in following},
     }
-    return joined.withColumns(mended).drop(_CHUNK, *cuts, *[f"__{n}" for n in mended])
+    return joined.withColumns(mended).drop(_CHUNK, "__is_hot", *cuts, *[f"__{n}" for n in mended])

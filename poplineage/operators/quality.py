@@ -16,7 +16,7 @@ def sequence_anomalies(
     initial: DataFrame | None = None,
     keys: Sequence[str] = (),
     bits: int = CHUNK_BITS,
-    hot: Sequence[int] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Events that cannot follow what came before at their position.
 

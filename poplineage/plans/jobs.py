@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +41,35 @@ def chronicle(
     strict: bool = False,
     parent_rule: str = "previous_row",
 ) -> DataFrame:
-    """Parquet log to ``chronicles.parquet``; reads the table if it is already there."""
+    """Parquet log to ``chronicles.parquet``; reads the table if it is already there.
+
+    The folder keeps what its tables were made from, and refuses any other log, start or rule.
+    """
+    cells = events.starting_snapshot(spark) if initial is None else initial
+    _belongs(spark, out, f"{log} {strict} {parent_rule} {_content(cells)}")
 
     def build() -> DataFrame:
-        cells = events.starting_snapshot(spark) if initial is None else initial
         rows = event_log.read_events(spark, log)
         return lifetimes.chronicles(rows, cells, strict=strict, parent_rule=parent_rule)
 
-    name = "chronicles" if (strict, parent_rule) == (False, "previous_row") else f"chronicles-{strict}-{parent_rule}"
-    return materialize(spark, f"{out}/{name}.parquet", build)
+    return materialize(spark, f"{out}/chronicles.parquet", build)
+
+
+def _content(rows: DataFrame) -> str:
+    """Number of rows and sum of their hashes: the same for the same rows in any order."""
+    found = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    return f"{found[0]} {found[1]}"
+
+
+def _belongs(spark: SparkSession, out: str, identity: str) -> None:
+    """Leaves ``identity`` in the folder, or fails if it holds another one."""
+    path = f"{out}/made_from"
+    if not tables.is_complete(spark, path):
+        spark.createDataFrame([(identity,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    held = spark.read.text(path).first()["value"]
+    if held != identity:
+        raise ValueError(f"{out} holds results made from {held!r}, not {identity!r}")
 
 
 def linear_chronicle(spark: SparkSession, log: str, out: str) -> None:
@@ -60,11 +79,20 @@ def linear_chronicle(spark: SparkSession, log: str, out: str) -> None:
     tables.save_parquet(linear, f"{out}/linear_chronicles.parquet")
 
 
-def analyze(spark: SparkSession, log: str, out: str, threshold: int = muller.LARGE_CLONE) -> dict[str, DataFrame]:
+def analyze(
+    spark: SparkSession,
+    log: str,
+    out: str,
+    threshold: int = muller.LARGE_CLONE,
+    initial: DataFrame | None = None,
+    strict: bool = False,
+    parent_rule: str = "previous_row",
+) -> dict[str, DataFrame]:
     """All result tables of one run, each computed once and kept under ``out``.
 
     Tables that depend on the clone-size threshold are kept in a folder named after it. Müller
-    counts are always kept in long form, and as columns where there are few enough mutations.
+    counts are kept in long form and as blocks of columns. ``out`` belongs to one log, start and
+    choice of rules; another one is refused.
     """
     kept: dict[str, DataFrame] = {}
     by_size = f"{out}/threshold-{threshold}"
@@ -73,7 +101,7 @@ def analyze(spark: SparkSession, log: str, out: str, threshold: int = muller.LAR
         kept[name] = materialize(spark, f"{folder}/{name}.parquet", build)
         return kept[name]
 
-    cells = kept["chronicles"] = chronicle(spark, log, out)
+    cells = kept["chronicles"] = chronicle(spark, log, out, initial, strict, parent_rule)
     points = table("time_points", lambda: snapshots.time_points(cells))
     last = points.agg(F.max("value")).first()[0]
     clones = table("clone_snapshots", lambda: snapshots.clone_snapshots(cells, TimeGrid(last)))
@@ -95,10 +123,7 @@ def analyze(spark: SparkSession, log: str, out: str, threshold: int = muller.LAR
     statistics("major_", lambda: stats.major_and_noise(clones, large)[0], by_size)
     statistics("noise_", lambda: stats.major_and_noise(clones, large)[1], by_size)
     table("muller_data_long", lambda: muller.collapsed(clones, order), by_size)
-    try:
-        table("muller_data", lambda: muller.muller_pivot(clones, order), by_size)
-    except muller.TooWide as error:
-        warnings.warn(f"no muller_data: {error}; muller_data_long holds the same counts", stacklevel=2)
+    table("muller_data", lambda: muller.muller_pivot(clones, order), by_size)
 
     tables.save_csv(snapshots.final_cells(cells), f"{out}/final_snapshot.csv")
     final = snapshots.clones_at(clones, last)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from ..schemas import EVENT_LOG, INITIAL_FILE, PARENT_FILE
 # Where a row came from: these three order the rows of all files.
 SOURCE = ("source_file", "source_block", "source_row")
 _CORRUPT = "malformed"
+# Runs of digits in file names up to this length are compared as numbers.
+_DIGITS = 40
 
 
 def _csv(spark: SparkSession, mode: str, header: bool = True):
@@ -78,9 +80,18 @@ def with_source(rows: DataFrame) -> DataFrame:
     )
 
 
+def natural_order(name: str = "source_file") -> Column:
+    """Sort key of file names in which runs of digits count as numbers: 9 before 10, 99999 before 100000."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, F.greatest(F.length(p), F.lit(_DIGITS)), F.lit("0"))).otherwise(p))
+    return F.array_join(padded, "")
+
+
 def in_log_order(rows: DataFrame, out: str = "ord", pinned: bool = False) -> DataFrame:
     """Numbers rows from 0 in the order of file, block and row, without sorting or moving them.
 
+    Files follow the natural order of their names; names that differ only in leading zeros fail the job.
+
     One row per block tells how many rows came before it. How files are cut into blocks may
     differ between two reads, so the rows are pinned first unless they are stored already.
     """
@@ -89,8 +100,13 @@ def in_log_order(rows: DataFrame, out: str = "ord", pinned: bool = False) -> Dat
     counts = rows.groupBy(*block).agg(
         F.count(F.lit(1)).alias("__rows"), F.min("source_row").alias("__first")
     )
-    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.orderBy("__name", *block)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")
+    unclear = (F.lag("__name").over(along) == F.col("__name")) & (F.lag("source_file").over(along) != F.col("source_file"))
+    failed = F.raise_error(F.concat(F.lit("no order between files of one name: "), "source_file")).cast("long")
+    before = F.when(unclear, failed).otherwise(before)
+    counts = counts.withColumn("__name", natural_order())
     starts = small_table(counts.select(*block, before.alias("__before")), "blocks")
     numbered = rows.join(starts, block)
     order = F.col("source_row") + F.col("__before")

@@ -34,8 +34,13 @@ def _body(lines: DataFrame, first: int) -> DataFrame:
 
 
 def _split(column: str, delimiter: str, quotation: str) -> Column:
-    parts = F.split(column, re.escape(delimiter), -1)
-    return F.transform(parts, lambda p: F.trim(p, F.lit(quotation + " "))) if quotation else parts
+    """Fields between delimiters outside quotation marks; a doubled mark inside a field is one mark."""
+    if not quotation:
+        return F.split(column, re.escape(delimiter), -1)
+    q = re.escape(quotation)
+    outside = rf"{re.escape(delimiter)}(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)"
+    bare = lambda p: F.regexp_replace(F.trim(p), rf"^{q}(.*){q}$", "$1")
+    return F.transform(F.split(column, outside, -1), lambda p: F.trim(F.replace(bare(p), F.lit(quotation * 2), F.lit(quotation))))
 
 
 def read_sections(
@@ -46,32 +51,41 @@ def read_sections(
     quotation: str = '"',
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """``time`` and the named columns, as doubles, one row per cell; all columns if none are named.
+    """``time`` and the named columns, as doubles, one row per cell.
 
-    Columns are found by name in the header of each section. A name that a header lacks, or has
-    twice, fails the job.
+    Columns are found by name in the header of each section. A named column that a header lacks fails the
+    job. If none are named, all columns of all headers are read, in the order in which they first
+    appear, and are null in sections without them. A name that stands twice in a header fails the job, and so
+    does a line with another number of fields than its header.
     """
     lines = _lines(spark, path, bits)
-    if columns is None:
-        header = lines.filter(F.col("ord") == F.col("section") + 1).select("value").first()
-        columns = [] if header is None else [p.strip(quotation + " ") for p in header["value"].split(delimiter)]
     headers = lines.filter(F.col("ord") == F.col("section") + 1).select(
         "section", _split("value", delimiter, quotation).alias("names")
     )
-    places = F.array(*[_place(F.col("names"), c) for c in columns]) if columns else F.array().cast("array<int>")
+    everything = columns is None
+    if everything:
+        # One row per name: as many as the result has columns.
+        met = headers.select("section", F.posexplode("names").alias("place", "name")).groupBy("name")
+        first = met.agg(F.min(F.struct("section", "place")).alias("first")).orderBy("first").collect()
+        columns = [row["name"] for row in first]
+    places = [_place(F.col("names"), c, everything) for c in columns]
+    held = F.array(*places) if columns else F.array().cast("array<int>")
     # One row per section.
-    sections = small_table(headers.select("section", places.alias("places")), "sections")
+    sections = small_table(headers.select("section", F.size("names").alias("width"), held.alias("places")), "sections")
     rows = _body(lines, 2).join(sections, "section")
-    fields = rows.select("time", "places", _split("value", delimiter, quotation).alias("fields"))
-    picked = [
-        F.element_at("fields", F.col("places")[i]).cast("double").alias(c) for i, c in enumerate(columns)
-    ]
+    fields = rows.select("time", "places", "width", _split("value", delimiter, quotation).alias("fields"))
+    wrong = F.raise_error(F.lit("a line has another number of fields than its header")).cast("boolean")
+    fields = fields.filter(F.when(F.size("fields") == F.col("width"), True).otherwise(wrong))
+    # Place 0 stands for a column that the section does not have.
+    place = lambda i: F.nullif(F.col("places")[i], F.lit(0))
+    picked = [F.element_at("fields", place(i)).cast("double").alias(c) for i, c in enumerate(columns)]
     return fields.select("time", *picked)
 
 
-def _place(names: Column, column: str) -> Column:
+def _place(names: Column, column: str, may_lack: bool = False) -> Column:
     held = F.size(F.filter(names, lambda n: n == column))
     wrong = F.raise_error(F.lit(f"column {column} is missing or repeated in a section header"))
+    wrong = F.when(held == 0, F.lit(0)).otherwise(wrong) if may_lack else wrong
     return F.when(held == 1, F.array_position(names, column).cast("int")).otherwise(wrong.cast("int"))
 
 

@@ -133,34 +133,51 @@ def test_sections(spark, tmp_path):
         snapshot_text.read_sections(spark, str(tmp_path / "late.txt"), ["mutation.id"]).collect()
 
 
+def test_sections_with_quotes_and_other_headers(spark, tmp_path):
+    (tmp_path / "s.txt").write_text('time = 0\na,b\n1,2\n\ntime = 1\nb,"c, d"\n"3","4"\n')
+    rows = snapshot_text.read_sections(spark, str(tmp_path / "s.txt"))
+    assert rows.columns == ["time", "a", "b", "c, d"]
+    assert sorted(map(tuple, rows.collect())) == [(0.0, 1.0, 2.0, None), (1.0, None, 3.0, 4.0)]
+    (tmp_path / "q.txt").write_text('time = 0\na,b,mutation.id\n"1,5",2,7\n')
+    assert snapshot_text.read_sections(spark, str(tmp_path / "q.txt"), ["mutation.id"]).first()[1] == 7
+    (tmp_path / "w.txt").write_text("time = 0\na,b\n1,2,3\n")
+    with pytest.raises(Exception, match="another number of fields"):
+        snapshot_text.read_sections(spark, str(tmp_path / "w.txt"), ["a"]).collect()
+
+
+def test_natural_order(spark):
+    names = ["part-100000.csv", "part-99999.csv", "run-9/part-00001.csv", "run-10/part-00000.csv"]
+    rows = spark.createDataFrame([(n,) for n in names], "source_file string").orderBy(event_log.natural_order())
+    assert [r[0] for r in rows.collect()] == ["part-99999.csv", "part-100000.csv", "run-9/part-00001.csv", "run-10/part-00000.csv"]
+
+
 def test_points(spark, tmp_path):
     (tmp_path / "p.txt").write_text("time = 0\n1 2\n-3.5\t4\ntime = 10.5\n5 6\n")
     rows = snapshot_text.read_points(spark, str(tmp_path / "p.txt"))
     assert sorted(tuple(r) for r in rows.collect()) == [(0.0, -3.5, 4.0), (0.0, 1.0, 2.0), (10.5, 5.0, 6.0)]
 
 
-def test_jobs_from_log_to_reports(spark, tmp_path, log_file, monkeypatch):
+def test_jobs_from_log_to_reports(spark, tmp_path, log_file):
     stored, out = str(tmp_path / "stored"), str(tmp_path / "out")
     jobs.convert(spark, log_file, stored)
     cells = jobs.chronicle(spark, stored, out, golden.initial(spark))
     assert golden.as_tuples(cells) == golden.CHRONICLES
-    kept = jobs.analyze(spark, stored, out, threshold=2)
+    kept = jobs.analyze(spark, stored, out, threshold=2, initial=golden.initial(spark))
     assert {(r.mutationId, r.parentMutationId, r.time) for r in kept["mutation_tree"].collect()} == golden.TREE
     assert [r.value for r in kept["time_points"].orderBy("value").collect()] == [0, 1, 2, 3, 4]
     found = kept["clone_snapshots"].collect()
     assert {(r["timePoint"], r["mutationId"], r["count"]) for r in found} == golden.CLONES
     assert {r.mutationId for r in kept["large_final_mutations"].collect()} == {1, 2, 3}
-    assert kept["muller_data"].columns == ["timePoint", "0", "1", "3"]
+    assert [r.ids for r in kept["muller_data"].collect()] == [[0, 1, 3]] * 5
+    with pytest.raises(ValueError, match="holds results made from"):
+        jobs.chronicle(spark, stored, out)
     major = {r.timePoint: r.systemSize for r in kept["major_stats_scalars"].collect()}
     noise = {r.timePoint: r.systemSize for r in kept["noise_stats_scalars"].collect()}
     for time, (_, size, _) in golden.STATS.items():
         assert major.get(time, 0) + noise.get(time, 0) == size
     lines = spark.read.text(f"{out}/histogram_birthEfficiency.csv").collect()
     assert len(lines) == 5 and all(r.value.count(";") == 99 for r in lines)
-    monkeypatch.setattr(muller, "PIVOT_COLUMNS", 1)
-    with pytest.warns(UserWarning, match="no muller_data"):
-        other = jobs.analyze(spark, stored, out, threshold=1)
-    assert "muller_data" not in other and other["muller_data_long"].count() > 0
+    other = jobs.analyze(spark, stored, out, threshold=1, initial=golden.initial(spark))
     assert {r.mutationId for r in other["large_clones"].collect()} == {1, 2, 3}
 
     reports = jobs.report(kept, shown=2, drawn_above=1)

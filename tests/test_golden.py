@@ -123,9 +123,11 @@ def test_muller(cells, clones, tree):
     assert [(r.mutationId, r.ordering) for r in order.orderBy("ordering").collect()] == [(1, 0), (2, 1), (3, 2), (4, 3)]
     large = muller.large_clones(cells, 2)
     assert {r.mutationId for r in large.collect()} == {1, 3}
-    wide = muller.muller_pivot(clones, muller.large_muller_order(paths, large))
-    assert wide.columns == ["timePoint", "0", "1", "3"]
-    assert [tuple(r) for r in wide.collect()][-1] == (4.0, 2, 0, 2)
+    wide = muller.muller_pivot(clones, muller.large_muller_order(paths, large), width=2)
+    assert wide.columns == ["timePoint", "block", "ids", "counts"]
+    last = wide.filter("timePoint = 4").orderBy("block").collect()
+    assert [(r.ids, r.counts) for r in last] == [([0, 1], [2, 0]), ([3], [2])]
+    assert wide.count() == 2 * 5
     for bits in (20, 0):
         data = muller.muller_data(cells, paths, TimeGrid(4.0), min_cells=1, bits=bits).collect()
         assert [(r.mutationId, r.cumeDist) for r in data if r.timePoint == 4.0] == [(2, 0.25), (3, 0.75), (4, 1.0)]
