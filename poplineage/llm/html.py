@@ -5,7 +5,7 @@ attribute words, depth, place and siblings, and what stands around it. A node's
 decoding takes the set of nodes with the largest sum of margins in which nothing is kept inside something dropped, so
 an advert inside an article goes while the article stays. What is never drawn (scripts, styles, the head) is no candidate.
 
-The trees are trained here, by Spark, on a bounded sample: at most ``TRAIN_PAGES`` pages with the smallest hash and at
+The trees are trained here, by Spark, on a bounded sample: about ``TRAIN_PAGES`` different pages, chosen by their hash, and at
 most ``TRAIN_CHARS`` characters of each. A page is used as it is, with labels from its own article element, and its
 sentences are set again into page layouts with known parts: with and without telling tags, with menus, adverts,
 notices, forms and reader comments around and inside the article, and with tags left open.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokenfile import sampled
 from .dom import BAD_TAGS, BAD_WORDS, FEATURES, GOOD_TAGS, Page
 
 #: Parameters: bounds of the training sample, layouts per page, and the trees.
@@ -184,8 +185,9 @@ def train(pages: DataFrame) -> Forest:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    chosen = pages.select("page_id", F.substring("html", 1, TRAIN_CHARS).alias("html")).filter("length(html) > 0")
-    rows = chosen.orderBy(F.xxhash64("page_id", "html"), "page_id", "html").limit(TRAIN_PAGES).collect()
+    drawn = sampled(pages.select("page_id", "html"), TRAIN_PAGES)
+    chosen = drawn.select("page_id", F.substring("html", 1, TRAIN_CHARS).alias("html")).filter("length(html) > 0")
+    rows = sorted(chosen.distinct().collect(), key=lambda r: (r.page_id is None, r.page_id, r.html))
     known = training_rows([r.html for r in rows])
     if known["label"].nunique() < 2:
         return Forest([[(-1, 0.0, 0, 1.0)]], [1.0])

@@ -8,8 +8,8 @@ first; documents of one id follow the hash of their text, so a hot id is spread
 A task writes a shard under a name of its own and moves it into place when it is whole, and the manifest names the
 files of the attempts that counted; a lost executor leaves at most an unnamed file behind.
 
-The dictionary is trained on a bounded sample: at most ``SAMPLE_DOCS`` documents with the smallest hash, and of them
-at most ``SAMPLE_CHARS`` characters. Every document is written whole.
+The dictionary is trained on a bounded sample: about ``SAMPLE_DOCS`` different documents, chosen by their hash, and
+at most ``SAMPLE_CHARS`` characters of each. Every document is written whole.
 
 Defined cases: a null or empty text has the end id alone; a null ``doc_id`` is written as the smallest long and read back as null; with too few
 documents to train on, the sample itself is the dictionary; no documents give no shard.
@@ -52,10 +52,17 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """About ``size`` rows, the same ones in every run: those whose hash lies in that share of all hashes."""
+    share = F.lit(size / max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 31)) < share * (1 << 31))
+
+
 def train_dictionary(docs: DataFrame, vocabulary: str, kind: np.dtype) -> bytes:
     """A dictionary for serialized ids from the bounded sample; the same sample gives the same dictionary."""
-    chosen = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("length(text) > 0")
-    rows = chosen.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    drawn = sampled(docs.select("doc_id", "text"), SAMPLE_DOCS)
+    chosen = drawn.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).filter("length(text) > 0")
+    rows = sorted(chosen.distinct().collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.text))
     own = bpe.codec(vocabulary)
     samples = []
     for row in rows:

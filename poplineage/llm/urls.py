@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import pin
 from . import words as W
 
 #: Parameters: words that each model keeps, the longest word, and the weight of a class before any URL.
@@ -170,7 +171,15 @@ def _counted(met: dict[str, Counter]) -> pa.RecordBatch:
 
 
 def most_frequent(counts: DataFrame, by: Column) -> DataFrame:
-    return counts.orderBy(by.desc(), "word").limit(MAX_WORDS)
+    """The words of the highest counts, by sixteenths of a power of two, as many levels as ``MAX_WORDS`` allows."""
+    levelled = pin(counts.withColumn("level", F.floor(16 * F.log2(by)).cast("int")), "words")
+    kept, lowest = 0, None
+    for level, words in sorted(levelled.groupBy("level").count().collect(), reverse=True):
+        kept += words
+        if kept > MAX_WORDS:
+            break
+        lowest = level
+    return levelled.filter(F.col("level") >= lowest if lowest is not None else F.lit(False)).drop("level")
 
 
 class Bayes:
@@ -193,8 +202,8 @@ def filter_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[Rule]) -> Dat
     """``pages`` with host, path, rule, verdict, ``words`` and ``score`` (null where a rule decides)."""
     pages = pages.drop("host", "path", "rule", "verdict", "words", "score")
     judged = parsed(pages, rules)
-    words = {r.word: r["count"] for r in most_frequent(word_counts(docs), F.col("count")).collect()}
-    seen = most_frequent(taught(judged, words), F.col("allow") + F.col("block")).collect()
+    words = {r.word: r["count"] for r in sorted(most_frequent(word_counts(docs), F.col("count")).collect())}
+    seen = sorted(most_frequent(taught(judged, words), F.col("allow") + F.col("block")).collect())
     bayes, items = Bayes({r.word: (r.allow, r.block) for r in seen}), tuple(words.items())
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
