@@ -12,7 +12,8 @@ in the shared folder.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a null ``doc_id`` takes part
 and gets the smallest id of its component, null if the component has no other; repeated rows are rows of their own
-in one component, of which ``one_of_each`` keeps one; among rows of one id the smaller hash of the text stays.
+in one component, of which ``one_of_each`` keeps one; among rows of one id the smaller hash of the text stays. Names
+that begin with ``__llm`` are not for the input's columns.
 """
 
 from __future__ import annotations
@@ -132,10 +133,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest id of each component."""
-    stays = near_duplicates(docs).filter("first").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    kept = keyed.join(stays.withColumnRenamed("_tie", "_first"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_tie"]).drop("_tie")
+    stays = near_duplicates(docs).filter("first").select(F.col("doc_id").alias("__llm_id"), F.col("tie").alias("__llm_tie")).distinct()
+    keyed = docs.withColumn("__llm_tie", F.xxhash64("text"))
+    kept = keyed.join(stays.withColumnRenamed("__llm_tie", "__llm_first"), F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_tie") == F.col("__llm_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__llm_tie"]).drop("__llm_tie")
 
 
 def hex_digits(fp: str = "fp") -> Column:
