@@ -8,12 +8,12 @@ goes on. Where a factor ends inside phrases that share an anchor but not all wor
 are looked up one by one. A factor has at least one window, and its words are a duplicate span.
 
 Equal phrases of a slice are reduced to one before they are dealt, so a passage or a copy that a large part of the
-corpus shares reaches its block about once per slice of two million bytes. What is equal is told by 128 bits of
+corpus shares reaches its block about once per slice of a million bytes. What is equal is told by 128 bits of
 hashes: of anchor and phrase, and two of each window.
 
 Defined cases: a null text has no words; a null ``doc_id`` stands behind all others; rows of one id and one text are
 one document, and rows of one id with different texts follow the hash of the text; texts under 20 words lose
-nothing; a column named ``llm_substrings`` in the input is replaced.
+nothing; a column named ``llm_substrings`` in the input is replaced, and names that begin with ``__llm`` are not for the input.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def phrases(docs: DataFrame) -> DataFrame:
                 once = np.ones(len(order), bool)  # rows that are given twice are one document
                 once[1:] = ~same[1:] | np.any([p[1:] != p[:-1] for p in place], axis=0)
                 # A known phrase needs no index; it is dealt by its own place, so that a hot passage stays spread.
-                a = np.where(same, W.mix((place[0] ^ place[1] ^ (place[2] << 32)).astype(np.uint64)).view(np.int64), a)
+                a = np.where(same, W.mix((place[0] ^ place[1] ^ (place[2].astype(np.int64) << 32)).astype(np.uint64)).view(np.int64), a)
                 columns = (a, c, *place, count[order].astype(np.int32), same)
                 names = ["anchor", "content", *PLACE, "windows", "known"]
                 yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in columns], names)
@@ -168,11 +168,11 @@ def factors(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the struct ``llm_substrings``: n_words, n_removed, and the kept words joined by one space."""
     docs = docs.drop(RESULT)
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST_ID)), "_tie": F.xxhash64("text")})
-    plain = keyed.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), "text")
-    runs = by_document(factors(plain)).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs"))
+    keyed = docs.withColumns({"__llm_id": F.coalesce("doc_id", F.lit(LAST_ID)), "__llm_tie": F.xxhash64("text")})
+    plain = keyed.select(F.col("__llm_id").alias("id"), F.col("__llm_tie").alias("tie"), "text")
+    runs = by_document(factors(plain)).select(F.col("id").alias("__llm_id"), F.col("tie").alias("__llm_tie"), F.col("runs").alias("__llm_runs"))
     names = docs.columns
-    joined = keyed.join(runs, ["_id", "_tie"], "left").select(*names, "_runs")
+    joined = keyed.join(runs, ["__llm_id", "__llm_tie"], "left").select(*names, "__llm_runs")
     kind = T.StructType(
         [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     )
@@ -182,7 +182,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for row, end, data, offsets in W.text_slices(batch.column("text")):
                 own = batch.slice(row, end - row)
-                text, start, windows = _run_arrays(own.column("_runs"))
+                text, start, windows = _run_arrays(own.column("__llm_runs"))
                 starts, _, first = W.spans(data, offsets, W.WORD)
                 edge = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(edge, first[text] + start, 1)

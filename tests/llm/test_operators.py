@@ -94,6 +94,8 @@ def test_bpe(docs, none):
     for row in bpe.decode(encoded, queries.BPE_FILE).collect():
         expected = tokenizer.encode(row.text or "", add_special_tokens=False).ids
         assert row.ids == expected and row.decoded == tokenizer.decode(expected, skip_special_tokens=False)
+    both = bpe.round_trip(docs, queries.BPE_FILE).select("ids", "decoded").collect()
+    assert by_row(both) == by_row(bpe.decode(encoded, queries.BPE_FILE).select("ids", "decoded").collect())
     assert bpe.decode(bpe.encode(none, queries.BPE_FILE), queries.BPE_FILE).count() == 0
 
 
