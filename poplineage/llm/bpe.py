@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from . import words as W
 
 #: Parameters: what a task remembers is dropped when it exceeds one of these.
-MAX_FRAGMENTS = 400_000
-MAX_FRAGMENT_BYTES = 24 << 20
+MAX_FRAGMENTS = 200_000
+MAX_FRAGMENT_BYTES = 8 << 20
 
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LETTERS = [c for c in range(128) if chr(c).isalpha()]
@@ -232,12 +232,31 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of the text and the text that these ids decode to, in one pass and by one codec per task."""
+    vocabulary = read_vocabulary(path)
+    docs = docs.drop(ids, column)
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(column, T.StringType())]
+    schema = T.StructType([*docs.schema.fields, *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(vocabulary)
+        for batch in batches:
+            for row, end, data, offsets in W.text_slices(batch.column("text")):
+                found, at = own.encode(data, offsets)
+                made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found)), pa.array(own.decode(found, at), pa.string())]
+                part = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, ids, column])
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``tokens`` with the text of the array ``ids``; a null array is an empty text."""
     vocabulary = read_vocabulary(path)
     tokens = tokens.drop(column)
     schema = T.StructType([*tokens.schema.fields, T.StructField(column, T.StringType())])
-    step = 1 << 20
+    step = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)

@@ -15,8 +15,18 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 
 
+#: Parameter: bytes of rows that a Python worker is sent at once, in place of Spark's default.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where it lies; a cluster may get it by ``--py-files`` instead."""
+    """Lets Python workers import this package from where it lies; a cluster may get it by ``--py-files`` instead.
+
+    Batches for the workers are made smaller, unless the session sets their size itself.
+    """
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     root, held = str(pathlib.Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in held.get("PYTHONPATH", "").split(os.pathsep):
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [held.get("PYTHONPATH"), root]))
@@ -48,8 +58,8 @@ def ids_text(ids: str = "ids"):
 
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), BPE_FILE).select("doc_id", "ids")
-    return bpe.decode(encoded, BPE_FILE).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, BPE_FILE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         digest(ids_text()).alias("ids_sha256"),

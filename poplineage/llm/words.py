@@ -1,6 +1,6 @@
 """Words, lines and their hashes for whole batches of texts, as numpy arrays over the Arrow buffer.
 
-Used inside ``mapInArrow``: a batch is cut into slices of about two million bytes (a longer text is a
+Used inside ``mapInArrow``: a batch is cut into slices of about a million bytes (a longer text is a
 slice of its own), so memory follows the slice and not the batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACE_BYTES = b" \t\n\v\f\r"
 
