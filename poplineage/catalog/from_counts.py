@@ -16,7 +16,7 @@ from .views import clone_counts, table
 NOISE_UP_TO = 95
 TOP = 11
 
-_STATS_SQL = f"""with {S.CS},
+STATS_SQL = f"""with {S.CS},
 sized as (select *, sum(count) over (partition by timePoint)::double as n from cs),
 spread as (select *, {", ".join(f"sum(p{i}::double * count) over (partition by timePoint) / n as m{i}" for i in range(6))}
   from sized),
@@ -26,7 +26,7 @@ stats as (select timePoint, count(*) as cloneCount, max(n)::bigint as systemSize
   {", ".join(f"round(sqrt(sum(count * (p{i}::double - m{i}) ** 2) / (max(n) - 1)), 6) as stddev_{c}"
     for i, c in enumerate(PARAM_COLUMNS))}
   from spread group by timePoint)"""
-_SCALARS = ("entropy", *[f"mean_{c}" for c in PARAM_COLUMNS], *[f"stddev_{c}" for c in PARAM_COLUMNS])
+SCALARS = ("entropy", *[f"mean_{c}" for c in PARAM_COLUMNS], *[f"stddev_{c}" for c in PARAM_COLUMNS])
 
 
 @query("system_size", f"with {S.CS} select timePoint, sum(count)::bigint as systemSize from cs group by 1")
@@ -34,15 +34,15 @@ def system_size(spark, folder):
     return stats.system_size(clone_counts(spark, folder))
 
 
-@query("clone_stats", f"{_STATS_SQL} select * from stats")
+@query("clone_stats", f"{STATS_SQL} select * from stats")
 def clone_stats(spark, folder):
     scalars = stats.flat_scalars(stats.scalar_stats(clone_counts(spark, folder)))
-    return scalars.select("timePoint", "cloneCount", "systemSize", *[rounded(c, c) for c in _SCALARS])
+    return scalars.select("timePoint", "cloneCount", "systemSize", *[rounded(c, c) for c in SCALARS])
 
 
 @query(
     "normalized_entropy",
-    f"""{_STATS_SQL} select timePoint, round(entropy / nullif(log2(cloneCount), 0), 5) as normalized_entropy
+    f"""{STATS_SQL} select timePoint, round(entropy / nullif(log2(cloneCount), 0), 5) as normalized_entropy
     from stats""",
 )
 def normalized_entropy(spark, folder):
@@ -70,9 +70,9 @@ def weighted_deviation(spark, folder):
     return clone_counts(spark, folder).groupBy("mutationId").agg(rounded(spread, "stddev_time"))
 
 
-_UNPIVOTED = f"""each as ({" union all ".join(
+UNPIVOTED = f"""each as ({" union all ".join(
     f"select timePoint, count, '{p}' as parameter, p{i} as v from cs" for i, p in enumerate(PARAMS))})"""
-_BINNED = f"""{S.CS}, {_UNPIVOTED},
+_BINNED = f"""{S.CS}, {UNPIVOTED},
 binned as (select timePoint, parameter, least(greatest(floor(v * 100::float), 0), 99)::int as bin,
   sum(count)::bigint as cells from each group by 1, 2, 3)"""
 _DENSE = f"""{_BINNED},
@@ -124,14 +124,16 @@ def histogram_fractions(spark, folder):
     return shares.select("timePoint", "parameter", "bin", rounded("f", "fraction"))
 
 
+#: The thousand bins of [0, 1) by their edges.
+EDGES = """edges as (select i::int as bin, i / 1000::double as low, (i + 1) / 1000::double as high
+  from (select unnest(range(1000)) as i))"""
+
+
 @query(
     "histogram_1000_left",
-    f"""with {S.CS}, {_UNPIVOTED},
-    binned as (select timePoint, parameter, floor(v::double * 1000)::int as guess, v::double as v, count from each
-      where v >= 0 and v < 1),
-    fixed as (select timePoint, parameter, count, case when v < guess / 1000::double then guess - 1
-      when v >= (guess + 1) / 1000::double then guess + 1 else guess end as bin from binned),
-    counted as (select timePoint, parameter, bin, sum(count) as cells from fixed group by 1, 2, 3)
+    f"""with {S.CS}, {UNPIVOTED},
+    {EDGES}, counted as (select timePoint, parameter, bin, sum(count) as cells from each
+      join edges on low <= v::double and v::double < high group by 1, 2, 3)
     select timePoint, parameter, bin,
       round(cells / sum(cells) over (partition by timePoint, parameter), 6) as fraction from counted""",
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
@@ -13,9 +15,10 @@ from ..runtime import pin, scratch_path
 from ..schemas import EVENT_LOG, PARAM_COLUMNS, PARAMS, require_not_null
 from ..sources import event_log, snapshot_text, tables
 from . import sql_views as S
+from .from_counts import EDGES, SCALARS, STATS_SQL, UNPIVOTED
 from .from_events import LIFETIME, LINEAR_COLUMNS, chronicle, no_parent_as_minus_one, stored_chronicle
 from .from_tree import paths_of
-from .registry import plain, query, rounded
+from .registry import joined, plain, query, rounded
 from .views import cell_events, clone_counts, mutation_tree
 
 LOG_COLUMNS = ("ord", "time", "timeDelta", "eventKind", "mutationId", "x", "y", "z")
@@ -90,7 +93,7 @@ def log_columns(spark, folder):
 
 @query(
     "malformed_rows",
-    f"""with {S.EV} select count(*) as malformed from ev where eventKind = 2""",
+    f"""with {S.EV} select x, y, mutationId, time, timeDelta from ev where eventKind = 2""",
 )
 def malformed_rows(spark, folder):
     """Removals are written one column short, and must be found again."""
@@ -99,9 +102,12 @@ def malformed_rows(spark, folder):
     fields = [F.col(c).cast("string") for c in EVENT_LOG.names[:-1]]
     line = F.concat_ws(";", *fields, cut.cast("string"))
     path = scratch_path(spark, "short")
-    log.select(line.alias("value")).coalesce(1).write.text(path)
+    log.select(line.alias("value")).write.text(path)
     found = event_log.malformed_rows(spark, path, header=False)
-    return found.agg(F.count(F.lit(1)).alias("malformed"))
+    held = F.split(found.columns[0], ";")
+    kinds = {"position_0": "x double", "position_1": "y double", "mutation_id": "mutationId bigint", "event_time": "time double", "event_time_delta": "timeDelta int"}
+    fields = [(EVENT_LOG.names.index(field), *kind.split()) for field, kind in kinds.items()]
+    return found.select(*[held[at].cast(kind).alias(name) for at, name, kind in fields])
 
 
 @query(
@@ -131,6 +137,7 @@ def sectioned_text(spark, folder):
 
 
 SECTION_TIMES = (0.0, 10.0, 20.0, 30.0)
+SLICES = 3
 
 
 def _write_sections(spark: SparkSession, folder: str) -> str:
@@ -138,23 +145,51 @@ def _write_sections(spark: SparkSession, folder: str) -> str:
     header = ",".join([*jobs.TEXT_PARAMS, jobs.MUTATION_COLUMN])
     values = [F.col(f"cellParams.{p}").cast("string") for p in PARAMS]
     body = cells.select("timePoint", F.lit(2).alias("part"), F.concat_ws(",", *values, F.col("mutationId")).alias("value"))
-    return _sections(spark, body, header)
+    return _sections(spark, body, F.lit(header))
 
 
-def _sections(spark: SparkSession, body: DataFrame, header: str | None) -> str:
-    """Writes lines in the order of time and part; each time's own lines come first."""
-    times = body.select("timePoint").distinct()
+def _sections(spark: SparkSession, body: DataFrame, header: Column | None) -> str:
+    """Writes lines to several files per time, each of which begins with the time's own lines."""
+    body = body.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(SLICES)).cast("int"))
+    files = pin(body.select("timePoint", "slice").distinct(), "files")
     title = F.concat(F.lit(snapshot_text.TIME_PREFIX), F.col("timePoint").cast("string"))
-    parts = [times.select("timePoint", F.lit(0).alias("part"), title.alias("value"))]
-    if header is not None:
-        parts.append(times.select("timePoint", F.lit(1).alias("part"), F.lit(header).alias("value")))
-    parts.append(times.select("timePoint", F.lit(3).alias("part"), F.lit("").alias("value")))
-    for part in parts:
-        body = body.unionByName(part)
+    for part, line in enumerate((title, header, None, F.lit(""))):
+        if line is not None:
+            body = body.unionByName(files.select("timePoint", F.lit(part).alias("part"), line.alias("value"), "slice"))
     path = scratch_path(spark, "sections")
-    # One file, as the simulator writes it.
-    body.orderBy("timePoint", "part").select("value").coalesce(1).write.text(path)
-    return path
+    laid = body.repartition("timePoint", "slice").sortWithinPartitions("timePoint", "slice", "part")
+    laid.select("timePoint", "slice", "value").write.partitionBy("timePoint", "slice").text(path)
+    return f"{path}/*/*"
+
+
+_CELLS_SQL = f"""{S.CHRON}, cells as (select t.t as timePoint, c.x, c.y, c.mutationId from chron c
+  join (select unnest([0, 10, 20, 30])::double as t) t on birthTime <= t.t and t.t < deathTime)"""
+
+
+@query("sectioned_text_quoted", f"with {_CELLS_SQL} select timePoint as time, x, mutationId from cells")
+def sectioned_text_quoted(spark, folder):
+    """The delimiter and doubled marks stand inside quoted fields, ahead of the fields that are read."""
+    cells = snapshots.cells_by_time(chronicle(spark, folder), TimeGrid.of(SECTION_TIMES))
+    line = F.concat(F.lit('"a ""cell"", of '), "mutationId", F.lit('",'), "position.x", F.lit(","), "mutationId")
+    body = cells.select("timePoint", F.lit(2).alias("part"), line.alias("value"))
+    path = _sections(spark, body, F.lit(f'"label, quoted",x,{jobs.MUTATION_COLUMN}'))
+    read = snapshot_text.read_sections(spark, path, ["x", jobs.MUTATION_COLUMN])
+    return read.select("time", "x", F.col(f"`{jobs.MUTATION_COLUMN}`").cast("long").alias("mutationId"))
+
+
+@query(
+    "sectioned_text_mixed_headers",
+    f"with {_CELLS_SQL} select timePoint as time, x, case when timePoint >= 20 then y end as y, mutationId from cells",
+)
+def sectioned_text_mixed_headers(spark, folder):
+    """Later sections have a column more, and another order of columns."""
+    cells = snapshots.cells_by_time(chronicle(spark, folder), TimeGrid.of(SECTION_TIMES))
+    late = F.col("timePoint") >= 20
+    line = F.when(late, F.concat_ws(",", "mutationId", "position.y", "position.x")).otherwise(F.concat_ws(",", "position.x", "mutationId"))
+    header = F.when(late, F.lit("mutationId,y,x")).otherwise(F.lit("x,mutationId"))
+    path = _sections(spark, cells.select("timePoint", F.lit(2).alias("part"), line.alias("value")), header)
+    read = snapshot_text.read_sections(spark, path)
+    return read.select("time", "x", "y", F.col("mutationId").cast("long").alias("mutationId"))
 
 
 @query(
@@ -175,21 +210,58 @@ def sectioned_points(spark, folder):
       join (select unnest([0, 10, 20, 30])::double as t) t on birthTime <= t.t and t.t < deathTime),
     each as ({" union all ".join(f"select timePoint, '{p}' as parameter, p{i}::varchar::double as v from cells"
         for i, p in enumerate(PARAMS))}),
-    guessed as (select *, floor(v * 1000)::int as g from each where v >= 0 and v < 1),
-    binned as (select timePoint, parameter, case when v < g / 1000::double then g - 1
-      when v >= (g + 1) / 1000::double then g + 1 else g end as bin from guessed),
-    counted as (select timePoint, parameter, bin, count(*) as n from binned group by 1, 2, 3)
+    {EDGES}, counted as (select timePoint, parameter, bin, count(*) as n from each join edges on low <= v and v < high
+      group by 1, 2, 3)
     select timePoint, parameter, bin, round(n / sum(n) over (partition by timePoint, parameter), 6) as fraction
     from counted""",
 )
 def snapshot_text_histograms(spark, folder):
-    parents = scratch_path(spark, "parents")
-    _parents(spark, folder).write.csv(parents)
-    done = jobs.snapshot_text_analysis(spark, _write_sections(spark, folder), parents)
+    done = _text_job(spark, folder)
     shares = done["histograms"].select("timePoint", "parameter", F.posexplode("histogram").alias("bin", "f"))
     return shares.filter(F.col("f") > 0).select("timePoint", "parameter", "bin", rounded("f", "fraction"))
 
 
+def _text_job(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The job on the cells at four times, with the mutations of ``events`` as a binary tree."""
+    parents = scratch_path(spark, "parents")
+    mutations = cell_events(spark, folder).select("mutationId").distinct()
+    mutations.select("mutationId", F.expr("mutationId div 2")).write.csv(parents)
+    return jobs.snapshot_text_analysis(spark, _write_sections(spark, folder), parents)
+
+
+_COUNTED_SQL = f"{_CELLS_SQL}, counted as (select timePoint, mutationId, count(*) as count from cells group by 1, 2)"
+_LARGE_SQL = f"""with recursive {_COUNTED_SQL}, large as (select mutationId from counted group by 1 having max(count) > 10),
+up as (select mutationId, mutationId as node, [mutationId] as ancestors from large
+  union all select mutationId, node // 2, list_prepend(node // 2, ancestors) from up where node > 1)"""
+
+
+@query("text_mutation_counts", f"with {_COUNTED_SQL} select timePoint, mutationId, count from counted")
+def text_mutation_counts(spark, folder):
+    return _text_job(spark, folder)["mutation_counts"]
+
+
+@query(
+    "text_ancestries",
+    f"{_LARGE_SQL} select mutationId, array_to_string(ancestors, ',') as ancestors from up where node = 1",
+)
+def text_ancestries(spark, folder):
+    return _text_job(spark, folder)["ancestries"].select("mutationId", joined("ancestors", "ancestors"))
+
+
+@query(
+    "text_prevalence",
+    f"""{_LARGE_SQL}, placed as (select mutationId, row_number() over (order by ancestors) as place from up where node = 1),
+    shown as (select timePoint, mutationId, count from counted where mutationId in (select mutationId from large)
+      union all select timePoint, 0, sum(case when mutationId in (select mutationId from large) then 0 else count end)
+        from counted group by 1)
+    select timePoint, coalesce(place, 0) as place, mutationId, count::bigint as count,
+      round(count / sum(count) over (partition by timePoint), 6) as fraction
+    from shown left join placed using (mutationId)""",
+)
+def text_prevalence(spark, folder):
+    return _text_job(spark, folder)["prevalence"].withColumn("fraction", F.round("fraction", 6))
+
+
 def _parents(spark: SparkSession, folder: str) -> DataFrame:
     return mutation_tree(spark, folder).select("mutationId", "parentMutationId")
 
@@ -218,7 +290,8 @@ def appended_lineages(spark, folder):
     paths = paths_of(spark, folder, "levels")
     path = scratch_path(spark, "appended")
     tables.save_parquet(paths.limit(0), path)
-    tables.append_parquet(paths, path)
+    for depth in range(1, paths.agg(F.max(F.size("ancestors"))).first()[0] + 1):
+        tables.append_parquet(paths.filter(F.size("ancestors") == depth), path)
     return spark.read.parquet(path).select("mutationId", F.size("ancestors").alias("depth"))
 
 
@@ -242,26 +315,31 @@ def snapshot_files(spark, folder):
 
 @query(
     "histogram_files",
-    f"""with {S.CS}, b as (select timePoint, least(greatest(floor(p0 * 100::float), 0), 99)::int as bin, count from cs)
-    select {", ".join(f"coalesce(sum(count) filter (bin = {i}), 0)::bigint as _c{i}" for i in range(100))}
-    from b group by timePoint""",
+    f"""with {S.CS}, {UNPIVOTED},
+    b as (select timePoint, parameter, least(greatest(floor(v * 100::float), 0), 99)::int as bin, count from each)
+    select parameter, {", ".join(f"coalesce(sum(count) filter (bin = {i}), 0)::bigint as _c{i}" for i in range(100))}
+    from b group by timePoint, parameter""",
 )
 def histogram_files(spark, folder):
     prefix = scratch_path(spark, "text") + "/"
     tables.write_histograms(stats.histogram_struct(clone_counts(spark, folder)), prefix)
-    return tables.read_histogram(spark, f"{prefix}histogram_{PARAMS[0]}.csv", stats.HISTOGRAM_BINS)
+    read = [
+        tables.read_histogram(spark, f"{prefix}histogram_{p}.csv", stats.HISTOGRAM_BINS).withColumn("parameter", F.lit(p))
+        for p in PARAMS
+    ]
+    return functools.reduce(DataFrame.unionByName, read)
 
 
 @query(
     "scalar_files",
-    f"""with {S.CS} select count(*) as cloneCount, sum(count)::bigint as systemSize from cs group by timePoint""",
+    f"{STATS_SQL} select * exclude (timePoint) from stats",
 )
 def scalar_files(spark, folder):
     path = scratch_path(spark, "scalars")
     tables.write_scalars(stats.clone_stats(clone_counts(spark, folder)), path)
-    names = ["cloneCount bigint", "systemSize bigint", *[f"s{i} double" for i in range(13)]]
+    names = ["cloneCount bigint", "systemSize bigint", *[f"{c} double" for c in SCALARS]]
     rows = spark.read.option("sep", ";").schema(", ".join(names)).csv(path)
-    return rows.select("cloneCount", "systemSize")
+    return rows.select("cloneCount", "systemSize", *[rounded(c, c) for c in SCALARS])
 
 
 @query("materialized", f"with {S.CHRON} select particleId, parentId, mutationId from chron")

@@ -221,6 +221,16 @@ def subtree_over(spark, folder):
     return reports.subtree_over(summary, DRAWN_ABOVE)[1].select("mutationId", "parentMutationId")
 
 
+@query(
+    "subtree_vertices",
+    f"""with recursive {S.SUMMARY} select mutationId, typeCount, mutationCount,
+    round((typeCount + 1) ** 0.25, 6) as size from summary where mutationCount > {DRAWN_ABOVE}""",
+)
+def subtree_vertices(spark, folder):
+    vertices = reports.subtree_over(summary_of(spark, folder), DRAWN_ABOVE)[0]
+    return vertices.withColumn("size", F.round("size", 6))
+
+
 @query(
     "large_final_mutations",
     f"""with recursive {S.SUMMARY} select mutationId, typeCount, mutationCount from summary

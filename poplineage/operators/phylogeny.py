@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import pin
+from ..runtime import pin, scratch_path
 from ..schemas import PARAMS
 
 ROOT = 1
@@ -64,22 +64,25 @@ def _root_row(edges: DataFrame, root: int) -> DataFrame:
 
 
 def _by_levels(edges: DataFrame, root: int, strict: bool) -> DataFrame:
-    total, reached = edges.count() + 1, 0
-    levels, frontier = [], pin(_root_row(edges, root), "level")
+    """Each level is added to one folder, which is read as one table in the end."""
+    spark = edges.sparkSession
+    total, reached, depth = edges.count() + 1, 0, 0
+    path, step = scratch_path(spark, "levels"), _root_row(edges, root)
     while True:
+        depth += 1
+        step.write.parquet(f"{path}/level={depth}")
+        frontier = spark.read.schema(ANCESTRY).parquet(f"{path}/level={depth}")
         size = frontier.count()
         reached += size
-        levels.append(frontier)
         if size == 0 or reached >= total:
             break
         parents = frontier.withColumnRenamed("mutationId", "parentMutationId")
         step = edges.join(parents, "parentMutationId").select(
             "mutationId", F.array_append("ancestors", F.col("mutationId")).alias("ancestors")
         )
-        frontier = pin(step, "level")
     if strict and reached < total:
         raise BrokenTree(f"{total - reached} of {total} mutations are not connected to {root}")
-    return functools.reduce(DataFrame.unionByName, levels)
+    return spark.read.schema(ANCESTRY).parquet(path).select("mutationId", "ancestors")
 
 
 def _by_doubling(edges: DataFrame, root: int, strict: bool) -> DataFrame:

@@ -45,15 +45,18 @@ def cells_by_time(chronicles: DataFrame, grid: TimeGrid, bounds: str = "half_ope
     """
     birth, death = F.col("birthTime"), F.col("deathTime")
     if bounds == "closed_int":
-        start = F.greatest(F.least(birth, F.lit(grid.last)), F.lit(0.0)).cast("int")
-        stop = F.greatest(F.least(death, F.lit(grid.last)), F.lit(0.0)).cast("int")
         alive = chronicles.filter(birth <= grid.last)
-        return alive.withColumn("timePoint", F.explode(F.sequence(start, stop)))
+        return alive.withColumn("timePoint", F.explode(F.sequence(_whole(birth, grid), _whole(death, grid))))
     start, stop = grid.covered(birth, death, bounds)
     indexed = chronicles.filter(start < stop).withColumn("__index", F.explode(F.sequence(start, stop - 1)))
     return indexed.withColumn("timePoint", grid.point(F.col("__index"))).drop("__index")
 
 
+def _whole(time: Column, grid: TimeGrid) -> Column:
+    """The whole number at or before a time, held between 0 and the last point."""
+    return F.greatest(F.least(time, F.lit(grid.last)), F.lit(0.0)).cast("int")
+
+
 def earliest_params() -> Column:
     """Parameters of a group's first particle in log order.
 
@@ -85,7 +88,7 @@ def clone_snapshots(
     of points. Parameters are those of the first particle of the mutation at the point (explode) or
     of the mutation (delta), which is the same where all its cells share them.
     """
-    if method == "explode" or bounds == "closed_int":
+    if method == "explode":
         rows = cells_by_time(chronicles, grid, bounds)
         return rows.groupBy(*keys, "mutationId", "timePoint").agg(
             F.count(F.lit(1)).alias("count"), earliest_params().alias("cellParams")
@@ -93,7 +96,14 @@ def clone_snapshots(
     if method != "delta":
         raise ValueError(f"unknown method {method!r}")
     clone = [*keys, "mutationId"]
-    start, stop = grid.covered(F.col("birthTime"), F.col("deathTime"), bounds)
+    birth, death = F.col("birthTime"), F.col("deathTime")
+    if bounds == "closed_int":
+        chronicles = chronicles.filter(birth <= grid.last)
+        start, stop = _whole(birth, grid).cast("long"), _whole(death, grid).cast("long") + 1
+        size, point = int(max(grid.last, 0.0)) + 1, F.col("index").cast("int")
+    else:
+        start, stop = grid.covered(birth, death, bounds)
+        size, point = grid.size, grid.point(F.col("index"))
     moves = F.array(
         F.struct(start.alias("index"), F.lit(1).cast("long").alias("change")),
         F.struct(stop.alias("index"), F.lit(-1).cast("long").alias("change")),
@@ -111,11 +121,11 @@ def clone_snapshots(
         F.sum("change").over(along).alias("count"),
         F.first("params").over(along).alias("cellParams"),
         "index",
-        F.lead("index", 1, grid.size).over(along).alias("next"),
+        F.lead("index", 1, size).over(along).alias("next"),
     ).filter((F.col("count") > 0) & (F.col("index") < F.col("next")))
     points = F.explode(F.sequence("index", F.col("next") - 1)).alias("index")
     return spans.select(*clone, "count", "cellParams", points).select(
-        *clone, grid.point(F.col("index")).alias("timePoint"), "count", "cellParams"
+        *clone, point.alias("timePoint"), "count", "cellParams"
     )
 
 

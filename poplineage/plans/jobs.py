@@ -11,6 +11,7 @@ from ..functions.aggregates import fractions
 from ..functions.intervals import TimeGrid
 from ..operators import chronicles as lifetimes
 from ..operators import events, muller, phylogeny, reports, snapshots, stats
+from ..runtime import pin
 from ..sources import event_log, snapshot_text, tables
 from ..sources.tables import materialize
 
@@ -101,6 +102,7 @@ def analyze(
         kept[name] = materialize(spark, f"{folder}/{name}.parquet", build)
         return kept[name]
 
+    # Names of the result tables.
     cells = kept["chronicles"] = chronicle(spark, log, out, initial, strict, parent_rule)
     points = table("time_points", lambda: snapshots.time_points(cells))
     last = points.agg(F.max("value")).first()[0]
@@ -171,7 +173,8 @@ def snapshot_text_analysis(
             *[F.col(f"`{text}`").alias(name) for text, name in zip(TEXT_PARAMS, stats.PARAMS)]
         ).alias("cellParams"),
     )
-    counts = muller.snapshot_counts(nested, "timePoint")
+    nested = pin(nested, "text-cells")
+    counts = pin(muller.snapshot_counts(nested, "timePoint"), "text-counts")
     large = muller.ever_large(counts, threshold)
     paths = phylogeny.ancestry_of(large, event_log.read_parents(spark, parents_path))
     return {

@@ -26,6 +26,7 @@ PARAM_COLUMNS = (
 )
 AXES = ("x", "y", "z")
 
+# Columns of an event log, in the order of the file.
 _LOG_FIELDS = (
     ("position_0", T.FloatType()),
     ("position_1", T.FloatType()),

@@ -76,7 +76,7 @@ def write_scalars(stats: DataFrame, path: str) -> None:
 
 def write_snapshot_folders(chronicles: DataFrame, path: str, last: float) -> None:
     """Lifetimes that cover a whole time 0 … ``last``, ends excluded, in one CSV folder per time."""
-    grid = TimeGrid.of(range(int(max(last, 0.0)) + 1))
+    grid = TimeGrid(float(int(max(last, 0.0))))
     rows = cells_by_time(chronicles, grid, bounds="open").select(
         F.format_string("%05d", F.col("timePoint").cast("int")).alias("snapshot"),
         "particleId",
