@@ -16,8 +16,9 @@ from .views import clone_counts, table
 NOISE_UP_TO = 95
 TOP = 11
 
-STATS_SQL = f"""with {S.CS},
-sized as (select *, sum(count) over (partition by timePoint)::double as n from cs),
+
+def stats_of(source: str) -> str:
+    return f"""sized as (select *, sum(count) over (partition by timePoint)::double as n from {source}),
 spread as (select *, {", ".join(f"sum(p{i}::double * count) over (partition by timePoint) / n as m{i}" for i in range(6))}
   from sized),
 stats as (select timePoint, count(*) as cloneCount, max(n)::bigint as systemSize,
@@ -26,6 +27,9 @@ stats as (select timePoint, count(*) as cloneCount, max(n)::bigint as systemSize
   {", ".join(f"round(sqrt(sum(count * (p{i}::double - m{i}) ** 2) / (max(n) - 1)), 6) as stddev_{c}"
     for i, c in enumerate(PARAM_COLUMNS))}
   from spread group by timePoint)"""
+
+
+STATS_SQL = f"with {S.CS},\n{stats_of('cs')}"
 SCALARS = ("entropy", *[f"mean_{c}" for c in PARAM_COLUMNS], *[f"stddev_{c}" for c in PARAM_COLUMNS])
 
 
@@ -70,8 +74,12 @@ def weighted_deviation(spark, folder):
     return clone_counts(spark, folder).groupBy("mutationId").agg(rounded(spread, "stddev_time"))
 
 
-UNPIVOTED = f"""each as ({" union all ".join(
-    f"select timePoint, count, '{p}' as parameter, p{i} as v from cs" for i, p in enumerate(PARAMS))})"""
+def unpivoted(source: str) -> str:
+    each = [f"select timePoint, count, '{p}' as parameter, p{i} as v from {source}" for i, p in enumerate(PARAMS)]
+    return f"each as ({' union all '.join(each)})"
+
+
+UNPIVOTED = unpivoted("cs")
 _BINNED = f"""{S.CS}, {UNPIVOTED},
 binned as (select timePoint, parameter, least(greatest(floor(v * 100::float), 0), 99)::int as bin,
   sum(count)::bigint as cells from each group by 1, 2, 3)"""

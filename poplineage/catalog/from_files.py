@@ -25,9 +25,8 @@ LOG_COLUMNS = ("ord", "time", "timeDelta", "eventKind", "mutationId", "x", "y",
 _LOG_SQL = f"with {S.EV} select ord, time, timeDelta, eventKind, mutationId, x, y, z from ev"
 
 
-def flat_log(spark: SparkSession, folder: str) -> DataFrame:
-    """``events`` in the columns of an event log; what the table does not hold is infinite or 0."""
-    nested = cell_events(spark, folder)
+def flat_log(nested: DataFrame) -> DataFrame:
+    """Events in the columns of an event log; what they do not hold is infinite or 0."""
     filled = {
         **{f"position_{i}": F.col(f"position.{a}") for i, a in enumerate("xyz")},
         "mutation_id": F.col("mutationId"),
@@ -47,9 +46,9 @@ def _logged(nested: DataFrame) -> DataFrame:
     ).select(*LOG_COLUMNS)
 
 
-def _write_log(spark: SparkSession, folder: str, lines: DataFrame | None = None, gz: bool = False) -> str:
+def _write_log(spark: SparkSession, folder: str, gz: bool = False) -> str:
     path = scratch_path(spark, "log")
-    tables.save_csv(flat_log(spark, folder) if lines is None else lines, path, compression="gzip" if gz else "none")
+    tables.save_csv(flat_log(cell_events(spark, folder)), path, compression="gzip" if gz else "none")
     return path
 
 
@@ -62,7 +61,7 @@ def csv_roundtrip(spark, folder):
 def natural_file_order(spark, folder):
     """The log in folders whose names sort wrongly as text: run-8 to run-11, then run-99999 and run-100000."""
     path, names = scratch_path(spark, "log"), (8, 9, 10, 11, 99_999, 100_000)
-    placed = flat_log(spark, folder).withColumn("at", F.monotonically_increasing_id())
+    placed = flat_log(cell_events(spark, folder)).withColumn("at", F.monotonically_increasing_id())
     rows = pin(numbered(placed, ["at"], "row").drop("at"), "rows")
     each = -(-rows.count() // len(names))
     for k, name in enumerate(names):
@@ -97,7 +96,7 @@ def log_columns(spark, folder):
 )
 def malformed_rows(spark, folder):
     """Removals are written one column short, and must be found again."""
-    log = flat_log(spark, folder)
+    log = flat_log(cell_events(spark, folder))
     cut = F.when(F.col("event_kind") == 2, F.lit(None)).otherwise(F.col("event_kind"))
     fields = [F.col(c).cast("string") for c in EVENT_LOG.names[:-1]]
     line = F.concat_ws(";", *fields, cut.cast("string"))
@@ -117,7 +116,7 @@ def malformed_rows(spark, folder):
 )
 def csv_without_last_row(spark, folder):
     path = scratch_path(spark, "cut")
-    tables.save_csv(flat_log(spark, folder), path, single_file=True, compression="gzip")
+    tables.save_csv(flat_log(cell_events(spark, folder)), path, single_file=True, compression="gzip")
     return _logged(event_log.read_events(spark, path, "csv", cut_off=True))
 
 

@@ -23,8 +23,18 @@ EV = """ev as (
   from events)"""
 
 
-def groups(rule: str = ">=") -> str:
-    return f"""{EV},
+# The log of the jobs: removals begin late, so that every mutation is there before, and a quarter of the rows are rare mutations.
+JOB_EV = """ev as (
+  select event_id as ord, (epoch_us(ts) - 1704067200000000)::double / 86400000000::double as time,
+    regexp_extract(props, '[0-9]+')::int as timeDelta,
+    case when event_type = 'signup' then 1 when event_type = 'error' and event_id >= 512 then 2 else 4 end as eventKind,
+    (user_id % 10)::double as x, (user_id // 10)::double as y, 0::double as z,
+    1 + event_id % (case when event_id % 4 = 0 then 512 else 8 end) as mutationId
+  from events)"""
+
+
+def groups(rule: str = ">=", source: str = EV) -> str:
+    return f"""{source},
 lagged as (select *, lag(timeDelta, 1, 0) over (order by ord) as before from ev),
 grp as (select * exclude (before),
     sum((timeDelta {rule} before)::bigint) over (order by ord rows unbounded preceding)::bigint as eventId
@@ -63,6 +73,16 @@ started as (
   select ord, time, timeDelta, eventKind, x, y, z, mutationId, eventId from grp)"""
 CHRON_WITH_INITIAL = f"{WITH_INITIAL}, {_linear('started', 126, False)}, {RESOLVED}"
 
+# One cell of the first mutation for each user stands ahead of the rows of the log.
+JOB_CHRON = f"""{groups(source=JOB_EV)},
+started as (
+  select user_id as ord, '-infinity'::double as time, user_id::int as timeDelta, 1 as eventKind, (user_id % 10)::double as x,
+    (user_id // 10)::double as y, 0::double as z, 1::bigint as mutationId, 0::bigint as eventId
+  from (select distinct user_id from events)
+  union all
+  select ord + (select max(user_id) + 1 from events), time, timeDelta, eventKind, x, y, z, mutationId, eventId from grp),
+{_linear('started', 1, False)}, {RESOLVED}"""
+
 POINTS = """last as (select max(birthTime) as m from chron),
 points as (
   select t from (select unnest(range(greatest(ceil(m)::bigint, 0)))::double as t, m from last) where t < m
@@ -72,8 +92,7 @@ COVERED = """covered as (
 SNAPS = f"""{CHRON}, {POINTS}, {COVERED},
 snaps as (select mutationId, timePoint, count(*) as count, {params()} from covered group by mutationId, timePoint)"""
 
-TREE_OF_EV = f"""{CHRON},
-branches as (
+TREE = """branches as (
   select c.mutationId, c.birthTime as time, c.particleId, c.parentId, coalesce(p.mutationId, 0) as parentMutationId
   from chron c left join chron p on c.parentId = p.particleId
   where c.mutationId <> coalesce(p.mutationId, 0)),
@@ -81,6 +100,8 @@ tree as (
   select mutationId, parentMutationId, time from (
     select *, row_number() over (partition by mutationId order by time, particleId, parentId, parentMutationId) as n
     from branches) where n = 1)"""
+TREE_OF_EV = f"""{CHRON},
+{TREE}"""
 
 CS = f"""cs as (
   select *, {params()} from (
@@ -102,10 +123,10 @@ CARRIED = """carried as (
   select a as mutationId, sum(coalesce(n, 0))::bigint as mutationCount from (
     select unnest(p.ancestors) as a, f.count as n from paths p left join final f using (mutationId))
   group by a)"""
-SUMMARY = f"""{CS}, {FINAL}, {TR}, {PATHS}, {CARRIED},
-summary as (
+SUMMED = f"""summary as (
   select t.mutationId, coalesce(f.count, 0)::bigint as typeCount, c.mutationCount, p.ancestors, t.time,
     t.time - greatest(0, coalesce(u.time, 0)) as waitingTime,
     {", ".join(f"t.p{i}" for i in range(6))}, {", ".join(f"(t.p{i} - u.p{i}) as d{i}" for i in range(6))}
   from tr t join carried c using (mutationId) join paths p using (mutationId)
   left join final f using (mutationId) left join tr u on t.parentMutationId = u.mutationId)"""
+SUMMARY = f"{CS}, {FINAL}, {TR}, {PATHS}, {CARRIED}, {SUMMED}"

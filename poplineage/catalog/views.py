@@ -56,6 +56,26 @@ def cell_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def job_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of the jobs: removals begin late, so that every mutation is there before, and a quarter of the rows are rare mutations."""
+    at = F.col("ord")
+    mutation = F.when(at % 4 == 0, at % 512).otherwise(at % 8) + 1
+    kind = F.col("eventKind.encoded")
+    late = F.struct(F.when((kind == 2) & (at < 512), 4).otherwise(kind).alias("encoded"))
+    return cell_events(spark, folder).withColumns({"mutationId": mutation, "eventKind": late, "cellParams": params_of(mutation)})
+
+
+def job_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """One cell of the first mutation for each user, ahead of the rows of the log."""
+    users = table(spark, folder, "events").select("user_id").distinct()
+    size = users.agg(F.max("user_id") + 1).first()[0]
+    mutation, user = F.lit(1).cast("long"), F.col("user_id")
+    axes = [(user % 10).cast("float").alias("x"), F.expr("user_id div 10").cast("float").alias("y"), F.lit(0.0).cast("float").alias("z")]
+    return users.select(
+        (user - size).alias("ord"), F.struct(*axes).alias("position"), mutation.alias("mutationId"), params_of(mutation).alias("cellParams")
+    )
+
+
 def clone_counts(spark: SparkSession, folder: str) -> DataFrame:
     """``lineitem`` as clone snapshots: a time point per year, a clone per supplier."""
     counts = (

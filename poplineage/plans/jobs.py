@@ -147,6 +147,8 @@ def report(
     arrays = kept["clone_stats"].select("timePoint", "histograms.*")
     return {
         "stats": stats.normalized_entropy(kept["clone_stats_scalars"]),
+        "major_stats": stats.normalized_entropy(kept["major_stats_scalars"]),
+        "noise_stats": stats.normalized_entropy(kept["noise_stats_scalars"]),
         "histogram_fractions": arrays.select(
             "timePoint", *[fractions(F.col(p)).alias(p) for p in arrays.columns[1:]]
         ),
