@@ -123,17 +123,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
-    linked = pin(linked, "linked")
+    return ranked(marked, pin(linked, "linked"), "fp")
+
+
+def ranked(marked: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """Rows of ``marked`` with the smallest id of their component; ``linked`` has label and smallest rank of each node."""
     smallest = linked.groupBy("label").agg(F.min("rank").alias("rank"))
-    named = linked.select("fp", "label").join(smallest, "label").select("fp", "rank")
+    named = linked.select(node, "label").join(smallest, "label").select(node, "rank")
     first = F.col("doc_id").eqNullSafe(F.col("rank.doc_id")) & (F.col("tie") == F.col("rank.tie"))
-    joined = marked.join(named, "fp")
-    return joined.select("doc_id", "tie", "fp", F.col("rank.doc_id").alias("component_id"), first.alias("first"))
+    joined = marked.join(named, node)
+    return joined.select("doc_id", "tie", node, F.col("rank.doc_id").alias("component_id"), first.alias("first"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component."""
-    stays = near_duplicates(docs).filter("first").select(F.col("doc_id").alias("__llm_id"), F.col("tie").alias("__llm_tie")).distinct()
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the row of the smallest id of each component; ``found`` has the components if not SimHash's."""
+    found = near_duplicates(docs) if found is None else found
+    stays = found.filter("first").select(F.col("doc_id").alias("__llm_id"), F.col("tie").alias("__llm_tie")).distinct()
     keyed = docs.withColumn("__llm_tie", F.xxhash64("text"))
     kept = keyed.join(stays.withColumnRenamed("__llm_tie", "__llm_first"), F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_tie") == F.col("__llm_first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__llm_tie"]).drop("__llm_tie")
