@@ -3,13 +3,16 @@
 Two multinomials over hashed word and word-pair buckets are counted: one from every document of the corpus, one
 from the documents that labels call good. A document's score is the mean over its n-grams of
 ``log p(bucket | trusted) - log p(bucket | corpus)``; documents whose score is under a fixed threshold are rejected.
+The trusted multinomial is smoothed towards the corpus (``PRIOR`` n-grams dealt as the corpus deals its own), so few
+labels pull every ratio to 0 and none give exactly 0. A document is scored as held out: its own n-grams are taken off
+the corpus and, if it is trusted, off the trusted ones.
 The mean takes out the length, so short and long documents meet the same threshold, and a document is judged alike
 in every run.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null ``doc_id`` is kept as a row and is
-never trusted; repeated rows are judged one by one; no labels make both multinomials' difference a constant near
-zero for every bucket that the corpus uses evenly, so then only the base rules and heavy outliers decide; a column
-named ``llm_quality`` in the input is replaced.
+never trusted; repeated rows are judged one by one, each with one copy of itself taken off; without good labels every
+score is 0 and only the base rules decide; a bucket that no other document uses has ratio 0; a column named
+``llm_quality`` in the input is replaced. Names that begin with ``__llm`` are not for the input's columns.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from . import words as W
 #: Parameters of the method.
 BUCKET_BITS = 16
 MIN_SCORE = -0.25
+#: Weight in n-grams of the corpus in the trusted multinomial, as much as one n-gram a bucket.
+PRIOR = 1 << BUCKET_BITS
 #: Parameters of the base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -35,6 +40,7 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
 RESULT = "llm_quality"
+TRUSTED = "__llm_trusted"
 FIELDS = (
     ("n_words", T.LongType(), pa.int64()),
     ("word_chars", T.LongType(), pa.int64()),
@@ -63,24 +69,33 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate([h, pairs]) >> shift).astype(np.int64), np.concatenate([text, text[:-1][inside]])
 
 
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(TRUSTED).fill_null(False).to_numpy(zero_copy_only=False)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """The ids that labels call good."""
     return labels.filter(F.col("quality") == 1).select("doc_id").filter("doc_id is not null").distinct()
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with a last column that is true for trusted rows and else null."""
+    trusted = small_side(trusted_ids(labels).withColumn(TRUSTED, F.lit(True)))
+    return docs.join(trusted, "doc_id", "left").select(*docs.columns, TRUSTED)
+
+
+def gram_counts(flagged: DataFrame) -> DataFrame:
     """(bucket, corpus, trusted): n-grams of all documents and of the trusted ones.
 
     Each task counts into two arrays of fixed size and emits the buckets that it has met.
     """
-    trusted = small_side(trusted_ids(labels).withColumn("trusted", F.lit(True)))
-    read = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", "trusted")
+    read = flagged.select("text", TRUSTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << BUCKET_BITS
         corpus, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            flags = batch.column("trusted").fill_null(False).to_numpy(zero_copy_only=False)
+            flags = _flags(batch)
             for row, end, data, offsets in W.text_slices(batch.column("text")):
                 bucket, text = _grams(data, offsets)
                 corpus += np.bincount(bucket, minlength=size)
@@ -94,17 +109,28 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log ratio of the two smoothed multinomials per bucket: at most 2^16 rows come to the driver."""
-    size = 1 << BUCKET_BITS
-    held = np.ones((2, size))
+def bucket_table(counts: DataFrame) -> np.ndarray:
+    """Corpus and trusted counts per bucket: at most 2^16 rows come to the driver."""
+    held = np.zeros((2, 1 << BUCKET_BITS))
     for bucket, corpus, trusted in counts.collect():
-        held[:, bucket] += corpus, trusted
-    logs = np.log(held / held.sum(axis=1, keepdims=True))
-    return logs[1] - logs[0]
+        held[:, bucket] = corpus, trusted
+    return held
+
+
+def _scores(bucket: np.ndarray, text: np.ndarray, flags: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Mean log ratio of each text's n-grams against what the other rows hold."""
+    key, own = np.unique(text << BUCKET_BITS | bucket, return_counts=True)
+    text, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
+    size = np.bincount(text, own, len(flags))
+    corpus = np.maximum(held[0][bucket] - own, 0)
+    trusted = np.maximum(held[1][bucket] - own * flags[text], 0)
+    all_corpus, all_trusted = (held.sum(axis=1)[:, None] - [size, size * flags])[:, text]
+    expected = np.divide(trusted * all_corpus, corpus, out=np.zeros(len(key)), where=corpus > 0)
+    ratio = np.where(corpus > 0, np.log((expected + PRIOR) / (all_trusted + PRIOR)), 0.0)
+    return np.bincount(text, own * ratio, len(flags)) / np.maximum(1, size)
 
 
-def _measures(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, min_score: float) -> list[np.ndarray]:
+def _measures(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray, table: np.ndarray, min_score: float) -> list[np.ndarray]:
     starts, ends, first = W.spans(data, offsets, W.WORD)
     text, n = W.text_of(first), len(offsets) - 1
     n_words = np.diff(first)
@@ -128,9 +154,7 @@ def _measures(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, min_sco
 
     repeat_words = W.per_text(covered, first)
     failed = (n_words < MIN_WORDS) | (100 * repeat_words > MAX_REPEAT_PERCENT * n_words)
-    bucket, gram_text = _grams(data, offsets)
-    total = np.bincount(gram_text, ratios[bucket], n)
-    score = total / np.maximum(1, np.bincount(gram_text, minlength=n))
+    score = _scores(*_grams(data, offsets), flags, table)
     return [
         n_words,
         W.per_text(chars[ends] - chars[starts], first),
@@ -143,25 +167,26 @@ def _measures(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, min_sco
     ]
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` with the struct ``llm_quality``: the measures, the score and the verdict."""
-    docs = docs.drop(RESULT)
+def judge(flagged: DataFrame, table: np.ndarray, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``with_trust`` with the struct ``llm_quality`` in place of the flag: the measures, the score and the verdict."""
     kind = T.StructType([T.StructField(name, t) for name, t, _ in FIELDS])
-    schema = T.StructType([*docs.schema.fields, T.StructField(RESULT, kind)])
+    schema = T.StructType([*flagged.drop(TRUSTED).schema.fields, T.StructField(RESULT, kind)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            flags = _flags(batch)
             for row, end, data, offsets in W.text_slices(batch.column("text")):
-                found = _measures(data, offsets, ratios, min_score)
+                found = _measures(data, offsets, flags[row:end], table, min_score)
                 made = pa.StructArray.from_arrays(
                     [pa.array(x, t) for x, (_, _, t) in zip(found, FIELDS)], [name for name, _, _ in FIELDS]
                 )
                 own = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([*own.columns, made], [*own.schema.names, RESULT])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], made], [*own.schema.names[:-1], RESULT])
 
-    return docs.mapInArrow(measure, schema)
+    return flagged.mapInArrow(measure, schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Counts both multinomials over all documents, then judges every document."""
-    return judge(docs, log_ratios(gram_counts(docs, labels)), min_score)
+    flagged = with_trust(docs.drop(RESULT), labels)
+    return judge(flagged, bucket_table(gram_counts(flagged)), min_score)
