@@ -1,13 +1,13 @@
 """URL filters: rules first, then word segmentation of the host and naive Bayes over the words.
 
 A host such as ``freebets`` is split into words by the Viterbi path through a unigram model, which is counted over the
-words of all documents. The words of host and path are scored by multinomial naive Bayes. Its labelled rows are all URLs:
-those that a rule decides have its verdict, of the others those with a seed word between the dots and dashes of the
-host are to be blocked and the rest allowed. So words that keep company with seeds or blocked sites count against a
-URL, also where no seed stands by itself.
+words of all documents, the words that URLs show apart, and the seeds, each of which has a fixed part of the counts. The
+words of host and path are scored by multinomial naive Bayes. Its labelled rows are all URLs: those that a rule decides
+have its verdict, of the others those with a seed among the words of the split host are to be blocked and the rest
+allowed. So words that keep company with seeds or blocked sites count against a URL, also where it has no seed.
 
-Both models keep a bounded number of words, the most frequent ones (``MAX_WORDS``), and are sent to the tasks;
-counting covers all documents and all URLs.
+Both count tables stay whole, as Spark tables: a join finds the pieces of host names in the one and the words of URLs in
+the other. Each different name and each different list of words is looked up once.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no words, so the prior decides; a tie
 is allowed; without URLs of a class both classes are equally likely; repeated rows count again.
@@ -15,10 +15,7 @@ is allowed; without URLs of a class both classes are equally likely; repeated ro
 
 from __future__ import annotations
 
-import functools
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -31,9 +28,11 @@ from pyspark.sql import types as T
 from ..runtime import pin
 from . import words as W
 
-#: Parameters: words that each model keeps, the longest word, and the weight of a class before any URL.
-MAX_WORDS = 50_000
+#: Parameters: the longest word, the weight of a class before any URL, the part (one in so many) of the unigram counts
+#: that a seed has, and the part from which a word is looked up without a shuffle.
 LONGEST_WORD = 20
+SEED_PART = 1000
+HOT_PART = 1000
 SMOOTHING = 1.0
 #: Parameter: words whose sites are known to be unwanted.
 SEEDS = ("adult", "bets", "casino", "pills", "spam")
@@ -103,8 +102,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Segmenter:
     """The likeliest split of a name into words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int = 0):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(10 * total)
 
@@ -123,63 +122,75 @@ class Segmenter:
         return out[::-1]
 
 
-def url_words(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Segmented words of the host, and the words of the path."""
-    held = [word for name in re.findall("[a-z]+", host) for word in segmenter.split(name)]
-    return held + re.findall("[a-z]+", path.lower())
+def letters(text: str | Column) -> Column:
+    """Runs of ASCII letters, as they come."""
+    return F.regexp_extract_all(text, F.lit("([a-z]+)"), 1)
 
 
-@functools.lru_cache(maxsize=1)
-def _segmenter(items: tuple[tuple[str, int], ...]) -> Segmenter:
-    return Segmenter(dict(items))
+def unigrams(docs: DataFrame, judged: DataFrame) -> tuple[DataFrame, int]:
+    """(word, count) over documents, words of URLs and seeds, whole, and the sum of the counts.
 
-
-def _with_words(batch: pa.RecordBatch, split) -> Iterator[tuple[int, list[str]]]:
-    for k, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())):
-        yield k, split(host, path)
-
-
-def taught(judged: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """(word, allow, block): words of all URLs by label; each task sends its different words once.
-
-    The word '' counts the URLs themselves.
+    A URL's words are those of its path and those that dashes part in its host. A name that stands between dots is what is
+    to be split, so it counts for no word.
     """
-    items = tuple(counts.items())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = functools.lru_cache(1 << 16)(functools.partial(url_words, _segmenter(items)))
-        met = {"allow": Counter(), "block": Counter()}
+    labels = F.split("host", "[.:@]")
+    dashed = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "[^a-z]+")))
+    alone = judged.select(F.explode(F.concat(dashed, letters(F.lower("path")))).alias("word"))
+    alone = alone.filter(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    names = judged.select(F.explode(labels).alias("word")).distinct()
+    held = pin(word_counts(docs).union(alone.join(names, "word", "left_anti")), "unigrams")
+    base = held.agg(F.sum("count")).first()[0] or 0
+    seed = base // SEED_PART + 1
+    seeds = held.sparkSession.createDataFrame([(w, seed) for w in SEEDS], "word string, count long")
+    return held.union(seeds).groupBy("word").agg(F.sum("count").alias("count")), base + seed * len(SEEDS)
+
+
+def substrings_of(name: str) -> Column:
+    """The different pieces of a name that can be words."""
+    starts = F.sequence(F.lit(1), F.length(name))
+    ends = lambda s: F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length(name) - s + 1))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda n: F.substring(F.col(name), s, n)))))
+
+
+def segmented(judged: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(host, host_words) of the different hosts. Each name is split by the counts of its own pieces, which a join finds."""
+    hosts = judged.select("host").distinct().select("host", F.posexplode(letters("host")).alias("at", "name"))
+    hosts = pin(hosts, "hosts")
+    names = pin(hosts.select("name").distinct(), "names")
+    pieces = names.select("name", F.explode(substrings_of("name")).alias("word"))
+    known = pieces.join(counts, "word").groupBy("name").agg(F.collect_list("word").alias("words"), F.collect_list("count").alias("counts"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = batch.column("verdict").to_pylist()
-            for k, held in _with_words(batch, split):
-                met[verdicts[k]].update([*held, ""])
-            if len(met["allow"]) + len(met["block"]) > MAX_WORDS:
-                yield _counted(met)
-                met = {"allow": Counter(), "block": Counter()}
-        yield _counted(met)
-
-    seeded = F.when(F.col("host").rlike(rf"(^|[.-])({'|'.join(SEEDS)})([.-]|$)"), "block").otherwise("allow")
-    rows = judged.select("host", "path", F.coalesce("verdict", seeded).alias("verdict"))
-    counted = rows.mapInArrow(count, "word string, allow long, block long")
-    return counted.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-
-
-def _counted(met: dict[str, Counter]) -> pa.RecordBatch:
-    names = sorted(met["allow"].keys() | met["block"].keys())
-    columns = [pa.array(names, pa.string()), *[pa.array([met[c][n] for n in names], pa.int64()) for c in ("allow", "block")]]
-    return pa.RecordBatch.from_arrays(columns, ["word", "allow", "block"])
-
-
-def most_frequent(counts: DataFrame, by: Column) -> DataFrame:
-    """The words of the highest counts, by sixteenths of a power of two, as many levels as ``MAX_WORDS`` allows."""
-    levelled = pin(counts.withColumn("level", F.floor(16 * F.log2(by)).cast("int")), "words")
-    kept, lowest = 0, None
-    for level, words in sorted(levelled.groupBy("level").count().collect(), reverse=True):
-        kept += words
-        if kept > MAX_WORDS:
-            break
-        lowest = level
-    return levelled.filter(F.col("level") >= lowest if lowest is not None else F.lit(False)).drop("level")
+            rows = zip(*[batch.column(c).to_pylist() for c in ("name", "words", "counts")])
+            held = [Segmenter(dict(zip(words or [], counts or [])), total).split(name) for name, words, counts in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(held, pa.list_(pa.string()))], ["name", "pieces"])
+
+    parts = pin(names.join(known, "name", "left").select("name", "words", "counts").mapInArrow(split, "name string, pieces array<string>"), "pieces")
+    placed = hosts.join(parts, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("held"))
+    return placed.select("host", F.flatten("held.pieces").alias("host_words"))
+
+
+def with_words(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    """``judged`` with ``words``, joined by spaces, and ``label``: the rule's verdict, else whether a word of the host is a seed."""
+    hosts = segmented(judged, *unigrams(docs, judged))
+    none = F.array().cast("array<string>")
+    joined = judged.join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", none))
+    seeded = F.when(F.arrays_overlap("host_words", F.array(*map(F.lit, SEEDS))), "block").otherwise("allow")
+    return joined.select(
+        *judged.columns,
+        F.array_join(F.concat("host_words", letters(F.lower("path"))), " ").alias("words"),
+        F.coalesce("verdict", seeded).alias("label"),
+    )
+
+
+def taught(named: DataFrame) -> DataFrame:
+    """(word, allow, block): words of all URLs by label, whole. The word '' counts the URLs themselves."""
+    blocks = (F.col("label") == "block").cast("long")
+    alike = named.groupBy("words").agg(F.sum(1 - blocks).alias("allow"), F.sum(blocks).alias("block"))
+    held = F.concat(F.array(F.lit("")), F.filter(F.split("words", " "), lambda w: w != ""))
+    dealt = alike.select(F.explode(held).alias("word"), "allow", "block")
+    return dealt.groupBy("word").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
 
 
 class Bayes:
@@ -198,25 +209,42 @@ class Bayes:
         return self.prior + sum(self.odds.get(w, self.unknown) for w in held)
 
 
+def word_odds(counts: DataFrame) -> tuple[DataFrame, float, int]:
+    """(word, n, odds) as ``Bayes`` has them, the prior, and the sum of n."""
+    urls = counts.filter("word = ''").first()
+    held = counts.filter("word <> ''")
+    kinds, allow, block = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    none = Bayes({"": (urls.allow, urls.block) if urls else (0, 0)})
+    level = math.log((allow + SMOOTHING * (kinds + 1)) / (block + SMOOTHING * (kinds + 1)))
+    odds = F.log((F.col("block") + SMOOTHING) / (F.col("allow") + SMOOTHING)) + level
+    return held.select("word", (F.col("allow") + F.col("block")).alias("n"), odds.alias("odds")), none.prior, allow + block
+
+
+def scores(named: DataFrame, odds: DataFrame, total: int) -> DataFrame:
+    """(words, sum): log odds of each different ``words``, summed in order of size, so that runs agree.
+
+    At most ``HOT_PART`` words can each be that part of all words: those are sent to the tasks, the others are joined.
+    """
+    dealt = pin(named.select("words").distinct(), "bags").select("words", F.explode(F.filter(F.split("words", " "), lambda w: w != "")).alias("word"))
+    hot = F.col("n") * HOT_PART >= total
+    often = F.broadcast(odds.filter(hot).select("word", "odds"))
+    others = dealt.join(often, "word", "left_anti").join(odds.filter(~hot).select("word", "odds"), "word")
+    both = dealt.join(often, "word").select("words", "odds").union(others.select("words", "odds"))
+    held = both.groupBy("words").agg(F.sort_array(F.collect_list("odds")).alias("held"))
+    return held.select("words", F.aggregate("held", F.lit(0.0), lambda x, y: x + y).alias("sum"))
+
+
 def filter_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``pages`` with host, path, rule, verdict, ``words`` and ``score`` (null where a rule decides)."""
-    pages = pages.drop("host", "path", "rule", "verdict", "words", "score")
+    pages = pages.drop("host", "path", "rule", "verdict", "words", "score", "label")
     judged = parsed(pages, rules)
-    words = {r.word: r["count"] for r in sorted(most_frequent(word_counts(docs), F.col("count")).collect())}
-    seen = sorted(most_frequent(taught(judged, words), F.col("allow") + F.col("block")).collect())
-    bayes, items = Bayes({r.word: (r.allow, r.block) for r in seen}), tuple(words.items())
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = functools.lru_cache(1 << 16)(functools.partial(url_words, _segmenter(items)))
-        for batch in batches:
-            held = [w for _, w in _with_words(batch, split)]
-            scores = [bayes.score(w) for w in held]
-            made = [pa.array([" ".join(w) for w in held], pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "words", "score"])
-
-    schema = T.StructType([*judged.schema.fields, T.StructField("words", T.StringType()), T.StructField("score", T.DoubleType())])
-    scored = judged.mapInArrow(decide, schema)
-    by_words = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return scored.withColumns(
-        {"verdict": F.coalesce("verdict", by_words), "score": F.when(F.col("rule").isNull(), F.col("score"))}
+    named = pin(with_words(judged, docs), "named")
+    odds, prior, total = word_odds(pin(taught(named), "taught"))
+    scored = named.join(scores(named, odds, total), "words", "left")
+    score = F.lit(prior) + F.coalesce("sum", F.lit(0.0))
+    return scored.select(
+        *[c for c in judged.columns if c != "verdict"],
+        F.coalesce("verdict", F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
+        "words",
+        F.when(F.col("rule").isNull(), score).alias("score"),
     )
