@@ -25,3 +25,16 @@ def test_concatenated_hosts(spark):
         assert row.words.startswith(words + " ") and row.verdict == "block"
     assert all(found[f"{h}.example.xyz"].verdict == "allow" for h in ("dayfarm", "homelong", "theday"))
     assert found["dayfarm.example.xyz"].words.startswith("day farm ")
+
+
+def test_whole_tables(spark):
+    """Over 50,000 rarer words than those that count: the rare ones keep their counts and decide."""
+    code = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:06d}")
+    noise = " ".join(f"q{code(k)} q{code(k)}" for k in range(60_000))
+    texts = ["zorp quib " + noise]
+    hosts = [f"zorpquib.p{code(k)}.xyz" for k in range(3)] + [f"n{code(k)}.xyz" for k in range(60_000)] + ["n000.xyz"] + [f"n{code(k)}.xyz" for k in range(60_000)]
+    found = judged(spark, hosts + ["rarename.casino.xyz", "rarename.xyz"], texts)
+    assert found["zorpquib.p" + code(1) + ".xyz"].words.startswith("zorp quib ")
+    # one blocked and one allowed URL against two allowed ones
+    known, single = found["rarename.xyz"], found["n" + code(5) + ".xyz"]
+    assert known.score - single.score == pytest.approx(math.log(2 / 2) - math.log(1 / 3))
