@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lm, mixing, quality, simhash, substrings, tokenfile, topk, urls
+from . import bpe, divergence, fim, html, linecrf, lm, mixing, quality, simhash, substrings, tokenfile, topk, urls
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -118,6 +118,37 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), every=20, k=20)
 
 
+def op11_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = linecrf.classify(docs, table(spark, folder, "labels").select("doc_id", "quality"))
+    score = F.col(linecrf.RESULT)["score"]
+    return scored.select(
+        "doc_id",
+        linecrf.held_out().alias("held_out"),
+        score.alias("score"),
+        (score >= linecrf.GOOD_SCORE).cast("int").alias("predicted"),
+        F.col(linecrf.RESULT)["lines"].alias("lines"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    held = F.col(fim.RESULT)
+    return made.select(
+        "doc_id",
+        held["n"].alias("n"),
+        held["form"].alias("form"),
+        held["prefix_units"].alias("prefix_chars"),
+        held["middle_units"].alias("middle_chars"),
+        digest(held["output"]).alias("output_sha256"),
+        digest(fim.restored(held["output"], held["form"])).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -129,4 +160,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_lm_scores": op9_lm_scores,
     "op10_top_k": op10_top_k,
+    "op11_line_quality": op11_line_quality,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

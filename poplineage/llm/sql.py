@@ -45,4 +45,40 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 
-SQL = {"op7_substring_dedup": OP7, "op8_source_mix": OP8, "op10_top_k": OP10}
+OP12 = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from t group by all having count(distinct k) >= 30),
+n as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by all),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select lang, source, coalesce(v, 0) as v, coalesce((select sum(n.n) from n where n.lang = d.lang and n.source = d.source), 0) as total
+  from (select distinct lang, source from d) d left join v using (lang)),
+p as (select g.lang, g.source, kept.term, coalesce(n.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n.n, 0) + 5)) // (total + 5 * v)::hugeint as p
+  from g join kept using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = kept.term),
+l as (select lang, sum(total) as total, any_value(v) as v from g group by lang),
+q as (select n.lang, n.term, 1 + (1000000000::hugeint * (sum(n.n) + 5)) // (any_value(l.total) + 5 * any_value(v))::hugeint as q
+  from n join l on n.lang = l.lang group by n.lang, n.term),
+pairs as (select a.lang, a.source, b.source as item, coalesce((select sum(abs(x.p - y.p)) from p x join p y
+    on x.lang = y.lang and x.term = y.term where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source),
+terms as (select p.lang, source, p.term as item, (p.p - q)::bigint as value from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p.p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, value,
+  row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 50
+"""
+
+OP13 = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select doc_id, t, length(t)::bigint as n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(x, k, 8))::bigint) as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+    when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+s as (select *, substring(t, 1, a) as pre, substring(t, a + 1, b - a) as mid, substring(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from s
+"""
+
+SQL = {"op12_source_divergence": OP12, "op13_fill_in_middle": OP13, "op7_substring_dedup": OP7, "op8_source_mix": OP8, "op10_top_k": OP10}
