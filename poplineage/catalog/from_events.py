@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.intervals import TimeGrid
 from ..functions.kinds import kind_code, kind_label
 from ..operators import chronicles as lifetimes
-from ..operators import events, muller, phylogeny, quality, snapshots, stats
+from ..operators import events, muller, phylogeny, quality, snapshots, stats, timepoints, tour
 from ..runtime import pin
 from ..schemas import PARAM_COLUMNS, PARAMS
 from . import sql_views as S
@@ -230,7 +229,21 @@ def clone_snapshots_delta(spark, folder):
     select mutationId, timePoint, count(*) as count from covered group by 1, 2""",
 )
 def clone_snapshots_listed(spark, folder):
-    counts = snapshots.clone_snapshots(chronicle(spark, folder), TimeGrid.of(LISTED_TIMES))
+    """The points come as a table."""
+    listed = spark.createDataFrame([(t,) for t in LISTED_TIMES], "value double")
+    counts = snapshots.clone_snapshots(chronicle(spark, folder), timepoints.PointTable(listed))
+    return counts.select("mutationId", "timePoint", "count")
+
+
+@query(
+    "clone_snapshots_at_events",
+    f"""with {S.CHRON}, points as (select distinct time as t from ev where ord % 20 = 0), {S.COVERED}
+    select mutationId, timePoint, count(*) as count from covered group by 1, 2""",
+)
+def clone_snapshots_at_events(spark, folder):
+    """At the time of every twentieth row of the log: as many points as the log has rows for."""
+    listed = cell_events(spark, folder).filter("ord % 20 = 0").select(F.col("time").alias("value"))
+    counts = snapshots.clone_snapshots(chronicle(spark, folder), timepoints.PointTable(listed))
     return counts.select("mutationId", "timePoint", "count")
 
 
@@ -376,9 +389,15 @@ def disconnected(spark, folder):
 _SHOWN = "case when size < 125 then 0 else mutationId end"
 
 
-@query(
-    "muller_cume_dist",
-    f"""with recursive {S.CHRON}, {S.POINTS}, {S.COVERED}, {S.TR}, {S.PATHS},
+def _cumulative(spark: SparkSession, folder: str, whole: bool) -> DataFrame:
+    cells = stored_chronicle(spark, folder)
+    order = muller.muller_order(tour.tour(mutation_tree(spark, folder)))
+    shares = muller.muller_data(cells, order, snapshots.time_grid(cells, whole), min_cells=LARGE)
+    return shares.select("mutationId", "timePoint", rounded("cumeDist", "cumeDist"))
+
+
+def _cumulative_sql(points: str) -> str:
+    return f"""with recursive {S.CHRON}, {points}, {S.COVERED}, {S.TR}, {S.PATHS},
     placed as (select mutationId, row_number() over (order by list_transform(ancestors, lambda a: -a)) - 1 as ordering
       from paths),
     sizes as (select mutationId, count(*) as size from chron group by 1),
@@ -386,10 +405,18 @@ _SHOWN = "case when size < 125 then 0 else mutationId end"
     ranked as (select s.mutationId, s.timePoint, o.ordering,
         cume_dist() over (partition by s.timePoint order by o.ordering nulls first) as d
       from shown s left join placed o using (mutationId))
-    select distinct mutationId, timePoint, round(d, 6) as cumeDist from ranked""",
-)
+    select distinct mutationId, timePoint, round(d, 6) as cumeDist from ranked"""
+
+
+_WHOLE_POINTS = "points as (select unnest(range(floor((select max(birthTime) from chron))::bigint + 1))::double as t)"
+
+
+@query("muller_cume_dist_whole", _cumulative_sql(_WHOLE_POINTS))
+def muller_cume_dist_whole(spark, folder):
+    """At whole time points only."""
+    return _cumulative(spark, folder, whole=True)
+
+
+@query("muller_cume_dist", _cumulative_sql(S.POINTS))
 def muller_cume_dist(spark, folder):
-    paths = phylogeny.lineages(mutation_tree(spark, folder))
-    cells = stored_chronicle(spark, folder)
-    shares = muller.muller_data(cells, paths, snapshots.time_grid(cells), min_cells=LARGE)
-    return shares.select("mutationId", "timePoint", rounded("cumeDist", "cumeDist"))
+    return _cumulative(spark, folder, whole=False)

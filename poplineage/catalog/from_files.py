@@ -109,15 +109,69 @@ def malformed_rows(spark, folder):
     return found.select(*[held[at].cast(kind).alias(name) for at, name, kind in fields])
 
 
+CUT_PARTS, CUT = 6, (1, 4)
+
+
+def _cut_log(spark: SparkSession, folder: str) -> str:
+    """The log in six gzip files; two of them have lost their last eight bytes, so their rows are there but not their end."""
+    path = scratch_path(spark, "cut")
+    ordered = flat_log(cell_events(spark, folder)).withColumn("at", F.monotonically_increasing_id())
+    rows = numbered(ordered, ["at"], "row").drop("at")
+    dealt = pin(rows.withColumn("part", F.floor(F.col("row") / parts_of(rows.count(), CUT_PARTS))), "parts")
+    written = dealt.repartitionByRange(CUT_PARTS, "part").sortWithinPartitions("row").drop("row")
+    written.write.partitionBy("part").option("sep", ";").option("header", True).option("compression", "gzip").csv(f"{path}/whole")
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(CUT_PARTS):
+        for found in files.globStatus(fs.Path(f"{path}/whole/part={k}/*.gz")) or []:
+            short = 8 if k in CUT else 0
+            source, target = files.open(found.getPath()), files.create(fs.Path(f"{path}/log/stream-{k}.csv.gz"))
+            shortened = spark._jvm.org.apache.commons.io.input.BoundedInputStream(source, found.getLen() - short)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(shortened, target, 1 << 16, True)
+    return f"{path}/log"
+
+
+def parts_of(rows: int, parts: int) -> int:
+    """Rows of each of so many parts, the last one excepted."""
+    return max(1, -(-rows // parts))
+
+
+_PARTS_SQL = f"""with {S.EV}, parts as (select *, ord // greatest(1, (select ceil(count(*) / {CUT_PARTS}) from ev))::bigint as part from ev),
+ends as (select part, max(ord) as last, count(*) as held, part in {CUT} as cut from parts group by part)"""
+
+
 @query(
     "csv_without_last_row",
-    f"""with {S.EV} select ord, time, timeDelta, eventKind, mutationId, x, y, z from ev
-    where ord < (select max(ord) from ev)""",
+    f"""{_PARTS_SQL} select ord, time, timeDelta, eventKind, mutationId, x, y, z from parts join ends using (part)
+    where not cut or ord < last""",
 )
 def csv_without_last_row(spark, folder):
-    path = scratch_path(spark, "cut")
-    tables.save_csv(flat_log(cell_events(spark, folder)), path, single_file=True, compression="gzip")
-    return _logged(event_log.read_events(spark, path, "csv", cut_off=True))
+    """Only the files that are cut lose a row."""
+    return _logged(event_log.read_events(spark, _cut_log(spark, folder), "csv", cut_off=True))
+
+
+@query("cut_files", f"{_PARTS_SQL} select 'stream-' || part || '.csv.gz' as file, held + 1 as lines, cut from ends")
+def cut_files(spark, folder):
+    found = event_log.cut_files(spark, _cut_log(spark, folder))
+    return found.select(F.element_at(F.split("source_file", "/"), -1).alias("file"), "lines", "cut")
+
+
+@query(
+    "converted_cut_log",
+    f"""{_PARTS_SQL} select part, count(*) filter (not cut or ord < last) as events, sum(ord) filter (not cut or ord < last)::bigint as ords, any_value(cut) as cut
+    from parts join ends using (part) group by part""",
+)
+def converted_cut_log(spark, folder):
+    """What the conversion has kept of each file, beside what it says about the file; the time numbers the rows of this log."""
+    target = scratch_path(spark, "converted")
+    jobs.convert(spark, _cut_log(spark, folder), target, cut_off=True)
+    files = spark.read.parquet(f"{target}.files").select("source_file", "cut")
+    rows = event_log.in_log_order(event_log.read_log_parquet(spark, target), pinned=True)
+    lost = files.select(F.regexp_extract("source_file", r"stream-(\d+)", 1).cast("long").alias("part"), "source_file", F.col("cut"))
+    # Every cut file before a row has lost one row.
+    gone = [F.when(F.col("part") > k, 1).otherwise(0) for k in CUT]
+    joined = rows.join(lost, "source_file").withColumn("ord", F.col("ord") + sum(gone[1:], gone[0]))
+    return joined.groupBy("part").agg(F.count(F.lit(1)).alias("events"), F.sum("ord").alias("ords"), F.any_value("cut").alias("cut"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import muller, phylogeny, reports, snapshots
+from ..operators import muller, phylogeny, reports, snapshots, tour
 from ..runtime import pin
 from ..schemas import PARAMS
 from . import sql_views as S
@@ -24,6 +24,10 @@ def paths_of(spark: SparkSession, folder: str, method: str = "doubling") -> Data
     return phylogeny.lineages(mutation_tree(spark, folder), method=method)
 
 
+def tour_of(spark: SparkSession, folder: str, descending: bool = True) -> DataFrame:
+    return tour.tour(mutation_tree(spark, folder), descending=descending)
+
+
 def final_clones(spark: SparkSession, folder: str) -> DataFrame:
     counts = clone_counts(spark, folder)
     last = counts.agg(F.max("timePoint")).first()[0]
@@ -68,12 +72,12 @@ def ancestry_of(spark, folder):
       select unnest(p.ancestors) as a, f.count as n from paths p join final f using (mutationId)) group by a""",
 )
 def mutation_frequency(spark, folder):
-    return phylogeny.mutation_frequency(final_clones(spark, folder), paths_of(spark, folder))
+    return phylogeny.mutation_frequency(final_clones(spark, folder), tour_of(spark, folder))
 
 
 def summary_of(spark: SparkSession, folder: str) -> DataFrame:
-    tree = mutation_tree(spark, folder)
-    return phylogeny.mutation_summary(phylogeny.lineages(tree), final_clones(spark, folder), tree)
+    links = mutation_tree(spark, folder)
+    return phylogeny.mutation_summary(phylogeny.lineages(links), tour.tour(links), final_clones(spark, folder), links)
 
 
 @query(
@@ -100,7 +104,7 @@ _DESCENDING = "row_number() over (order by list_transform(ancestors, lambda a: -
 
 @query("muller_order", f"{_PATHS_SQL} select mutationId, {_DESCENDING} from paths")
 def muller_order(spark, folder):
-    return muller.muller_order(paths_of(spark, folder))
+    return muller.muller_order(tour_of(spark, folder))
 
 
 @query(
@@ -109,12 +113,41 @@ def muller_order(spark, folder):
     select mutationId, {_DESCENDING} from paths where mutationId in (select mutationId from big)""",
 )
 def muller_order_large(spark, folder):
-    return muller.large_muller_order(paths_of(spark, folder), big_clones(spark, folder))
+    return muller.large_muller_order(tour_of(spark, folder), big_clones(spark, folder))
 
 
 @query("ancestry_order", f"{_PATHS_SQL} select mutationId, row_number() over (order by ancestors) - 1 as ordering from paths")
 def ancestry_order(spark, folder):
-    return muller.muller_order(paths_of(spark, folder), descending=False)
+    return muller.muller_order(tour_of(spark, folder, descending=False))
+
+
+_PLACED_SQL = """placed as (select mutationId, ancestors, row_number() over (order by list_transform(ancestors, lambda a: -a)) - 1 as pre from paths)"""
+
+
+@query(
+    "preorder",
+    f"""{_PATHS_SQL}, {_PLACED_SQL}, inside as (select unnest(ancestors) as mutationId, pre as inner_pre from placed)
+    select p.mutationId, p.pre, max(inner_pre) as last, (len(ancestors) - 1)::bigint as depth
+    from placed p join inside using (mutationId) group by 1, 2, 4""",
+)
+def preorder(spark, folder):
+    return tour_of(spark, folder)
+
+
+@query(
+    "subtree_intervals",
+    f"""with recursive {S.CS}, {S.FINAL}, {S.TR}, {S.PATHS}, {_PLACED_SQL},
+    inside as (select unnest(ancestors) as mutationId, mutationId as inner_id from paths)
+    select i.mutationId, p.pre, count(*) as mutations, sum(coalesce(f.count, 0))::bigint as cells, sum(len(q.ancestors) - 1)::bigint as depths
+    from inside i join placed p using (mutationId) join paths q on q.mutationId = i.inner_id left join final f on f.mutationId = i.inner_id
+    group by 1, 2""",
+)
+def subtree_intervals(spark, folder):
+    """Mutations, cells and summed depths of every subtree."""
+    counted = phylogeny.subtree_counts(final_clones(spark, folder), tour_of(spark, folder))
+    summed = tour.subtree_sums(counted, {"depths": F.col("depth")})
+    mutations = (F.col("last") - F.col("pre") + 1).alias("mutations")
+    return summed.select("mutationId", "pre", mutations, F.col("mutationCount").alias("cells"), "depths")
 
 
 _SHOWN = f"""with recursive {S.CS}, {S.TR}, {S.PATHS}, {_BIG},
@@ -123,7 +156,7 @@ shown as (select timePoint, case when mutationId in (select mutationId from big)
 
 
 def _large_order(spark: SparkSession, folder: str) -> DataFrame:
-    return pin(muller.large_muller_order(paths_of(spark, folder), big_clones(spark, folder)), "order")
+    return pin(muller.large_muller_order(tour_of(spark, folder), big_clones(spark, folder)), "order")
 
 
 @query("muller_long", f"{_SHOWN} select timePoint, mutationId, count from shown")

@@ -32,7 +32,7 @@ def linear_chronicles(
     """
     if parent_rule not in ("previous_row", "kind_aware"):
         raise ValueError(f"unknown parent rule {parent_rule!r}")
-    cells = None if initial is None else numbered_cells(initial)
+    cells = None if initial is None else numbered_cells(initial, keys)
     first_id = initial_size(cells) + 1
     rows = grouped if cells is None else initial_events(cells).unionByName(grouped)
     rows = rows.withColumn("particleId", F.col("ord") + first_id)

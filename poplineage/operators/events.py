@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import CREATED
 from ..schemas import AXES, CELL_PARAMS, EVENT_LOG, PARAM_COLUMNS, PARAMS
-from .ordered import CHUNK_BITS, chunk_of, numbered
+from .ordered import CHUNK_BITS, chunk_of, numbered, one_window
 
 # The configuration every run starts from unless a file is given.
 START_MUTATION = 1
@@ -46,13 +46,15 @@ def log_columns(log: DataFrame) -> DataFrame:
     )
 
 
-def starting_snapshot(spark: SparkSession) -> DataFrame:
-    """A cube of cells around the origin, all of the first mutation, with order numbers below 0."""
+def starting_snapshot(spark: SparkSession, runs: DataFrame | None = None) -> DataFrame:
+    """A cube of cells around the origin, all of the first mutation, with order numbers below 0; one for each row of ``runs``."""
     side = 2 * START_HALF_WIDTH + 1
-    cell = F.col("id")
+    cell, keys = F.col("id"), [] if runs is None else runs.columns
+    rows = spark.range(side**3) if runs is None else runs.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(side**3 - 1)).cast("array<bigint>")))
     axes = [F.floor(cell / side**2), F.floor(cell / side) % side, cell % side]
     params = [F.lit(v).cast("float").alias(p) for v, p in zip(START_PARAMS, PARAMS)]
-    return spark.range(side**3).select(
+    return rows.select(
+        *keys,
         (cell - side**3).alias("ord"),
         F.struct(*[(v - START_HALF_WIDTH).cast("float").alias(a) for v, a in zip(axes, AXES)]).alias("position"),
         F.lit(START_MUTATION).cast("long").alias("mutationId"),
@@ -70,12 +72,12 @@ def cells_from_initial_file(rows: DataFrame) -> DataFrame:
     )
 
 
-def numbered_cells(cells: DataFrame) -> DataFrame:
-    """Gives initial cells the order numbers -n … -1, ahead of every log row."""
+def numbered_cells(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Gives initial cells the order numbers -n … -1, ahead of every log row; n is the largest number of cells of a key."""
     if "ord" in cells.columns:
         return cells
-    ranked = numbered(cells, ["position", "mutationId"], "ord")
-    return ranked.withColumn("ord", F.col("ord") - ranked.count())
+    ranked = numbered(cells, ["position", "mutationId"], "ord", keys=keys)
+    return ranked.withColumn("ord", F.col("ord") - 1 - (ranked.agg(F.max("ord")).first()[0] or 0))
 
 
 def initial_size(cells: DataFrame | None) -> int:
@@ -126,16 +128,23 @@ def event_groups(
         F.max_by(delta, "ord").alias("__last"),
         F.max("eventId").alias("__inner"),
     )
-    along = Window.partitionBy(*keys).orderBy("__chunk")
-    entry = starts(F.col("__first"), F.lag("__last", 1, 0).over(along))
-    ends = ends.select(*parts, entry.alias("__entry"), "__inner")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ends.select(
-        *parts,
-        (
-            F.coalesce(F.sum(F.col("__entry") + F.col("__inner")).over(earlier), F.lit(0)) + F.col("__entry")
-        ).alias("__before"),
+    # Chunks are joined in groups, and one row per group in the same way.
+    chunk, group = "__chunk", "__group"
+    inside = Window.partitionBy(*keys, group).orderBy(chunk)
+    ends = ends.withColumn(group, F.shiftright(chunk, bits))
+    ends = ends.withColumn("__entry", F.coalesce(starts(F.col("__first"), F.lag("__last").over(inside)), F.lit(0)))
+    rises = F.sum(F.col("__entry") + F.col("__inner")).over(inside)
+    ends = ends.withColumn("__inside", rises - F.col("__inner"))
+    groups = ends.groupBy(*keys, group).agg(
+        F.min_by("__first", chunk).alias("__first"),
+        F.max_by("__last", chunk).alias("__last"),
+        F.sum(F.col("__entry") + F.col("__inner")).alias("__inner"),
     )
+    along = Window.partitionBy(*keys, one_window()).orderBy(group)
+    groups = groups.withColumn("__entry", starts(F.col("__first"), F.lag("__last", 1, 0).over(along)))
+    rises = F.sum(F.col("__entry") + F.col("__inner")).over(along)
+    groups = groups.select(*keys, group, (rises - F.col("__inner")).alias("__outside"))
+    offsets = ends.join(groups, [*keys, group]).select(*parts, (F.col("__inside") + F.col("__outside")).alias("__before"))
     joined = local.join(offsets, parts, "left")
     return joined.withColumn("eventId", F.col("eventId") + F.col("__before")).drop(
         "__chunk", "__rise", "__before"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import TimeGrid
 from ..runtime import pin, small_side, small_table
-from .ordered import CHUNK_BITS, numbered, running_sum
-from .snapshots import clone_snapshots, earliest_params
+from .ordered import CHUNK_BITS, numbered, running_sums
+from .snapshots import Grid, clone_snapshots, earliest_params
 from .stats import count_fractions
+from .tour import order_among
 
 NOISE = 0
 LARGE_CLONE = 1000
@@ -21,63 +23,75 @@ def ancestry_key(descending: bool = True) -> Column:
     return F.transform("ancestors", lambda a: -a) if descending else F.col("ancestors")
 
 
-def muller_order(lineages: DataFrame, descending: bool = True) -> DataFrame:
-    """``mutationId, ordering``: dense numbers along the tree, younger branches first.
+def path_order(paths: DataFrame, descending: bool = True) -> DataFrame:
+    """``mutationId, ordering`` of mutations whose paths are at hand; ``muller_order`` needs none."""
+    return numbered(paths, [ancestry_key(descending)], "ordering").select("mutationId", "ordering")
+
+
+def muller_order(tree: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, mutationId, ordering``: dense numbers along the tree, from its tour.
 
-    With ``descending=False`` branches are in the order of their ids.
+    A tour with ``descending`` puts younger branches first, one without them puts branches in the order of their ids.
     """
-    return numbered(lineages, [ancestry_key(descending)], "ordering").select("mutationId", "ordering")
+    return tree.select(*keys, "mutationId", F.col("pre").alias("ordering"))
 
 
-def large_clones(chronicles: DataFrame, threshold: int) -> DataFrame:
+def large_clones(chronicles: DataFrame, threshold: int, keys: Sequence[str] = ()) -> DataFrame:
     """Mutations that ever had more than ``threshold`` cells."""
-    sizes = chronicles.groupBy("mutationId").agg(
+    sizes = chronicles.groupBy(*keys, "mutationId").agg(
         F.count(F.lit(1)).alias("mutationSize"), earliest_params().alias("cellParams")
     )
-    return sizes.filter(F.col("mutationSize") > threshold).select("mutationId", "cellParams")
+    return sizes.filter(F.col("mutationSize") > threshold).select(*keys, "mutationId", "cellParams")
 
 
-def mutation_sizes(chronicles: DataFrame) -> DataFrame:
+def mutation_sizes(chronicles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Lifetimes ever per mutation."""
-    return chronicles.groupBy("mutationId").agg(F.count(F.lit(1)).alias("mutationSize"))
+    return chronicles.groupBy(*keys, "mutationId").agg(F.count(F.lit(1)).alias("mutationSize"))
 
 
-def large_muller_order(lineages: DataFrame, large: DataFrame) -> DataFrame:
-    """Order of the large mutations only."""
-    return muller_order(lineages.join(small_side(large.select("mutationId")), "mutationId"))
+def large_muller_order(tree: DataFrame, large: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Order of the large mutations only; ``tree`` is a tour."""
+    return order_among(tree, large, keys)
 
 
-def collapsed(snapshots: DataFrame, kept: DataFrame) -> DataFrame:
+def collapsed(snapshots: DataFrame, kept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Snapshot counts per time point, mutations outside ``kept`` summed under id 0."""
-    ids = small_side(kept.select("mutationId", F.lit(True).alias("__kept")))
+    ids = small_side(kept.select(*keys, "mutationId", F.lit(True).alias("__kept")))
     shown = F.when(F.col("__kept"), F.col("mutationId")).otherwise(F.lit(NOISE).cast("long"))
     return (
-        snapshots.join(ids, "mutationId", "left")
-        .groupBy("timePoint", shown.alias("mutationId"))
+        snapshots.join(ids, [*keys, "mutationId"], "left")
+        .groupBy(*keys, "timePoint", shown.alias("mutationId"))
         .agg(F.sum(F.coalesce("count", F.lit(0).cast("long"))).alias("count"))
     )
 
 
-def muller_pivot(snapshots: DataFrame, order: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
-    """``timePoint, block, ids, counts``: the wide table of all ordered mutations, cut into blocks of ``width`` columns.
+def muller_pivot(
+    snapshots: DataFrame, order: DataFrame, width: int = BLOCK_WIDTH, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``keys, timePoint, block, ids, counts``: the wide table of all ordered mutations, cut into blocks of ``width`` columns.
 
     Columns are id 0 (all others) and the mutations in their order. A block holds the ids of its columns and
     their counts at the time point, zeros included; it is the same at any number of mutations.
     """
-    nobody = order.sparkSession.range(1).select(F.lit(NOISE).cast("long").alias("mutationId"), F.lit(0).cast("long").alias("__place"))
-    places = nobody.unionByName(order.select("mutationId", (F.col("ordering") + 1).alias("__place")))
+    points = pin(snapshots.select(*keys, "timePoint").distinct(), "points")
+    rows = points.select(*keys).distinct() if keys else order.sparkSession.range(1)
+    nobody = rows.select(*keys, F.lit(NOISE).cast("long").alias("mutationId"), F.lit(0).cast("long").alias("__place"))
+    places = nobody.unionByName(order.select(*keys, "mutationId", (F.col("ordering") + 1).alias("__place")))
     places = places.withColumn("block", F.floor(F.col("__place") / width))
     columns = F.transform(F.array_sort(F.collect_list(F.struct("__place", "mutationId"))), lambda c: c["mutationId"])
-    blocks = pin(places.groupBy("block").agg(columns.alias("ids")), "blocks")
-    last = blocks.agg(F.max("block")).first()[0]
-    counts = collapsed(snapshots, order).join(places, "mutationId")
-    held = counts.groupBy("timePoint", "block").agg(
+    blocks = pin(places.groupBy(*keys, "block").agg(columns.alias("ids")), "blocks")
+    counts = collapsed(snapshots, order, keys).join(places, [*keys, "mutationId"])
+    held = counts.groupBy(*keys, "timePoint", "block").agg(
         F.map_from_entries(F.collect_list(F.struct("mutationId", "count"))).alias("__counts")
     )
-    every = snapshots.select("timePoint").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    filled = every.join(held, ["timePoint", "block"], "left").join(blocks, "block")
+    if keys:
+        every = points.join(small_side(blocks.select(*keys, "block")), list(keys))
+    else:
+        last = blocks.agg(F.max("block")).first()[0]
+        every = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    filled = every.join(held, [*keys, "timePoint", "block"], "left").join(blocks, [*keys, "block"])
     count = lambda c: F.coalesce(F.element_at("__counts", c), F.lit(0).cast("long"))
-    return filled.select("timePoint", "block", "ids", F.transform("ids", count).alias("counts"))
+    return filled.select(*keys, "timePoint", "block", "ids", F.transform("ids", count).alias("counts"))
 
 
 def ordered_counts(clones: DataFrame, order: DataFrame) -> DataFrame:
@@ -97,40 +111,35 @@ def ordered_counts(clones: DataFrame, order: DataFrame) -> DataFrame:
 
 def muller_data(
     chronicles: DataFrame,
-    lineages: DataFrame,
-    grid: TimeGrid,
+    order: DataFrame,
+    grid: Grid,
     min_cells: int = LARGE_CLONE,
     bits: int = CHUNK_BITS,
+    keys: Sequence[str] = (),
+    bounds: str = "half_open",
 ) -> DataFrame:
     """Cumulative share of the population up to each mutation, along the order, per time point.
 
     Mutations with fewer than ``min_cells`` lifetimes are summed under id 0, and mutations
-    without a place in the order come first.
+    without a place in the order come first. The last running sum of a time point is its total.
     """
-    counts = clone_snapshots(chronicles, grid).select("mutationId", "timePoint", "count")
-    sizes = mutation_sizes(chronicles)
-    shown = F.when(F.col("mutationSize") < min_cells, F.lit(NOISE).cast("long")).otherwise(F.col("mutationId"))
+    at = [*keys, "timePoint"]
+    counts = clone_snapshots(chronicles, grid, bounds, keys=keys).select(*at, "mutationId", "count")
+    # One pass: a mutation is small if its lifetimes are few, whichever time points they cover.
+    sizes = mutation_sizes(chronicles, keys).filter(F.col("mutationSize") >= min_cells)
+    shown = small_table(sizes.select(*keys, "mutationId", F.lit(True).alias("__large")), "large")
     merged = (
-        counts.join(sizes, "mutationId")
-        .groupBy(shown.alias("mutationId"), "timePoint")
+        counts.join(shown, [*keys, "mutationId"], "left")
+        .groupBy(*at, F.when(F.col("__large"), F.col("mutationId")).otherwise(F.lit(NOISE).cast("long")).alias("mutationId"))
         .agg(F.sum("count").alias("count"))
     )
     # A place below all others stands for "no place", so that such mutations are peers.
-    placed = merged.join(muller_order(lineages), "mutationId", "left").withColumn(
-        "__place", F.coalesce("ordering", F.lit(-1).cast("long"))
-    )
-    placed = pin(placed, "placed")
-    totals = small_table(placed.groupBy("timePoint").agg(F.sum("count").alias("__total")), "totals")
-    peers = placed.groupBy("timePoint", "__place").agg(F.sum("count").alias("count"))
-    along = running_sum(peers, F.col("count"), "__place", "__upto", ["timePoint"], bits)
-    shares = along.join(totals, "timePoint").select(
-        "timePoint", "__place", (F.col("__upto") / F.col("__total")).alias("cumeDist")
-    )
-    return (
-        placed.join(shares, ["timePoint", "__place"])
-        .orderBy("__place", "timePoint", "mutationId")
-        .select("mutationId", "timePoint", "cumeDist")
-    )
+    place = F.coalesce("ordering", F.lit(-1).cast("long"))
+    placed = pin(merged.join(order, [*keys, "mutationId"], "left").withColumn("__place", place), "placed")
+    along = pin(running_sums(placed, {"__upto": F.col("count")}, "__place", at, bits), "along")
+    totals = small_table(along.groupBy(*at).agg(F.max("__upto").alias("__total")), "totals")
+    share = F.col("__upto") / F.col("__total")
+    return along.join(totals, at).orderBy(*keys, "__place", "timePoint", "mutationId").select(*keys, "mutationId", "timePoint", share.alias("cumeDist"))
 
 
 def long_fractions(snapshots: DataFrame, order: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def prevalence(counts: DataFrame, paths: DataFrame, threshold: int = 10) -> Data
     has one at every time point.
     """
     large = pin(ever_large(counts, threshold), "large")
-    order = muller_order(paths.join(large, "mutationId", "left_semi"), descending=False)
+    order = path_order(paths.join(large, "mutationId", "left_semi"), descending=False)
     shown = collapsed(counts, large)
     zero = counts.select("timePoint", F.lit(NOISE).cast("long").alias("mutationId"), F.lit(0).cast("long").alias("count"))
     filled = (
@@ -178,9 +187,8 @@ def prevalence(counts: DataFrame, paths: DataFrame, threshold: int = 10) -> Data
     )
 
 
-def param_table(order: DataFrame, large: DataFrame) -> DataFrame:
+def param_table(order: DataFrame, large: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Parameters of the ordered mutations as plain columns."""
-    return order.join(large.select("mutationId", "cellParams"), "mutationId").select(
-        "ordering", "mutationId", "cellParams.*"
-    )
+    params = large.select(*keys, "mutationId", "cellParams")
+    return order.join(params, [*keys, "mutationId"]).select(*keys, "ordering", "mutationId", "cellParams.*")
 

@@ -1,8 +1,9 @@
 """Order-dependent steps over whole tables without a whole table, or a hot group, in one task.
 
 Rows are cut into chunks of ``2**bits`` neighbouring order numbers. A window runs inside each
-chunk, and one small row per chunk carries values across the cuts. The chunk of a row depends on
-its order number alone, so a task that is run again after a lost executor gives the same rows.
+chunk, and one small row per chunk carries values across the cuts. Chunks are cut in the same way into groups of
+``2**bits``, and one row per group carries values across those, so no task holds more than a row for each 2^34 of the log.
+The chunk of a row depends on its order number alone, so a task that is run again after a lost executor gives the same rows.
 
 Order numbers are whole numbers that are dense, or dense in runs (row numbers of files or
 partitions). Use ``numbered`` first for any other order.
@@ -19,6 +20,7 @@ from ..runtime import pin, small_table
 
 CHUNK_BITS = 17
 _CHUNK = "__chunk"
+_GROUP = "__group"
 _HOT = "__hot"
 
 
@@ -26,22 +28,79 @@ def chunk_of(order: str, bits: int = CHUNK_BITS) -> Column:
     return F.shiftright(F.col(order), bits)
 
 
-def numbered(df: DataFrame, by: Sequence[Column | str], out: str, start: int = 0) -> DataFrame:
-    """Adds the dense row number of ``df`` in the order ``by``, by a range-partitioned sort.
+def one_window() -> Column:
+    """The same for every group: what is left after two cuts is one row per group."""
+    return F.shiftright(F.shiftrightunsigned(F.col(_GROUP), 1), 63)
 
-    The sorted rows are pinned with the number of their task and their place in it; the tasks'
-    row counts, one row each, then turn that into one running number.
+
+def ahead(
+    ends: DataFrame,
+    keys: Sequence[str] = (),
+    sums: Sequence[str] = (),
+    lasts: Sequence[str] = (),
+    bits: int = CHUNK_BITS,
+) -> DataFrame:
+    """For each chunk of ``ends`` what the chunks before it hold, under the names with ``__before_`` ahead: sums, and last set values."""
+    parts = [*keys, _GROUP]
+    grouped = ends.withColumn(_GROUP, F.shiftright(_CHUNK, bits))
+    inside = Window.partitionBy(*parts).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    local = grouped.select(
+        *parts,
+        _CHUNK,
+        *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__in_{s}") for s in sums],
+        *[F.last(v, ignorenulls=True).over(inside).alias(f"__in_{v}") for v in lasts],
+    )
+    totals = grouped.groupBy(*parts).agg(
+        *[F.sum(s).alias(s) for s in sums],
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(_CHUNK))).alias(v) for v in lasts],
+    )
+    wide = Window.partitionBy(*keys, one_window()).orderBy(_GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    tops = totals.select(
+        *parts,
+        *[F.coalesce(F.sum(s).over(wide), F.lit(0)).alias(f"__up_{s}") for s in sums],
+        *[F.last(v, ignorenulls=True).over(wide).alias(f"__up_{v}") for v in lasts],
+    )
+    return local.join(tops, parts).select(
+        *keys,
+        _CHUNK,
+        *[(F.col(f"__in_{s}") + F.col(f"__up_{s}")).alias(f"__before_{s}") for s in sums],
+        *[F.coalesce(f"__in_{v}", f"__up_{v}").alias(f"__before_{v}") for v in lasts],
+    )
+
+
+def numbered(df: DataFrame, by: Sequence[Column | str], out: str, start: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the dense row number of ``df`` in the order ``by``, by a range-partitioned sort; with ``keys``, one of its own for each key.
+
+    The sorted rows are pinned with the number of their task and their place in it; the row counts and first
+    places of each key in each task then turn that into running numbers. A key may lie in many tasks, and a task
+    may hold many keys.
     """
-    task, place = "__task", "__place"
-    tagged = df.orderBy(*by).withColumn(place, F.monotonically_increasing_id())
+    task, place, first = "__task", "__place", "__first"
+    tagged = df.orderBy(*keys, *by).withColumn(place, F.monotonically_increasing_id())
     tagged = pin(tagged.withColumn(task, F.shiftright(place, 33)), "numbered")
-    counts = tagged.groupBy(task).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(task, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    # One row per task of the sort: bounded by spark.sql.shuffle.partitions.
-    joined = tagged.join(F.broadcast(offsets), task)
-    inside = F.col(place) - F.shiftleft(F.col(task), 33)
-    return joined.withColumn(out, inside + F.col("__before") + start).drop(task, place, "__before")
+    counts = tagged.groupBy(*keys, task).agg(F.count(F.lit(1)).alias("__rows"), F.min(place).alias(first))
+    earlier = Window.partitionBy(*keys).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, task, first, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    # Without keys one row per task of the sort: bounded by spark.sql.shuffle.partitions.
+    offsets = small_table(offsets, "offsets") if keys else F.broadcast(offsets)
+    joined = tagged.join(offsets, [*keys, task])
+    return joined.withColumn(out, F.col(place) - F.col(first) + F.col("__before") + start).drop(task, place, first, "__before")
+
+
+def running_sums(
+    df: DataFrame, values: Mapping[str, Column], order: str, keys: Sequence[str] = (), bits: int = CHUNK_BITS
+) -> DataFrame:
+    """Adds, for each named value, its sum over all rows of the same keys up to and including this row.
+
+    Rows with the same order number are peers and get the same sum.
+    """
+    parts = [*keys, _CHUNK]
+    df = df.withColumns({_CHUNK: chunk_of(order, bits), **values})
+    totals = df.groupBy(*parts).agg(*[F.sum(v).alias(v) for v in values])
+    offsets = ahead(totals, keys, sums=list(values), bits=bits)
+    inside = Window.partitionBy(*parts).orderBy(order)
+    summed = df.withColumns({v: F.sum(v).over(inside) for v in values}).join(offsets, parts, "left")
+    return summed.withColumns({v: F.col(v) + F.col(f"__before_{v}") for v in values}).drop(_CHUNK, *[f"__before_{v}" for v in values])
 
 
 def running_sum(
@@ -52,18 +111,8 @@ def running_sum(
     keys: Sequence[str] = (),
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """Adds the sum of ``value`` over all rows of the same keys up to and including this row.
-
-    Rows with the same order number are peers and get the same sum.
-    """
-    parts = [*keys, _CHUNK]
-    df = df.withColumn(_CHUNK, chunk_of(order, bits)).withColumn(out, value)
-    totals = df.groupBy(*parts).agg(F.sum(out).alias("__total"))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    local = F.sum(out).over(Window.partitionBy(*parts).orderBy(order))
-    summed = df.withColumn(out, local).join(offsets, parts, "left")
-    return summed.withColumn(out, F.col(out) + F.col("__before")).drop(_CHUNK, "__before")
+    """``running_sums`` of one value."""
+    return running_sums(df, {out: value}, order, keys, bits)
 
 
 def fill_forward(
@@ -78,16 +127,12 @@ def fill_forward(
     df = df.withColumns({_CHUNK: chunk_of(order, bits), **values})
     # Rows without an order are passed over, so this is the last value that is set.
     last_set = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values]
-    ends = df.groupBy(*parts).agg(*last_set)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *parts, *[F.last(v, ignorenulls=True).over(before).alias(f"__{v}") for v in values]
-    )
+    carried = ahead(df.groupBy(*parts).agg(*last_set), keys, lasts=list(values), bits=bits)
     upto = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({v: F.last(v, ignorenulls=True).over(upto) for v in values})
     joined = local.join(carried, parts, "left")
-    return joined.withColumns({v: F.coalesce(F.col(v), F.col(f"__{v}")) for v in values}).drop(
-        _CHUNK, *[f"__{v}" for v in values]
+    return joined.withColumns({v: F.coalesce(F.col(v), F.col(f"__before_{v}")) for v in values}).drop(
+        _CHUNK, *[f"__before_{v}" for v in values]
     )
 
 

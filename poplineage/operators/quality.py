@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import CREATED, REMOVED, TRANSFORMED
-from .ordered import CHUNK_BITS, with_neighbours
+from .ordered import CHUNK_BITS, ahead, with_neighbours
 
 
 def sequence_anomalies(
@@ -51,10 +51,9 @@ def unsorted_neighbours(df: DataFrame, column: str, order: str, bits: int = CHUN
     chunk = F.shiftright(F.col(order), bits)
     inside = Window.partitionBy("__chunk").orderBy(order)
     local = df.withColumn("__chunk", chunk).withColumn("__before", F.lag(column).over(inside))
-    ends = local.groupBy("__chunk").agg(F.max_by(column, order).alias("__end"))
-    along = Window.orderBy("__chunk")
-    carried = ends.select("__chunk", F.lag("__end").over(along).alias("__carried"))
+    ends = local.groupBy("__chunk").agg(F.max_by(F.struct(F.col(column).alias("value")), order).alias("end"))
+    carried = ahead(ends, lasts=["end"], bits=bits)
     first = F.row_number().over(inside) == 1
     joined = local.withColumn("__first", first).join(carried, "__chunk", "left")
-    before = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before"))
-    return joined.filter(F.col(column) < before).drop("__chunk", "__before", "__first", "__carried")
+    before = F.when(F.col("__first"), F.col("__before_end.value")).otherwise(F.col("__before"))
+    return joined.filter(F.col(column) < before).drop("__chunk", "__before", "__first", "__before_end")

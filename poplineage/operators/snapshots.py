@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import TimeGrid
+from ..functions.intervals import INDEX, START, STOP, TimeGrid
+from ..runtime import small_side
 from ..schemas import AXES, PARAM_COLUMNS, PARAMS
 from .chronicles import PLUS_INF, cells_of
+from .timepoints import KeyedGrids, PointTable
+
+Grid = TimeGrid | KeyedGrids | PointTable
 
 
 def max_time(chronicles: DataFrame) -> float | None:
@@ -17,11 +21,12 @@ def max_time(chronicles: DataFrame) -> float | None:
     return chronicles.agg(F.max("birthTime")).first()[0]
 
 
-def time_grid(chronicles: DataFrame) -> TimeGrid:
+def time_grid(chronicles: DataFrame, whole: bool = False) -> TimeGrid:
+    """The grid up to the last birth: with that birth as its last point, or of whole numbers only."""
     last = max_time(chronicles)
     if last is None:
         raise ValueError("no lifetimes, so no time points")
-    return TimeGrid(last)
+    return TimeGrid(last, whole=whole)
 
 
 def time_points(chronicles: DataFrame) -> DataFrame:
@@ -37,24 +42,10 @@ def snapshot_at(chronicles: DataFrame, time: float) -> DataFrame:
     return cells_of(chronicles.filter(alive))
 
 
-def cells_by_time(chronicles: DataFrame, grid: TimeGrid, bounds: str = "half_open") -> DataFrame:
-    """Each lifetime once for every time point inside it.
-
-    ``closed_int`` takes every whole number from the one at or before birth up to the one at or
-    before death or the last point, both included.
-    """
-    birth, death = F.col("birthTime"), F.col("deathTime")
-    if bounds == "closed_int":
-        alive = chronicles.filter(birth <= grid.last)
-        return alive.withColumn("timePoint", F.explode(F.sequence(_whole(birth, grid), _whole(death, grid))))
-    start, stop = grid.covered(birth, death, bounds)
-    indexed = chronicles.filter(start < stop).withColumn("__index", F.explode(F.sequence(start, stop - 1)))
-    return indexed.withColumn("timePoint", grid.point(F.col("__index"))).drop("__index")
-
-
-def _whole(time: Column, grid: TimeGrid) -> Column:
-    """The whole number at or before a time, held between 0 and the last point."""
-    return F.greatest(F.least(time, F.lit(grid.last)), F.lit(0.0)).cast("int")
+def cells_by_time(chronicles: DataFrame, grid: Grid, bounds: str = "half_open") -> DataFrame:
+    """Each lifetime once for every time point inside it."""
+    steps = F.explode(F.sequence(START, F.col(STOP) - 1))
+    return grid.at_points(grid.spans(chronicles, bounds).withColumn(INDEX, steps).drop(START, STOP), bounds)
 
 
 def earliest_params() -> Column:
@@ -76,7 +67,7 @@ def clone_snapshot(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def clone_snapshots(
     chronicles: DataFrame,
-    grid: TimeGrid,
+    grid: Grid,
     bounds: str = "half_open",
     method: str = "delta",
     keys: Sequence[str] = (),
@@ -96,37 +87,28 @@ def clone_snapshots(
     if method != "delta":
         raise ValueError(f"unknown method {method!r}")
     clone = [*keys, "mutationId"]
-    birth, death = F.col("birthTime"), F.col("deathTime")
-    if bounds == "closed_int":
-        chronicles = chronicles.filter(birth <= grid.last)
-        start, stop = _whole(birth, grid).cast("long"), _whole(death, grid).cast("long") + 1
-        size, point = int(max(grid.last, 0.0)) + 1, F.col("index").cast("int")
-    else:
-        start, stop = grid.covered(birth, death, bounds)
-        size, point = grid.size, grid.point(F.col("index"))
     moves = F.array(
-        F.struct(start.alias("index"), F.lit(1).cast("long").alias("change")),
-        F.struct(stop.alias("index"), F.lit(-1).cast("long").alias("change")),
+        F.struct(F.col(START).alias("index"), F.lit(1).cast("long").alias("change")),
+        F.struct(F.col(STOP).alias("index"), F.lit(-1).cast("long").alias("change")),
     )
     changes = (
-        chronicles.filter(start < stop)
+        grid.spans(chronicles, bounds)
         .select(*clone, "particleId", "cellParams", F.explode(moves).alias("move"))
         .groupBy(*clone, "move.index")
         .agg(F.sum("move.change").alias("change"), earliest_params().alias("params"))
     )
-    # At most one row per clone and time point is left to the windows.
+    # At most one row per clone and time point is left to the windows. All lifetimes are closed, so nobody is left after the last change.
     along = Window.partitionBy(*clone).orderBy("index")
     spans = changes.select(
         *clone,
         F.sum("change").over(along).alias("count"),
         F.first("params").over(along).alias("cellParams"),
         "index",
-        F.lead("index", 1, size).over(along).alias("next"),
+        F.lead("index").over(along).alias("next"),
     ).filter((F.col("count") > 0) & (F.col("index") < F.col("next")))
-    points = F.explode(F.sequence("index", F.col("next") - 1)).alias("index")
-    return spans.select(*clone, "count", "cellParams", points).select(
-        *clone, point.alias("timePoint"), "count", "cellParams"
-    )
+    points = F.explode(F.sequence("index", F.col("next") - 1)).alias(INDEX)
+    rows = grid.at_points(spans.select(*clone, "count", "cellParams", points), bounds)
+    return rows.select(*clone, "timePoint", "count", "cellParams")
 
 
 def mutation_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -140,6 +122,12 @@ def living(chronicles: DataFrame) -> DataFrame:
     return chronicles.filter(F.col("deathTime") == PLUS_INF)
 
 
+def clones_at_last(snapshots: DataFrame, lasts: DataFrame, keys: Sequence[str], tolerance: float = 1e-3) -> DataFrame:
+    """Clone counts of each key at its own last time point, which ``lasts`` has as ``value``."""
+    joined = snapshots.join(small_side(lasts.select(*keys, F.col("value").alias("__last"))), list(keys))
+    return joined.filter(F.abs(F.col("timePoint") - F.col("__last")) < tolerance).drop("timePoint", "__last")
+
+
 def final_clone_snapshot(chronicles: DataFrame) -> DataFrame:
     """Never-ended lifetimes per mutation."""
     rows = living(chronicles)
@@ -148,10 +136,10 @@ def final_clone_snapshot(chronicles: DataFrame) -> DataFrame:
     )
 
 
-def final_cells(chronicles: DataFrame) -> DataFrame:
+def final_cells(chronicles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Never-ended lifetimes as plain columns."""
     return living(chronicles).select(
-        *[f"position.{a}" for a in AXES], "mutationId", *[f"cellParams.{p}" for p in PARAMS]
+        *keys, *[f"position.{a}" for a in AXES], "mutationId", *[f"cellParams.{p}" for p in PARAMS]
     )
 
 

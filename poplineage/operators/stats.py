@@ -126,32 +126,33 @@ def normalized_entropy(scalars: DataFrame) -> DataFrame:
     )
 
 
-def count_fractions(counts: DataFrame, key: str = "timePoint") -> DataFrame:
+def count_fractions(counts: DataFrame, keys: Sequence[str] = ("timePoint",)) -> DataFrame:
     """Long-form counts with their share of the total at their time point."""
-    totals = counts.groupBy(key).agg(F.sum("count").alias("__total"))
-    shares = counts.join(small_table(totals, "totals"), key)
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("__total"))
+    shares = counts.join(small_table(totals, "totals"), list(keys))
     return shares.withColumn("fraction", F.try_divide(F.col("count").cast("double"), F.col("__total"))).drop("__total")
 
 
-def major_and_noise(snapshots: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+def major_and_noise(snapshots: DataFrame, large: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Clone snapshots of the large mutations, and those of all others."""
-    ids = small_side(large.select("mutationId"))
-    return (
-        snapshots.join(ids, "mutationId", "left_semi"),
-        snapshots.join(ids, "mutationId", "left_anti"),
-    )
+    same = [*keys, "mutationId"]
+    ids = small_side(large.select(*same))
+    return snapshots.join(ids, same, "left_semi"), snapshots.join(ids, same, "left_anti")
 
 
-def top_mutations(counts: DataFrame, k: int, count: str = "mutationCount") -> DataFrame:
-    """The k largest counts, ties broken by id."""
-    return counts.select("mutationId", count).orderBy(F.desc(count), "mutationId").limit(k)
+def top_mutations(counts: DataFrame, k: int, count: str = "mutationCount", keys: Sequence[str] = ()) -> DataFrame:
+    """The k largest counts, of each key if there are any; ties broken by id."""
+    held = counts.select(*keys, "mutationId", count)
+    if not keys:
+        return held.orderBy(F.desc(count), "mutationId").limit(k)
+    # Spark keeps k rows a key in each task before it shuffles them.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(count), "mutationId"))
+    return held.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
 
 
-def second_share(counts: DataFrame, count: str = "mutationCount") -> DataFrame:
+def second_share(counts: DataFrame, count: str = "mutationCount", keys: Sequence[str] = ()) -> DataFrame:
     """Second largest count as a percentage of the largest; null if there is only one."""
-    top = top_mutations(counts, 2, count).withColumn(
-        "__rank", F.row_number().over(Window.orderBy(F.desc(count), "mutationId"))
-    )
-    first = F.max(F.when(F.col("__rank") == 1, F.col(count)))
-    second = F.max(F.when(F.col("__rank") == 2, F.col(count)))
-    return top.agg((F.try_divide(second.cast("double"), first) * 100).alias("percent"))
+    largest = F.sort_array(F.collect_list(count), asc=False)
+    top = top_mutations(counts, 2, count, keys).groupBy(*keys).agg(largest.alias("__top"))
+    share = F.try_divide(F.get("__top", F.lit(1)).cast("double"), F.get("__top", F.lit(0))) * 100
+    return top.select(*keys, share.alias("percent"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -40,6 +42,16 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pin_counted(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``pin``, and named measures taken while the rows are written.
+
+    A task that runs twice can raise them, so only use them where too large a number does no harm.
+    """
+    counted = Observation()
+    pinned = pin(df.observe(counted, *measures), name)
+    return pinned, counted.get
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks ``df`` for broadcast if it is counted to hold at most ``max_rows`` narrow rows.
 
@@ -56,6 +68,31 @@ def small_table(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> Dat
     Rows are counted while they are written. A task that runs twice can only raise the count,
     which at worst leaves the table unmarked.
     """
+    pinned, counted = pin_counted(df, name, F.count(F.lit(1)).alias("rows"))
+    return F.broadcast(pinned) if counted["rows"] <= max_rows else pinned
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Writes Parquet and returns the number of rows written."""
     counted = Observation()
-    pinned = pin(df.observe(counted, F.count(F.lit(1)).alias("rows")), name)
-    return F.broadcast(pinned) if counted.get["rows"] <= max_rows else pinned
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return counted.get["rows"]
+
+
+def save_buckets(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table in as many files as buckets, hashed and sorted by ``keys``: joins on them need no exchange on this side."""
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+@contextlib.contextmanager
+def bucketed(df: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
+    """``df`` in buckets by ``keys``, as many as a shuffle has partitions; its name is dropped at the end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    table = "buckets_" + path.rsplit("-", 1)[1]
+    try:
+        yield save_buckets(df, table, path, keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    finally:
+        spark.sql(f"drop table if exists {table}")

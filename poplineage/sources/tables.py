@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+import uuid
+
+from py4j.protocol import Py4JJavaError
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
 from ..operators.snapshots import cells_by_time
+from ..runtime import save_buckets
 from ..schemas import PARAMS
 
 
@@ -18,6 +22,31 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file of one line whole under a name of its own, then gives it the name ``path`` if nothing has it yet."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, made = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    files = made.getFileSystem(conf)
+    if files.exists(target):
+        return False
+    out = files.create(made, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(files.makeQualified(made).toUri(), conf)
+    try:
+        context.rename(files.makeQualified(made), files.makeQualified(target), spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError:
+        files.delete(made, False)
+        if not files.exists(target):
+            raise
+        return False
+    return True
+
+
+def claimed(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, built and written first if it is not there whole."""
     if not is_complete(spark, path):
@@ -44,9 +73,7 @@ def append_parquet(df: DataFrame, path: str) -> None:
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = 100) -> DataFrame:
     """A table hashed and sorted by ``key``, so that joins on it need no exchange on this side."""
-    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-    writer.option("path", path).saveAsTable(table)
-    return df.sparkSession.table(table)
+    return save_buckets(df, table, path, [key], buckets)
 
 
 def histogram_lines(stats: DataFrame, separator: str = ";") -> DataFrame:
@@ -56,11 +83,15 @@ def histogram_lines(stats: DataFrame, separator: str = ";") -> DataFrame:
     return long_form.select("timePoint", "parameter", F.array_join("bins", separator).alias("line"))
 
 
-def write_histograms(stats: DataFrame, prefix: str, separator: str = ";", single_file: bool = False) -> None:
-    """One text table per parameter, a line per time point in order."""
+def write_histograms(
+    stats: DataFrame, prefix: str, separator: str = ";", single_file: bool = False, keys: Sequence[str] = ()
+) -> None:
+    """One text table per parameter, a line per time point in order; a folder for each key if there are any."""
     for param in PARAMS:
-        lines = stats.orderBy("timePoint").select(F.array_join(f"histograms.{param}", separator).alias("value"))
-        (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(f"{prefix}histogram_{param}.csv")
+        line = F.array_join(f"histograms.{param}", separator).alias("value")
+        lines = stats.orderBy(*keys, "timePoint").select(*keys, line)
+        writer = (lines.coalesce(1) if single_file else lines).write.mode("overwrite").partitionBy(*keys)
+        writer.text(f"{prefix}histogram_{param}.csv")
 
 
 def read_histogram(spark: SparkSession, path: str, bins: int, separator: str = ";") -> DataFrame:

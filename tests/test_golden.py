@@ -8,7 +8,7 @@ import pytest
 
 from poplineage.functions.intervals import TimeGrid
 from poplineage.operators import chronicles as lifetimes
-from poplineage.operators import events, muller, phylogeny, quality, reports, snapshots, stats
+from poplineage.operators import events, muller, phylogeny, quality, reports, snapshots, stats, tour
 
 
 @pytest.fixture(scope="module")
@@ -101,15 +101,15 @@ def test_tree_and_lineages(tree):
 
 
 def test_summary(cells, clones, tree):
-    paths = phylogeny.lineages(tree)
+    paths, along = phylogeny.lineages(tree), tour.tour(tree)
     final = snapshots.clones_at(clones, 4.0)
-    summary = phylogeny.mutation_summary(paths, final, tree).persist()
+    summary = phylogeny.mutation_summary(paths, along, final, tree).persist()
     rows = {r.mutationId: r for r in summary.collect()}
     assert {(k, r.mutationCount) for k, r in rows.items()} == golden.CARRIED
     assert {k: r.waitingTime for k, r in rows.items()} == golden.WAITING
     assert rows[1].typeCount == 0 and rows[1].parameterUpgrades.birthEfficiency is None
     assert rows[3].parameterUpgrades.birthEfficiency == pytest.approx(0.1, abs=1e-6)
-    frequency = phylogeny.mutation_frequency(final, paths)
+    frequency = phylogeny.mutation_frequency(final, along)
     assert {(r.ancestorMutationId, r.mutationCount) for r in frequency.collect()} == golden.CARRIED
     assert rows[1].mutationCount == snapshots.living(cells).count()
     vertices, edges = reports.subtree_over(summary, 1)
@@ -118,18 +118,18 @@ def test_summary(cells, clones, tree):
 
 
 def test_muller(cells, clones, tree):
-    paths = phylogeny.lineages(tree)
-    order = muller.muller_order(paths)
+    along = tour.tour(tree)
+    order = muller.muller_order(along)
     assert [(r.mutationId, r.ordering) for r in order.orderBy("ordering").collect()] == [(1, 0), (2, 1), (3, 2), (4, 3)]
     large = muller.large_clones(cells, 2)
     assert {r.mutationId for r in large.collect()} == {1, 3}
-    wide = muller.muller_pivot(clones, muller.large_muller_order(paths, large), width=2)
+    wide = muller.muller_pivot(clones, muller.large_muller_order(along, large), width=2)
     assert wide.columns == ["timePoint", "block", "ids", "counts"]
     last = wide.filter("timePoint = 4").orderBy("block").collect()
     assert [(r.ids, r.counts) for r in last] == [([0, 1], [2, 0]), ([3], [2])]
     assert wide.count() == 2 * 5
     for bits in (20, 0):
-        data = muller.muller_data(cells, paths, TimeGrid(4.0), min_cells=1, bits=bits).collect()
+        data = muller.muller_data(cells, order, TimeGrid(4.0), min_cells=1, bits=bits).collect()
         assert [(r.mutationId, r.cumeDist) for r in data if r.timePoint == 4.0] == [(2, 0.25), (3, 0.75), (4, 1.0)]
 
 

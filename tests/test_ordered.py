@@ -68,6 +68,30 @@ def test_numbered(rows):
     same(found, rows.withColumn("n", F.row_number().over(Window.orderBy(F.desc("ord"))).cast("long") + 4))
 
 
+def test_numbered_by_key(rows):
+    """Keys that span tasks, and tasks that hold many keys."""
+    window = Window.partitionBy("g").orderBy(F.desc("ord"))
+    expected = rows.withColumn("n", F.row_number().over(window).cast("long") - 1)
+    same(ordered.numbered(rows, [F.desc("ord")], "n", keys=["g"]), expected)
+
+
+def test_two_levels_of_chunks(spark):
+    """Chunks of two rows in groups of two: both cuts lie everywhere, order numbers are on both sides of 0."""
+    rng = random.Random(2)
+    data = [(i - 300 + (i // 50) * 37, rng.randrange(4), rng.choice([None, i]), rng.randrange(3)) for i in range(600)]
+    rows = spark.createDataFrame(data, "ord bigint, v int, w bigint, timeDelta int").persist()
+    everything = Window.orderBy("ord")
+    upto = everything.rowsBetween(Window.unboundedPreceding, 0)
+    found = ordered.running_sums(rows, {"s": F.col("v"), "t": F.lit(1)}, "ord", bits=1)
+    same(found, rows.withColumns({"s": F.sum("v").over(everything), "t": F.sum(F.lit(1)).over(everything)}))
+    same(ordered.fill_forward(rows, {"f": F.col("w")}, "ord", bits=1), rows.withColumn("f", F.last("w", ignorenulls=True).over(upto)))
+    rises = (F.col("timeDelta") >= F.lag("timeDelta", 1, 0).over(everything)).cast("long")
+    expected = rows.withColumn("r", rises).withColumn("eventId", F.sum("r").over(upto)).drop("r")
+    same(events.event_groups(rows, bits=1), expected)
+    for df in (found, events.event_groups(rows, bits=1), quality.unsorted_neighbours(rows, "v", "ord", 1)):
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unsorted(rows):
     before = F.lag("v").over(Window.orderBy("ord"))
     expected = rows.withColumn("b", before).filter("v < b").drop("b")

@@ -1,6 +1,7 @@
 """Weighted aggregates and histograms on edge values."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from poplineage.functions import kind_code, kind_label
 from poplineage.functions.aggregates import bin_number, dense_counts, weighted_avg, weighted_stddev
 from poplineage.functions.intervals import TimeGrid
-from poplineage.operators import stats
+from poplineage.operators import snapshots, stats, timepoints
 from poplineage.schemas import PARAMS
 
 
@@ -101,3 +102,46 @@ def test_grid(spark, last):
         for (a, b), row in zip(pairs, df.select(*cols).collect()):
             expected = [p for p in points if (a <= p if bounds == "half_open" else a < p) and p < b]
             assert row[0] == expected and row[1] == expected, (a, b, bounds)
+
+
+@pytest.mark.parametrize("last", [-0.5, 0.0, 2.0, 3.2])
+def test_whole_grid(spark, last):
+    """Whole numbers from 0 up to the last time, and no other point; the last one of each row's own."""
+    points = [float(i) for i in range(10) if i <= last]
+    times = [-math.inf, -1.0, 0.0, 0.3, 1.0, 2.0, 2.9, 3.0, 3.2, 4.0, math.inf]
+    pairs = [(a, b) for a in times for b in times if a < b]
+    df = spark.createDataFrame([(*p, last) for p in pairs], "birth double, death double, last double")
+    for grid in (TimeGrid(last, whole=True), TimeGrid(F.col("last"), whole=True)):
+        found = df.select(grid.points_inside(F.col("birth"), F.col("death")).alias("p")).collect()
+        assert [r.p for r in found] == [[p for p in points if a <= p < b] for a, b in pairs]
+
+
+def test_table_of_points(spark):
+    """Points far apart and close together, repeated and null ones, against a list of them."""
+    rng = random.Random(1)
+    points = [0.0, 0.5, 0.5, -3.0, 1e9] + [1 + rng.random() / 1000 for _ in range(300)] + [rng.random() * 100 for _ in range(100)]
+    times = [-math.inf, -3.0, 0.5, 1.0005, 1e9, 2e9, math.inf, *rng.sample(points, 20), *[rng.random() * 50 for _ in range(20)]]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in times for b in times if a < b)]
+    lives = spark.createDataFrame(pairs, "particleId bigint, birthTime double, deathTime double")
+    table = timepoints.PointTable(spark.createDataFrame([(p,) for p in [*points, None, math.nan]], "value double"), bits=3)
+    for bounds in ("half_open", "open"):
+        rows = snapshots.cells_by_time(lives, table, bounds)
+        found = {r.particleId: r.points for r in rows.groupBy("particleId").agg(F.sort_array(F.collect_list("timePoint")).alias("points")).collect()}
+        for i, birth, death in pairs:
+            expected = sorted(p for p in set(points) if (birth <= p if bounds == "half_open" else birth < p) and p < death)
+            assert found.get(i, []) == expected, (birth, death, bounds)
+    nothing = timepoints.PointTable(spark.createDataFrame([(None,)], "value double"))
+    assert snapshots.cells_by_time(lives, nothing).count() == 0
+    assert timepoints.PointTable(spark.range(10_000).select((F.col("id") * F.col("id")).alias("value"))).steps <= 10
+
+
+def test_grids_of_runs(spark):
+    rows = [("a", 1, 0.0, 2.5), ("a", 2, 3.2, math.inf), ("b", 1, 0.0, math.inf), ("c", 1, -math.inf, 0.5), ("c", 2, 0.25, 7.0)]
+    lives = spark.createDataFrame(rows, "run string, particleId bigint, birthTime double, deathTime double")
+    grids = timepoints.KeyedGrids(lives, ["run"])
+    points = {}
+    for r in grids.points().orderBy("value").collect():
+        points.setdefault(r.run, []).append(r.value)
+    assert points == {"a": [0.0, 1.0, 2.0, 3.0, 3.2], "b": [0.0], "c": [0.0, 0.25]}
+    found = {(r.run, r.particleId, r.timePoint) for r in snapshots.cells_by_time(lives, grids).collect()}
+    assert found == {(run, i, p) for run, i, birth, death in rows for p in points[run] if birth <= p < death}
