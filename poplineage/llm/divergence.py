@@ -8,7 +8,10 @@ these terms are grouped by their text, so the long tail of rare terms is never s
 One pass over the texts makes the counts additive: a task sorts the different terms of each document, and a term *leads* a
 prefix in the documents in which it is the first one with that prefix. The documents of a prefix are then the sum of the
 leads of its terms. A kept prefix keeps all its terms, so the sums of the next level are those over all documents. Rows
-are summed by language, source and term in the task before they leave it, in tables of bounded size.
+are summed by language and term in the task before they leave it, in tables of bounded size.
+
+A second pass counts the kept terms by source. Tasks hold ``FILTER_BITS`` hashed flags of them, a fixed size, to leave most other
+terms out early; a join with the kept terms then leaves out the rest, so the counts are exact at any number of terms.
 
 Sources are compared by dense blocks: kept terms are dealt to blocks by hash, each block is a matrix of its terms and the
 sources of its language, and the blocks' sums of absolute differences are added up. Terms that neither source of a block
@@ -37,9 +40,10 @@ from . import words as W
 MIN_DOCS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
-#: Parameters: prefix lengths of the levels in bytes, and bounds of a task's table and of a block.
+#: Parameters: prefix lengths of the levels in bytes, flags of kept terms as a power of two, and bounds of a task's table and of a block.
 LEVELS = (2, 4, 8, 16, 32)
-HELD_ROWS = 200_000
+FILTER_BITS = 22
+HELD_ROWS = 400_000
 BLOCK_TERMS = 4_096
 BLOCK_CELLS = 1 << 20
 
@@ -49,84 +53,136 @@ _TERM = np.zeros(256, np.uint8)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = 1
 
 GROUP = ["lang", "source"]
-SUMS = ["n", "docs", *[f"lead_{k}" for k in range(len(LEVELS))]]
+SUMS = ["docs", *[f"lead_{k}" for k in range(len(LEVELS))]]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in GROUP], "text")
 
 
-def _slice_rows(data: np.ndarray, offsets: np.ndarray, groups: pa.Array, names: pa.RecordBatch) -> pa.Table | None:
-    """Sums by group and term of one slice; ``groups`` numbers the group of each text."""
+def _slice_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different terms of a slice in order; of each text's different terms, in order, the text, the term's number and its occurrences."""
     starts, ends, first = W.spans(data, offsets, _TERM)
-    if not len(starts):
-        return None
     low = _LOWER[data]
     size = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=size[1:])
     held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(low[_TERM[low] > 0])])
     coded = held.cast(pa.binary()).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    terms = coded.dictionary.take(pa.array(order))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    # One row for each different term of a document, in the order of documents and terms.
-    key, n = np.unique(W.text_of(first) * len(order) + place[coded.indices.to_numpy()], return_counts=True)
-    doc, term = np.divmod(key, len(order))
-    sums = [n, np.ones(len(key), np.int64)]
-    for length in LEVELS:
-        prefix = pc.binary_slice(terms, 0, length).dictionary_encode().indices.to_numpy()[term]
-        leads = np.ones(len(key), np.int64)
-        leads[1:] = (prefix[1:] != prefix[:-1]) | (doc[1:] != doc[:-1])
-        sums.append(leads)
-    group = groups.to_numpy()[doc] * len(order) + term
-    different, inverse = np.unique(group, return_inverse=True)
-    owner, term = np.divmod(different, len(order))
-    columns = [names.column(c).take(pa.array(owner)) for c in GROUP] + [terms.take(pa.array(term))]
-    columns += [pa.array(np.bincount(inverse, s, len(different)).astype(np.int64)) for s in sums]
-    return pa.table(columns, [*GROUP, "term", *SUMS])
-
-
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    held = pa.concat_tables(tables)
-    summed = held.group_by([*GROUP, "term"]).aggregate([(s, "sum") for s in SUMS])
-    return summed.select([*GROUP, "term", *[f"{s}_sum" for s in SUMS]]).rename_columns(held.schema.names)
+    key, n = np.unique(W.text_of(first) * max(1, len(order)) + place[coded.indices.to_numpy()], return_counts=True)
+    doc, term = np.divmod(key, max(1, len(order)))
+    return coded.dictionary.take(pa.array(order)), doc, term, n
+
+
+def _summed(keys: list[pa.Array], names: list[str], terms: pa.Array, owner: np.ndarray, term: np.ndarray, sums: dict[str, np.ndarray]) -> pa.Table:
+    """Sums by owner and term; ``keys`` are the columns of an owner."""
+    different, inverse = np.unique(owner * len(terms) + term, return_inverse=True)
+    owner, term = np.divmod(different, len(terms))
+    columns = [k.take(pa.array(owner)) for k in keys] + [terms.take(pa.array(term))]
+    columns += [pa.array(np.bincount(inverse, s, len(different)).astype(np.int64)) for s in sums.values()]
+    return pa.table(columns, [*names, "term", *sums])
+
+
+def _numbers(columns: list[pa.Array]) -> np.ndarray:
+    """For each row the number of the first row with the same values."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        coded = column.dictionary_encode()
+        key = key * len(coded.dictionary) + coded.indices.to_numpy()
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def _in_tables(made: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The tables summed by their keys, in tables of about ``HELD_ROWS`` rows."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        held = pa.concat_tables(tables)
+        sums = [c for c in held.column_names if c not in keys]
+        out = held.group_by(keys).aggregate([(c, "sum") for c in sums])
+        return out.select([*keys, *[f"{c}_sum" for c in sums]]).rename_columns(held.column_names)
+
+    tables, rows = [], 0
+    for table in made:
+        tables.append(table)
+        rows += len(table)
+        if rows > HELD_ROWS:
+            tables = [summed(tables)]
+            rows = len(tables[0])
+            if 2 * rows > HELD_ROWS:
+                yield from tables[0].combine_chunks().to_batches()
+                tables, rows = [], 0
+    if tables:
+        yield from summed(tables).combine_chunks().to_batches()
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
-    """``lang, source, term`` (bytes) with occurrences, documents and led documents of each level, summed in part."""
+    """``lang, term`` (bytes) with documents and led documents of each level, summed in part."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, rows = [], 0
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
             for row, end, data, offsets in W.text_slices(batch.column("text")):
-                own = batch.slice(row, end - row)
-                both = pa.StructArray.from_arrays([own.column(c) for c in GROUP], GROUP)
-                names = pa.RecordBatch.from_struct_array(both)
-                met = _slice_rows(data, offsets, pa.array(np.arange(len(own))) if len(own) < 2 else _numbers(names), names)
-                if met is None:
+                terms, doc, term, _ = _slice_terms(data, offsets)
+                if not len(term):
                     continue
-                tables.append(met)
-                rows += len(met)
-                if rows > HELD_ROWS:
-                    tables = [_summed(tables)]
-                    rows = len(tables[0])
-                    if 2 * rows > HELD_ROWS:
-                        yield from tables[0].combine_chunks().to_batches()
-                        tables, rows = [], 0
-        if tables:
-            yield from _summed(tables).combine_chunks().to_batches()
+                sums = {"docs": np.ones(len(term), np.int64)}
+                for k, length in enumerate(LEVELS):
+                    prefix = pc.binary_slice(terms, 0, length).dictionary_encode().indices.to_numpy()[term]
+                    leads = sums[f"lead_{k}"] = np.ones(len(term), np.int64)
+                    leads[1:] = (prefix[1:] != prefix[:-1]) | (doc[1:] != doc[:-1])
+                langs = batch.slice(row, end - row).column("lang")
+                yield _summed([langs], ["lang"], terms, _numbers([langs])[doc], term, sums)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_tables(slices(batches), ["lang", "term"])
 
     sums = ", ".join(f"{s} long" for s in SUMS)
-    return _keyed(docs).mapInArrow(count, f"lang string, source string, term binary, {sums}")
+    return _keyed(docs).select("lang", "text").mapInArrow(count, f"lang string, term binary, {sums}")
 
 
-def _numbers(names: pa.RecordBatch) -> pa.Array:
-    """For each row the number of the first row of its group."""
-    coded = [names.column(c).dictionary_encode() for c in GROUP]
-    key = coded[0].indices.to_numpy().astype(np.int64) * len(coded[1].dictionary) + coded[1].indices.to_numpy()
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return pa.array(first[inverse])
+def _flags_of(terms: pa.Array) -> np.ndarray:
+    """The hashed flag of each term."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[: len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+    return (W.span_hashes(data, offsets[:-1], offsets[1:]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def term_flags(kept: DataFrame) -> np.ndarray:
+    """Which hashed flags the kept terms set: at most 2^FILTER_BITS numbers come to the driver."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = pa.concat_arrays([batch.column("term")]).take(pa.array(np.arange(len(batch))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_flags_of(terms)))], ["flag"])
+
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[kept.select("term").mapInArrow(flag, "flag long").distinct().toArrow().column("flag").to_numpy()] = True
+    return out
+
+
+def counts_by_source(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``lang, source, term, n``: occurrences of the kept terms; a source without a term has no row for it."""
+    flags = np.packbits(term_flags(kept))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        wanted = np.unpackbits(flags).astype(bool)
+        for batch in batches:
+            for row, end, data, offsets in W.text_slices(batch.column("text")):
+                terms, doc, term, n = _slice_terms(data, offsets)
+                if not len(term):
+                    continue
+                held = wanted[_flags_of(terms)][term]
+                own = [batch.slice(row, end - row).column(c) for c in GROUP]
+                yield _summed(own, GROUP, terms, _numbers(own)[doc[held]], term[held], {"n": n[held]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_tables(slices(batches), [*GROUP, "term"])
+
+    counted = _keyed(docs).mapInArrow(count, "lang string, source string, term binary, n long")
+    exact = counted.join(kept, ["lang", "term"], "left_semi")
+    return exact.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"))
 
 
 def _prefix(length: int) -> Column:
@@ -195,8 +251,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     """``lang, source, part, item, value, rank``: distances to the other sources, and the terms a source favours."""
     rows = pin(term_rows(docs), "terms")
     vocabulary = small_table(kept_terms(rows, min_docs), "vocabulary")
-    counted = rows.select(*GROUP, "term", "n").join(vocabulary, ["lang", "term"], "left_semi").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"))
-    counted = pin(counted, "counts")
+    counted = pin(counts_by_source(docs, vocabulary), "counts")
     # A row each per language, per group and per kept term; the groups of a language are numbered in order.
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = counted.groupBy(*GROUP).agg(F.sum("n").alias("total"))
