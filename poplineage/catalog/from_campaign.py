@@ -218,9 +218,14 @@ def campaign_frequency(spark, folder):
     return phylogeny.mutation_frequency(snapshots.clones_at_last(clones, last, RUN), tree, RUN)
 
 
-@functools.lru_cache(maxsize=None)
 def analysis(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], str]:
-    """The job's tables and their folder, made once in a session for each folder of tables; one folder of text for each run."""
+    """The job's tables and their folder, made once in a session for each state of the events."""
+    return _analysis(spark, folder, jobs.files_of(spark, f"{folder}/events.parquet"))
+
+
+@functools.lru_cache(maxsize=None)
+def _analysis(spark: SparkSession, folder: str, files: str) -> tuple[dict[str, DataFrame], str]:
+    """One folder of text for each run."""
     root, out = scratch_path(spark, "campaign"), scratch_path(spark, "analysis")
     rows = pin(campaign_events(spark, folder), "rows")
     for k in range(RUNS):

@@ -230,6 +230,18 @@ def sectioned_text_quoted(spark, folder):
     return read.select("time", "x", F.col(f"`{jobs.MUTATION_COLUMN}`").cast("long").alias("mutationId"))
 
 
+@query("sectioned_text_escaped", f"with {_CELLS_SQL} select timePoint as time, x, mutationId from cells")
+def sectioned_text_escaped(spark, folder):
+    """Escaped marks and delimiters, doubled marks and quoted delimiters in fields ahead of those that are read, empty ones between."""
+    cells = snapshots.cells_by_time(chronicle(spark, folder), TimeGrid.of(SECTION_TIMES))
+    label = F.when(F.col("mutationId") % 2 == 0, F.lit('"a \\"cell\\", ""of"" \\\\",')).otherwise(F.lit('one\\, two\\",'))
+    line = F.concat(label, F.lit(","), "position.x", F.lit(', "'), "mutationId", F.lit('"'))
+    body = cells.select("timePoint", F.lit(2).alias("part"), line.alias("value"))
+    path = _sections(spark, body, F.lit(f'label\\, "quoted, with"" marks",,x,{jobs.MUTATION_COLUMN}'))
+    read = snapshot_text.read_sections(spark, path, ["x", jobs.MUTATION_COLUMN])
+    return read.select("time", "x", F.col(f"`{jobs.MUTATION_COLUMN}`").cast("long").alias("mutationId"))
+
+
 @query(
     "sectioned_text_mixed_headers",
     f"with {_CELLS_SQL} select timePoint as time, x, case when timePoint >= 20 then y end as y, mutationId from cells",
@@ -326,12 +338,17 @@ def parent_csv(spark, folder):
     return event_log.read_parents(spark, path)
 
 
-@query("bucketed_edges", f"""with {S.TR} select parentMutationId, count(*) as children from tr group by 1""")
+@query(
+    "bucketed_edges",
+    f"""with {S.TR} select c.mutationId, c.parentMutationId, p.time as parentTime from tr c join tr p on p.mutationId = c.parentMutationId""",
+)
 def bucketed_edges(spark, folder):
+    """The edges out of their buckets, each with the time of its parent: a join that moves the parents alone."""
     path = scratch_path(spark, "edges")
     table = "edges_" + path.rsplit("-", 1)[1]
     edges = tables.save_bucketed(_parents(spark, folder), table, path, "parentMutationId")
-    return edges.groupBy("parentMutationId").agg(F.count(F.lit(1)).alias("children"))
+    parents = mutation_tree(spark, folder).select(F.col("mutationId").alias("parentMutationId"), F.col("time").alias("parentTime"))
+    return edges.join(parents, "parentMutationId")
 
 
 @query(
@@ -403,6 +420,33 @@ def materialized(spark, folder):
     return held.select("particleId", "parentId", "mutationId")
 
 
+@query(
+    "rewritten_log",
+    f"""with {S.CHRON} select particleId, parentId, mutationId, true as refused from chron""",
+)
+def rewritten_log(spark, folder):
+    """The log is converted, worked on, and written anew with other rows under the same name: the old folder refuses it."""
+    target, out = scratch_path(spark, "converted"), scratch_path(spark, "out")
+    nobody = jobs.events.starting_snapshot(spark).limit(0)
+    half = _write_part(spark, folder)
+    jobs.convert(spark, half, target)
+    jobs.chronicle(spark, target, out, initial=nobody)
+    jobs.convert(spark, _write_log(spark, folder), target)
+    try:
+        jobs.chronicle(spark, target, out, initial=nobody)
+        refused = False
+    except ValueError:
+        refused = True
+    anew = jobs.chronicle(spark, target, scratch_path(spark, "out"), initial=nobody)
+    return anew.select("particleId", "parentId", "mutationId", F.lit(refused).alias("refused"))
+
+
+def _write_part(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "log")
+    tables.save_csv(flat_log(cell_events(spark, folder).filter("ord % 2 = 0")), path)
+    return path
+
+
 @query("not_null_rows", f"with {S.CHRON} select particleId, parentId, mutationId from chron")
 def not_null_rows(spark, folder):
     return require_not_null(chronicle(spark, folder)).select("particleId", "parentId", "mutationId")

@@ -34,9 +34,13 @@ shown as (select timePoint, case when mutationId in (select mutationId from big)
 large_final as (select * from summary where mutationCount >= {THRESHOLD})"""
 
 
-@functools.lru_cache(maxsize=None)
 def analysis(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], str]:
-    """The job's tables and their folder: run once in a session for each folder of tables."""
+    """The job's tables and their folder: run once in a session for each state of the events."""
+    return _analysis(spark, folder, jobs.files_of(spark, f"{folder}/events.parquet"))
+
+
+@functools.lru_cache(maxsize=None)
+def _analysis(spark: SparkSession, folder: str, files: str) -> tuple[dict[str, DataFrame], str]:
     lines, log, out = (scratch_path(spark, name) for name in ("log", "converted", "analysis"))
     tables.save_csv(flat_log(job_events(spark, folder)), lines)
     jobs.convert(spark, lines, log)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import muller, phylogeny, reports, snapshots, tour
-from ..runtime import pin
+from ..runtime import pin, side_by_side
 from ..schemas import PARAMS
 from . import sql_views as S
 from .from_counts import NOISE_UP_TO
@@ -77,7 +77,8 @@ def mutation_frequency(spark, folder):
 
 def summary_of(spark: SparkSession, folder: str) -> DataFrame:
     links = mutation_tree(spark, folder)
-    return phylogeny.mutation_summary(phylogeny.lineages(links), tour.tour(links), final_clones(spark, folder), links)
+    paths, tree = side_by_side(lambda: phylogeny.lineages(links), lambda: tour.tour(links))
+    return phylogeny.mutation_summary(paths, tree, final_clones(spark, folder), links)
 
 
 @query(

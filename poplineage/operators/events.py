@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import CREATED
 from ..schemas import AXES, CELL_PARAMS, EVENT_LOG, PARAM_COLUMNS, PARAMS
-from .ordered import CHUNK_BITS, chunk_of, numbered, one_window
+from .ordered import CHUNK_BITS, chunk_of, few_groups, numbered, one_window
 
 # The configuration every run starts from unless a file is given.
 START_MUTATION = 1
@@ -144,7 +144,7 @@ def event_groups(
     groups = groups.withColumn("__entry", starts(F.col("__first"), F.lag("__last", 1, 0).over(along)))
     rises = F.sum(F.col("__entry") + F.col("__inner")).over(along)
     groups = groups.select(*keys, group, (rises - F.col("__inner")).alias("__outside"))
-    offsets = ends.join(groups, [*keys, group]).select(*parts, (F.col("__inside") + F.col("__outside")).alias("__before"))
+    offsets = ends.join(few_groups(groups, keys), [*keys, group], "left").select(*parts, (F.col("__inside") + F.col("__outside")).alias("__before"))
     joined = local.join(offsets, parts, "left")
     return joined.withColumn("eventId", F.col("eventId") + F.col("__before")).drop(
         "__chunk", "__rise", "__before"

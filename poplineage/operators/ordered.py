@@ -33,6 +33,11 @@ def one_window() -> Column:
     return F.shiftright(F.shiftrightunsigned(F.col(_GROUP), 1), 63)
 
 
+def few_groups(tops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Marks the groups' table for broadcast where it has one row for each 2^34 order numbers, that is without keys."""
+    return tops if keys else F.broadcast(tops)
+
+
 def ahead(
     ends: DataFrame,
     keys: Sequence[str] = (),
@@ -60,7 +65,7 @@ def ahead(
         *[F.coalesce(F.sum(s).over(wide), F.lit(0)).alias(f"__up_{s}") for s in sums],
         *[F.last(v, ignorenulls=True).over(wide).alias(f"__up_{v}") for v in lasts],
     )
-    return local.join(tops, parts).select(
+    return local.join(few_groups(tops, keys), parts, "left").select(
         *keys,
         _CHUNK,
         *[(F.col(f"__in_{s}") + F.col(f"__up_{s}")).alias(f"__before_{s}") for s in sums],

@@ -1,24 +1,27 @@
-"""Order along a tree without paths: the Euler tour as a linked list, ranked by pointer doubling.
+"""Places along a tree without paths: subtree sizes, then preorder numbers, both by pointer doubling.
 
-Every node stands twice in the tour, where it is entered and where it is left, and each place points to the one before it. A
-round joins every place with the place it points to and adds what lies between, so the distance doubles and the rounds
-grow with the logarithm of the number of nodes, at any depth of the tree. No place is pointed to twice, so no join key
-is hot. The tour numbers the nodes densely in preorder; the subtree of a node is the range from its own number to the last
-one inside it, and sums over subtrees are differences of running sums.
+Every node points to its parent. A round replaces the pointers by those four times as far up and adds up what lies between: going up
+the tree, a node's size is added to the nodes it points to; then the offsets of a node and of the nodes above it, each of them one more
+than the sizes of the earlier siblings, are added up to its place. Rounds grow with the logarithm of the depth, rows with
+the nodes, at any shape of the tree. The subtree of a node is the range from its own place to the last one inside it, and sums over
+subtrees are differences of running sums.
 
-With ``keys`` every key has a tree of its own, and all trees are ranked in the same rounds.
+Sizes are summed before they are shuffled. Nodes that look up the same node are the left side of a left join, which AQE splits; those
+that point to the root look up nothing. Siblings are summed in chunks, so a parent of very many is no task of its own.
+
+With ``keys`` every key has a tree of its own, and all trees are worked on in the same rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import pin, pin_counted, small_table
-from .ordered import CHUNK_BITS, numbered, running_sums, with_neighbours
+from .ordered import CHUNK_BITS, numbered, running_sums
 
 ROOT = 1
 HOPS = 3
@@ -28,44 +31,41 @@ class BrokenTree(RuntimeError):
     """Some mutations cannot be reached from the root."""
 
 
-def _places(edges: DataFrame, root: int, keys: Sequence[str], descending: bool, bits: int) -> DataFrame:
-    """(keys, node, leaves, to, to_leaves, nodes, levels): each place with the place before it.
+def _look_up(rows: DataFrame, table: DataFrame, pointer: str, names: Mapping[str, str], root: int, keys: Sequence[str]) -> DataFrame:
+    """Adds columns of the row of ``table`` that ``pointer`` names; a row that points to none is dropped.
 
-    ``nodes`` counts the nodes entered between the two, ``levels`` the levels gone down; the first place of a tree
-    points nowhere.
+    Rows that point nowhere, or to the root, look for a partner under their own number, which none has, and get nulls.
     """
-    node = F.col("mutationId")
-    beside = {"__sibling": node}
-    # Siblings in order: the one before a node is the next larger id where larger ids come first.
-    beside = {"following" if descending else "previous": beside}
-    joined = with_neighbours(edges, [*keys, "parentMutationId"], "mutationId", bits=bits, **beside)
-    has = F.col("__sibling").isNotNull()
-    enter = joined.select(
-        *keys,
-        node.alias("node"),
-        F.lit(False).alias("leaves"),
-        F.coalesce("__sibling", "parentMutationId").alias("to"),
-        has.alias("to_leaves"),
-    )
-    last_child = (F.min if descending else F.max)("mutationId").alias("__last")
-    children = edges.groupBy(*keys, F.col("parentMutationId").alias("node")).agg(last_child)
-    roots = _roots(edges, root, keys)
-    nodes = edges.select(*keys, node.alias("node")).unionByName(roots)
-    leave = nodes.join(children, [*keys, "node"], "left").select(
-        *keys,
-        "node",
-        F.lit(True).alias("leaves"),
-        F.coalesce("__last", "node").alias("to"),
-        F.col("__last").isNotNull().alias("to_leaves"),
-    )
-    first = roots.select(*keys, "node", F.lit(False).alias("leaves"), F.lit(None).cast("long").alias("to"), F.lit(False).alias("to_leaves"))
-    entered = F.col("to").isNotNull() & ~F.col("to_leaves")
-    return enter.unionByName(leave).unionByName(first).withColumns(
-        {
-            "nodes": entered.cast("long"),
-            "levels": F.when(F.col("to").isNull(), 0).when(entered, 1).otherwise(-1).cast("long"),
-        }
+    there, held = F.col(pointer), rows.columns
+    over = there.isNull() | (there == root)
+    marked = rows.select("*", F.when(over, F.col("node")).otherwise(there).alias("__key"), over.alias("__over"))
+    ahead = table.select(
+        *keys, F.col("node").alias("__key"), F.lit(False).alias("__over"), *[F.col(c).alias(out) for c, out in names.items()], F.lit(True).alias("__met")
     )
+    joined = marked.join(ahead, [*keys, "__key", "__over"], "left").filter("__over or __met")
+    return joined.select(*held, *names.values())
+
+
+def _sizes(edges: DataFrame, root: int, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(keys, node, size) of the nodes that are tied to the root, and how many of them there are."""
+    first = edges.select(*keys, F.col("mutationId").alias("node"), F.col("parentMutationId").alias("up"))
+    first = first.unionByName(_roots(edges, root, keys).withColumn("up", F.lit(None).cast("long")))
+    open_, held = F.count("up").alias("open"), F.count(F.lit(1)).alias("all")
+    table, counted = pin_counted(first.withColumn("size", F.lit(1).cast("long")), "sizes", open_, held)
+    # Nodes still on the way after so many rounds are on a cycle, or below one.
+    rounds = max(1, math.ceil(math.log(max(2, counted["all"]), HOPS + 1))) + 1
+    pointers = [f"__up_{k}" for k in range(1, HOPS + 2)]
+    while counted["open"] and rounds:
+        rounds -= 1
+        far = table.withColumnRenamed("up", pointers[0])
+        for here, there in zip(pointers, pointers[1:]):
+            far = _look_up(far, table, here, {"up": there}, root, keys)
+        below = far.select(*keys, F.explode(F.array_compact(F.array(*pointers[:-1]))).alias("node"), "size")
+        below = below.groupBy(*keys, "node").agg(F.sum("size").alias("__below"))
+        grown = far.join(below, [*keys, "node"], "left")
+        step = grown.select(*keys, "node", F.col(pointers[-1]).alias("up"), (F.col("size") + F.coalesce("__below", F.lit(0))).alias("size"))
+        table, counted = pin_counted(step, "sizes", open_, held)
+    return table.filter("up is null").select(*keys, "node", "size"), counted["all"] - counted["open"]
 
 
 def _roots(edges: DataFrame, root: int, keys: Sequence[str]) -> DataFrame:
@@ -75,50 +75,20 @@ def _roots(edges: DataFrame, root: int, keys: Sequence[str]) -> DataFrame:
     return edges.sparkSession.range(1).select(number)
 
 
-def _hop(rows: DataFrame, every: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each place with the one that ``every`` has where it pointed to; a place that points to none of the tour is dropped.
-
-    Places that have arrived point nowhere and stay: they look for a partner under their own number, which none has.
-    """
-    arrived = F.col("to").isNull()
-    spread = rows.withColumns({"__to": F.coalesce("to", "node"), "__arrived": arrived})
-    ahead = every.select(
-        *keys,
-        F.col("node").alias("__to"),
-        F.col("leaves").alias("to_leaves"),
-        F.lit(False).alias("__arrived"),
-        *[F.col(c).alias(f"__next_{c}") for c in ("to", "to_leaves", "nodes", "levels")],
-    )
-    joined = spread.join(ahead, [*keys, "__to", "to_leaves", "__arrived"], "left").filter(arrived | F.col("__next_nodes").isNotNull())
-    return joined.select(
-        *keys,
-        "node",
-        "leaves",
-        F.col("__next_to").alias("to"),
-        F.coalesce("__next_to_leaves", "to_leaves").alias("to_leaves"),
-        *[(F.col(c) + F.coalesce(f"__next_{c}", F.lit(0))).alias(c) for c in ("nodes", "levels")],
-    )
-
-
-def _ranked(places: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every place that is tied to the first one of its tree, with the nodes and levels before it.
-
-    The places before the last table are reached in hops of its length: with three of them a round goes four times as far.
-    """
-    every, counted = pin_counted(places, "tour", F.count(F.lit(1)).alias("all"))
-    done, live = [every.filter("to is null")], every.filter("to is not null")
-    # Places still on the way after so many rounds are on a cycle.
-    for _ in range((counted["all"].bit_length() + 1) // 2 + 1):
-        step = live
-        for _ in range(HOPS):
-            step = _hop(step, every, keys)
-        step, held = pin_counted(step, "tour", F.count("to").alias("open"))
-        done.append(step.filter("to is null"))
-        live = step.filter("to is not null")
-        if not held["open"]:
-            break
-        every = functools.reduce(DataFrame.unionByName, [*done, live])
-    return functools.reduce(DataFrame.unionByName, done).select(*keys, "node", "leaves", "nodes", "levels")
+def _places(offsets: DataFrame, root: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, node, pre, size, depth): offsets and levels added up along the way to the root."""
+    open_ = F.count("up").alias("open")
+    table, counted = pin_counted(offsets, "places", open_)
+    sums = ("pre", "depth")
+    while counted["open"]:
+        far = table
+        for k in range(HOPS):
+            names = {"up": "__up", **{c: f"__{c}" for c in sums}}
+            met = _look_up(far, table, "up", names, root, keys)
+            added = [(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in sums]
+            far = met.select(*keys, "node", F.col("__up").alias("up"), "size", *added)
+        table, counted = pin_counted(far, "places", open_)
+    return table
 
 
 def tour(
@@ -134,22 +104,32 @@ def tour(
     Siblings come by id, larger ids first with ``descending``. The root has place 0 and depth 0. A mutation has one
     row in ``links``. With ``strict`` mutations off the tree raise ``BrokenTree``; otherwise they have no row.
     """
-    edges, held = pin_counted(
-        links.select(*keys, "mutationId", "parentMutationId").filter(F.col("mutationId") != root),
-        "edges",
-        F.count(F.lit(1)).alias("all"),
+    edges = links.select(*keys, "mutationId", "parentMutationId").filter(F.col("mutationId") != root)
+    edges, held = pin_counted(edges, "edges", F.count(F.lit(1)).alias("all"))
+    sizes, reached = _sizes(edges, root, keys)
+    # The roots themselves are not among the edges.
+    lost = held["all"] - (reached - _roots(edges, root, keys).count() if keys else reached - 1)
+    if strict and lost > 0:
+        raise BrokenTree(f"{lost} of {held['all']} mutations are not connected to {root}")
+    # One row per node on both sides.
+    named = edges.select(*keys, F.col("mutationId").alias("node"), F.col("parentMutationId").alias("up"))
+    children = named.join(sizes, [*keys, "node"]).withColumn("__order", -F.col("node") if descending else F.col("node"))
+    along = running_sums(children, {"__upto": F.col("size")}, "__order", [*keys, "up"], bits)
+    one, nothing = F.lit(1).cast("long"), F.lit(0).cast("long")
+    offsets = along.select(
+        *keys,
+        "node",
+        F.when(F.col("up") != root, F.col("up")).alias("up"),
+        "size",
+        (F.col("__upto") - F.col("size") + 1).alias("pre"),
+        one.alias("depth"),
     )
-    places = _ranked(_places(edges, root, keys, descending, bits), keys)
-    leaves = F.col("leaves")
-    found = places.groupBy(*keys, F.col("node").alias("mutationId")).agg(
-        F.max(F.when(~leaves, F.col("nodes"))).alias("pre"),
-        (F.max(F.when(leaves, F.col("nodes"))) - 1).alias("last"),
-        F.max(F.when(~leaves, F.col("levels"))).alias("depth"),
+    tops = sizes.filter(F.col("node") == root).select(
+        *keys, "node", F.lit(None).cast("long").alias("up"), "size", nothing.alias("pre"), nothing.alias("depth")
     )
-    found, reached = pin_counted(found, "preorder", F.count_if(F.col("mutationId") != root).alias("all"))
-    if strict and reached["all"] < held["all"]:
-        raise BrokenTree(f"{held['all'] - reached['all']} of {held['all']} mutations are not connected to {root}")
-    return found
+    found = _places(offsets.unionByName(tops), root, keys)
+    last = (F.col("pre") + F.col("size") - 1).alias("last")
+    return found.select(*keys, F.col("node").alias("mutationId"), "pre", last, "depth")
 
 
 def order_among(tree: DataFrame, kept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+import concurrent.futures
 import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,24 +55,47 @@ def pin_counted(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame,
     return pinned, counted.get
 
 
+def _size(df: DataFrame) -> list[Column]:
+    """Rows, and their bytes: eight for a number, the length of strings, binaries and what else is written out."""
+    width = F.lit(0)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            width += F.coalesce(F.length(F.to_json(field.name)), F.lit(0))
+        else:
+            width += F.lit(8)
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")]
+
+
+def _is_small(rows: int, size: int, max_rows: int) -> bool:
+    return rows <= max_rows and size <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if it is counted to hold at most ``max_rows`` narrow rows.
+    """Marks ``df`` for broadcast if it is counted to hold at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes.
 
     A larger table is returned unmarked, so that the join shuffles and AQE splits hot keys.
     Pass a pinned table or one that is cheap to count.
     """
-    held = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if held <= max_rows else df
+    held = df.limit(max_rows + 1).agg(*_size(df)).first()
+    return F.broadcast(df) if _is_small(held["rows"], held["bytes"], max_rows) else df
 
 
 def small_table(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pins ``df`` and, like ``small_side``, marks it for broadcast if it is small.
 
-    Rows are counted while they are written. A task that runs twice can only raise the count,
+    Rows and bytes are counted while they are written. A task that runs twice can only raise the count,
     which at worst leaves the table unmarked.
     """
-    pinned, counted = pin_counted(df, name, F.count(F.lit(1)).alias("rows"))
-    return F.broadcast(pinned) if counted["rows"] <= max_rows else pinned
+    pinned, counted = pin_counted(df, name, *_size(df))
+    return F.broadcast(pinned) if _is_small(counted["rows"], counted["bytes"], max_rows) else pinned
+
+
+def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of builders that run jobs of their own and need nothing of each other, worked on at the same time."""
+    with concurrent.futures.ThreadPoolExecutor(len(builds)) as pool:
+        return list(pool.map(lambda build: build(), builds))
 
 
 def write_counted(df: DataFrame, path: str) -> int:

@@ -33,14 +33,29 @@ def _body(lines: DataFrame, first: int) -> DataFrame:
     return rows.filter(F.when(F.col("section").isNull(), lost).otherwise(inside))
 
 
-def _split(column: str, delimiter: str, quotation: str) -> Column:
-    """Fields between delimiters outside quotation marks; a doubled mark inside a field is one mark."""
-    if not quotation:
+def _split(column: str, delimiter: str, quotation: str, escape: str) -> Column:
+    """Fields between delimiters that are neither quoted nor escaped.
+
+    The line is matched from left to right in one pass, a delimiter and a field at a time. A doubled mark inside a field is one
+    mark, and the escape character makes the next one ordinary; a mark without its partner is ordinary too.
+    """
+    if not quotation and not escape:
         return F.split(column, re.escape(delimiter), -1)
-    q = re.escape(quotation)
-    outside = rf"{re.escape(delimiter)}(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)"
-    bare = lambda p: F.regexp_replace(F.trim(p), rf"^{q}(.*){q}$", "$1")
-    return F.transform(F.split(column, outside, -1), lambda p: F.trim(F.replace(bare(p), F.lit(quotation * 2), F.lit(quotation))))
+    d, q, e = (re.escape(c) for c in (delimiter, quotation, escape))
+    special = [c for c in (q, e) if c]
+    plain = rf"[^{d}{''.join(special)}]++"
+    parts = [plain, *([rf"{e}."] if e else []), *([rf"{q}(?:[^{''.join(special)}]++{rf'|{e}.' if e else ''}|{q}{q})*+{q}"] if q else []), *special]
+    field = rf"{d}((?:{'|'.join(parts)})*+)"
+    ordinary = "|".join([*([rf"{q}(?={q})"] if q else []), *([e] if e else [])])
+
+    def bare(part: Column) -> Column:
+        part = F.trim(part)
+        part = F.regexp_replace(part, rf"(?s)^{q}(.*){q}$", "$1") if q else part
+        return F.trim(F.regexp_replace(part, rf"(?s)(?:{ordinary})(.)", "$1"))
+
+    # Every match takes a delimiter with it, the first one as well.
+    fields = F.regexp_extract_all(F.concat(F.lit(delimiter), column), F.lit(f"(?s){field}"), F.lit(1))
+    return F.transform(fields, bare)
 
 
 def read_sections(
@@ -49,6 +64,7 @@ def read_sections(
     columns: Sequence[str] | None = None,
     delimiter: str = ",",
     quotation: str = '"',
+    escape: str = "\\",
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """``time`` and the named columns, as doubles, one row per cell.
@@ -60,7 +76,7 @@ def read_sections(
     """
     lines = _lines(spark, path, bits)
     headers = lines.filter(F.col("ord") == F.col("section") + 1).select(
-        "section", _split("value", delimiter, quotation).alias("names")
+        "section", _split("value", delimiter, quotation, escape).alias("names")
     )
     everything = columns is None
     if everything:
@@ -73,7 +89,7 @@ def read_sections(
     # One row per section.
     sections = small_table(headers.select("section", F.size("names").alias("width"), held.alias("places")), "sections")
     rows = _body(lines, 2).join(sections, "section")
-    fields = rows.select("time", "places", "width", _split("value", delimiter, quotation).alias("fields"))
+    fields = rows.select("time", "places", "width", _split("value", delimiter, quotation, escape).alias("fields"))
     wrong = F.raise_error(F.lit("a line has another number of fields than its header")).cast("boolean")
     fields = fields.filter(F.when(F.size("fields") == F.col("width"), True).otherwise(wrong))
     # Place 0 stands for a column that the section does not have.

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
 from ..operators.snapshots import cells_by_time
-from ..runtime import save_buckets
+from ..runtime import save_buckets, small_table
 from ..schemas import PARAMS
 
 
+# Rows of a file of lifetimes: about a hundred megabytes of text.
+FILE_ROWS = 1_000_000
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished job has left its marker in the folder."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
@@ -105,8 +109,23 @@ def write_scalars(stats: DataFrame, path: str) -> None:
     save_csv(stats.orderBy("timePoint").select("scalarStats.*"), path, header=False)
 
 
-def write_snapshot_folders(chronicles: DataFrame, path: str, last: float) -> None:
-    """Lifetimes that cover a whole time 0 … ``last``, ends excluded, in one CSV folder per time."""
+def dealt_by_size(rows: DataFrame, group: str, spread: str, file_rows: int) -> DataFrame:
+    """Rows laid together by ``group``, those of a large group in slices of about ``file_rows`` rows each.
+
+    The slice follows from the column ``spread``. Written by ``group``, every slice is one file, however many tasks there are.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__rows"))
+    slices = sizes.select(group, F.ceil(F.col("__rows") / F.lit(file_rows)).alias("__slices"))
+    placed = rows.join(small_table(slices, "slices"), group)
+    place = F.pmod(F.xxhash64(spread), F.col("__slices"))
+    return placed.withColumn("__slice", place).repartition(group, "__slice").drop("__slice", "__slices")
+
+
+def write_snapshot_folders(chronicles: DataFrame, path: str, last: float, file_rows: int = FILE_ROWS) -> None:
+    """Lifetimes that cover a whole time 0 … ``last``, ends excluded, in one CSV folder per time.
+
+    The number of files follows the rows: one per time and ``file_rows`` rows.
+    """
     grid = TimeGrid(float(int(max(last, 0.0))))
     rows = cells_by_time(chronicles, grid, bounds="open").select(
         F.format_string("%05d", F.col("timePoint").cast("int")).alias("snapshot"),
@@ -118,5 +137,5 @@ def write_snapshot_folders(chronicles: DataFrame, path: str, last: float) -> Non
         "mutationId",
         "cellParams.*",
     )
-    writer = rows.write.mode("overwrite").partitionBy("snapshot")
+    writer = dealt_by_size(rows, "snapshot", "particleId", file_rows).write.mode("overwrite").partitionBy("snapshot")
     writer.option("sep", ";").option("header", True).csv(f"{path}/snapshots")

@@ -127,7 +127,7 @@ def test_tour_of_a_deep_chain(spark):
     size = 100_000
     links = spark.range(2, size + 1).select(F.col("id").alias("mutationId"), (F.col("id") - 1).alias("parentMutationId"))
     tree = tour.tour(links)
-    found = tree.agg(F.count(F.lit(1)), F.count_if("pre = mutationId - 1 and depth = pre"), F.min("last"), F.max("last")).first()
+    found = tree.agg(F.count(F.lit(1)), F.count_if(F.expr("pre = mutationId - 1 and depth = pre")), F.min("last"), F.max("last")).first()
     assert tuple(found) == (size, size, size - 1, size - 1)
     clones = spark.range(1, size + 1).select(F.col("id").alias("mutationId"), F.lit(2).cast("long").alias("count"))
     counted = phylogeny.subtree_counts(clones, tree)
