@@ -57,6 +57,33 @@ def components(prints):
     return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(prints))]
 
 
+def shingles(text):
+    """The different runs of five words, or all words of a shorter text."""
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    held = lower.split()
+    size = min(5, len(held))
+    return {tuple(held[i : i + size]) for i in range(len(held) - size + 1)} if held else set()
+
+
+def near_copies(rows):
+    """Smallest id of each row's component over all pairs at 0.8 or more."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 10 * len(a & b) >= 8 * len(a | b):
+            parent[find(i)] = find(j)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc)
+    return [min(groups[find(i)]) for i in range(len(rows))]
+
+
 def without_repeats(docs, size=20):
     """(id, words, removed, kept) of different (id, text) rows, in order of id."""
     seen, out = set(), []
