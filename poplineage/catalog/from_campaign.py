@@ -30,14 +30,28 @@ def campaign_events(spark: SparkSession, folder: str) -> DataFrame:
     return cell_events(spark, folder).withColumn("run", F.concat(F.lit("seed-"), (user % RUNS).cast("string")))
 
 
+def once(build):
+    """Makes a table once in a session for each state of the events; the queries of a campaign share it."""
+    kept = functools.lru_cache(maxsize=None)(lambda spark, folder, files: build(spark, folder))
+    return lambda spark, folder: kept(spark, folder, jobs.files_of(spark, f"{folder}/events.parquet"))
+
+
+@once
 def cells_of_runs(spark: SparkSession, folder: str) -> DataFrame:
     return pin(lifetimes.chronicles(campaign_events(spark, folder), keys=RUN), "chronicles")
 
 
+@once
 def links_of(spark: SparkSession, folder: str) -> DataFrame:
     return pin(phylogeny.mutation_tree(cells_of_runs(spark, folder), RUN), "links")
 
 
+@once
+def tour_of(spark: SparkSession, folder: str) -> DataFrame:
+    return tour.tour(links_of(spark, folder), keys=RUN, strict=False)
+
+
+@once
 def _snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, timepoints.KeyedGrids]:
     cells = cells_of_runs(spark, folder)
     grid = timepoints.KeyedGrids(cells, RUN)
@@ -151,10 +165,6 @@ def campaign_lineages_levels(spark, folder):
     return _lineages(spark, folder, "levels")
 
 
-def _tour(spark: SparkSession, folder: str) -> DataFrame:
-    return tour.tour(links_of(spark, folder), keys=RUN, strict=False)
-
-
 @query(
     "campaign_preorder",
     f"""{_SQL}, inside as (select run, unnest(ancestors) as mutationId, pre as inner_pre from preorder)
@@ -162,13 +172,13 @@ def _tour(spark: SparkSession, folder: str) -> DataFrame:
     from preorder p join inside using (run, mutationId) group by 1, 2, 3, 5""",
 )
 def campaign_preorder(spark, folder):
-    return _tour(spark, folder)
+    return tour_of(spark, folder)
 
 
 @query("campaign_order", f"{_SQL}, {_BIG}, {_PLACED} select run, mutationId, ordering from placed")
 def campaign_order(spark, folder):
     large = muller.large_clones(cells_of_runs(spark, folder), LARGE, RUN)
-    return muller.large_muller_order(_tour(spark, folder), large, RUN)
+    return muller.large_muller_order(tour_of(spark, folder), large, RUN)
 
 
 @query(
@@ -185,8 +195,7 @@ def campaign_order(spark, folder):
 )
 def campaign_pivot(spark, folder):
     cells, clones, _ = _snapshots(spark, folder)
-    tree = tour.tour(phylogeny.mutation_tree(cells, RUN), keys=RUN, strict=False)
-    order = pin(muller.large_muller_order(tree, muller.large_clones(cells, LARGE, RUN), RUN), "order")
+    order = pin(muller.large_muller_order(tour_of(spark, folder), muller.large_clones(cells, LARGE, RUN), RUN), "order")
     blocks = muller.muller_pivot(clones, order, width=4, keys=RUN)
     return blocks.select(*AT, "block", joined("ids", "ids"), joined("counts", "counts"))
 
@@ -202,7 +211,7 @@ def campaign_pivot(spark, folder):
 )
 def campaign_cume_dist(spark, folder):
     cells = cells_of_runs(spark, folder)
-    order = muller.muller_order(tour.tour(phylogeny.mutation_tree(cells, RUN), keys=RUN, strict=False), RUN)
+    order = muller.muller_order(tour_of(spark, folder), RUN)
     shares = muller.muller_data(cells, order, timepoints.KeyedGrids(cells, RUN), min_cells=LARGE, keys=RUN)
     return shares.select(*AT, "mutationId", rounded("cumeDist", "cumeDist"))
 
@@ -214,18 +223,12 @@ def campaign_cume_dist(spark, folder):
 def campaign_frequency(spark, folder):
     cells, clones, grid = _snapshots(spark, folder)
     last = grid.points().groupBy(*RUN).agg(F.max("value").alias("value"))
-    tree = tour.tour(phylogeny.mutation_tree(cells, RUN), keys=RUN, strict=False)
-    return phylogeny.mutation_frequency(snapshots.clones_at_last(clones, last, RUN), tree, RUN)
+    return phylogeny.mutation_frequency(snapshots.clones_at_last(clones, last, RUN), tour_of(spark, folder), RUN)
 
 
+@once
 def analysis(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], str]:
-    """The job's tables and their folder, made once in a session for each state of the events."""
-    return _analysis(spark, folder, jobs.files_of(spark, f"{folder}/events.parquet"))
-
-
-@functools.lru_cache(maxsize=None)
-def _analysis(spark: SparkSession, folder: str, files: str) -> tuple[dict[str, DataFrame], str]:
-    """One folder of text for each run."""
+    """The job's tables and their folder, from one folder of text for each run."""
     root, out = scratch_path(spark, "campaign"), scratch_path(spark, "analysis")
     rows = pin(campaign_events(spark, folder), "rows")
     for k in range(RUNS):

@@ -46,12 +46,12 @@ def _look_up(rows: DataFrame, table: DataFrame, pointer: str, names: Mapping[str
     return joined.select(*held, *names.values())
 
 
-def _sizes(edges: DataFrame, root: int, keys: Sequence[str]) -> tuple[DataFrame, int]:
-    """(keys, node, size) of the nodes that are tied to the root, and how many of them there are."""
-    first = edges.select(*keys, F.col("mutationId").alias("node"), F.col("parentMutationId").alias("up"))
-    first = first.unionByName(_roots(edges, root, keys).withColumn("up", F.lit(None).cast("long")))
-    open_, held = F.count("up").alias("open"), F.count(F.lit(1)).alias("all")
-    table, counted = pin_counted(first.withColumn("size", F.lit(1).cast("long")), "sizes", open_, held)
+def _sizes(edges: DataFrame, roots: DataFrame, held: int, root: int, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(keys, node, size) of the nodes that are tied to the root, and how many of the ``held`` ones that are not roots."""
+    table = edges.select(*keys, F.col("mutationId").alias("node"), F.col("parentMutationId").alias("up"))
+    table = table.unionByName(roots.withColumn("up", F.lit(None).cast("long"))).withColumn("size", F.lit(1).cast("long"))
+    open_, every = F.count("up").alias("open"), F.count_if(F.col("node") != root).alias("all")
+    counted = {"open": held, "all": held}
     # Nodes still on the way after so many rounds are on a cycle, or below one.
     rounds = max(1, math.ceil(math.log(max(2, counted["all"]), HOPS + 1))) + 1
     pointers = [f"__up_{k}" for k in range(1, HOPS + 2)]
@@ -64,7 +64,7 @@ def _sizes(edges: DataFrame, root: int, keys: Sequence[str]) -> tuple[DataFrame,
         below = below.groupBy(*keys, "node").agg(F.sum("size").alias("__below"))
         grown = far.join(below, [*keys, "node"], "left")
         step = grown.select(*keys, "node", F.col(pointers[-1]).alias("up"), (F.col("size") + F.coalesce("__below", F.lit(0))).alias("size"))
-        table, counted = pin_counted(step, "sizes", open_, held)
+        table, counted = pin_counted(step, "sizes", open_, every)
     return table.filter("up is null").select(*keys, "node", "size"), counted["all"] - counted["open"]
 
 
@@ -106,9 +106,9 @@ def tour(
     """
     edges = links.select(*keys, "mutationId", "parentMutationId").filter(F.col("mutationId") != root)
     edges, held = pin_counted(edges, "edges", F.count(F.lit(1)).alias("all"))
-    sizes, reached = _sizes(edges, root, keys)
-    # The roots themselves are not among the edges.
-    lost = held["all"] - (reached - _roots(edges, root, keys).count() if keys else reached - 1)
+    roots = pin(_roots(edges, root, keys), "roots") if keys else _roots(edges, root, keys)
+    sizes, reached = _sizes(edges, roots, held["all"], root, keys)
+    lost = held["all"] - reached
     if strict and lost > 0:
         raise BrokenTree(f"{lost} of {held['all']} mutations are not connected to {root}")
     # One row per node on both sides.
