@@ -180,7 +180,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     row = end
                 shard.file.close()
 
-    files = manifest.select("shard", "file", "start").repartition(F.col("shard"))
+    # As many tasks as shards: a number that is asked for is not made smaller at run time.
+    files = manifest.select("shard", "file", "start").repartitionByRange(max(1, manifest.count()), "shard")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
