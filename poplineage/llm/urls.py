@@ -10,7 +10,9 @@ Both count tables stay whole, as Spark tables: a join finds the pieces of host n
 the other. Each different name and each different list of words is looked up once.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no words, so the prior decides; a tie
-is allowed; without URLs of a class both classes are equally likely; repeated rows count again.
+is allowed; without URLs of a class both classes are equally likely; repeated rows count again; hosts and paths may be of any
+length; letters that are not ASCII part words; without documents only URLs and seeds are counted; columns named ``host``, ``path``,
+``rule``, ``verdict``, ``words``, ``score`` or ``label`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import pin
+from ..runtime import pin, small_table
 from . import words as W
 
 #: Parameters: the longest word, the weight of a class before any URL, the part (one in so many) of the unigram counts
-#: that a seed has, and the part from which a word is looked up without a shuffle.
+#: that a seed has, the part from which a word is looked up without a shuffle, and the letters whose pieces are sent at once.
 LONGEST_WORD = 20
 SEED_PART = 1000
 HOT_PART = 1000
+PIECE_STARTS = 4096
 SMOOTHING = 1.0
 #: Parameter: words whose sites are known to be unwanted.
 SEEDS = ("adult", "bets", "casino", "pills", "spam")
@@ -145,20 +148,37 @@ def unigrams(docs: DataFrame, judged: DataFrame) -> tuple[DataFrame, int]:
     return held.union(seeds).groupBy("word").agg(F.sum("count").alias("count")), base + seed * len(SEEDS)
 
 
-def substrings_of(name: str) -> Column:
-    """The different pieces of a name that can be words."""
-    starts = F.sequence(F.lit(1), F.length(name))
-    ends = lambda s: F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length(name) - s + 1))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda n: F.substring(F.col(name), s, n)))))
+def pieces_of(names: DataFrame) -> DataFrame:
+    """(key, word): the pieces of a name that can be words, up to ``LONGEST_WORD`` letters from each of its letters.
+
+    A name is cut in runs of ``PIECE_STARTS`` letters, so that one of any length is sent in parts; a piece may come once from each.
+    Names of one key share their pieces, which does no harm: a split asks for pieces of its own name only.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, words = [], []
+            for key, name in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist()):
+                for low in range(0, len(name), PIECE_STARTS):
+                    starts = range(low, min(low + PIECE_STARTS, len(name)))
+                    found = {name[s : s + n] for s in starts for n in range(1, min(LONGEST_WORD, len(name) - s) + 1)}
+                    held += [key] * len(found)
+                    words += found
+                    if len(words) > 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+                        held, words = [], []
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+
+    return names.select("key", "name").mapInArrow(cut, "key long, word string")
 
 
 def segmented(judged: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(host, host_words) of the different hosts. Each name is split by the counts of its own pieces, which a join finds."""
     hosts = judged.select("host").distinct().select("host", F.posexplode(letters("host")).alias("at", "name"))
     hosts = pin(hosts, "hosts")
-    names = pin(hosts.select("name").distinct(), "names")
-    pieces = names.select("name", F.explode(substrings_of("name")).alias("word"))
-    known = pieces.join(counts, "word").groupBy("name").agg(F.collect_list("word").alias("words"), F.collect_list("count").alias("counts"))
+    names = pin(hosts.select("name").distinct().withColumn("key", F.xxhash64("name")), "names")
+    known = pieces_of(names).join(counts, "word").groupBy("key").agg(F.collect_list("word").alias("words"), F.collect_list("count").alias("counts"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +186,7 @@ def segmented(judged: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             held = [Segmenter(dict(zip(words or [], counts or [])), total).split(name) for name, words, counts in rows]
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(held, pa.list_(pa.string()))], ["name", "pieces"])
 
-    parts = pin(names.join(known, "name", "left").select("name", "words", "counts").mapInArrow(split, "name string, pieces array<string>"), "pieces")
+    parts = pin(names.join(known, "key", "left").select("name", "words", "counts").mapInArrow(split, "name string, pieces array<string>"), "pieces")
     placed = hosts.join(parts, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("held"))
     return placed.select("host", F.flatten("held.pieces").alias("host_words"))
 
@@ -240,7 +260,8 @@ def filter_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[Rule]) -> Dat
     judged = parsed(pages, rules)
     named = pin(with_words(judged, docs), "named")
     odds, prior, total = word_odds(pin(taught(named), "taught"))
-    scored = named.join(scores(named, odds, total), "words", "left")
+    # Equal lists of words are the left side; AQE splits them where the scores are too many to be sent to all tasks.
+    scored = named.join(small_table(scores(named, odds, total), "scores"), "words", "left")
     score = F.lit(prior) + F.coalesce("sum", F.lit(0.0))
     return scored.select(
         *[c for c in judged.columns if c != "verdict"],

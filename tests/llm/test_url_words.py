@@ -38,3 +38,15 @@ def test_whole_tables(spark):
     # one blocked and one allowed URL against two allowed ones
     known, single = found["rarename.xyz"], found["n" + code(5) + ".xyz"]
     assert known.score - single.score == pytest.approx(math.log(2 / 2) - math.log(1 / 3))
+
+
+def test_long_hosts(spark):
+    """A host of 30,000 letters is split like a short one, in time that grows with its letters."""
+    queries.importable(spark)
+    long = "bestcasino" * 3000
+    pages = spark.createDataFrame([(1, f"http://{long}/x"), (2, "http://bestcasino/x"), (3, "http://bücherbest.de/x")], "page_id long, url string")
+    docs = spark.createDataFrame([("best " * 200 + "b cher de",)], "text string")
+    found = {r.page_id: r for r in urls.filter_urls(pages, docs, ()).collect()}
+    assert found[2].words.split() == ["best", "casino", "x"]
+    assert found[1].words.split() == ["best", "casino"] * 3000 + ["x"]
+    assert {found[1].verdict, found[2].verdict} == {"block"} and "best" in found[3].words.split()
