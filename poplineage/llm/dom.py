@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import log1p
 
@@ -61,6 +62,7 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.tag, self.words, self.text = [-1], ["#page"], [()], [""]
         self.parts: list[int | None] = []
+        self.open: Counter[str] = Counter()  # open elements by name, so that a tag that ends nothing is told at once
         stack, at, size = [0], 0, len(html)
         while at < size:
             found = _TAG.search(html, at)
@@ -89,6 +91,7 @@ class Page:
                 if not end:
                     continue
             stack.append(node)
+            self.open[name] += 1
 
     def _add(self, parent: int, tag: str, words: tuple[str, ...], text: str = "") -> int:
         self.parent.append(parent)
@@ -113,10 +116,13 @@ class Page:
     def _pop_to(self, stack: list[int], depth: int) -> None:
         if any(self.tag[n] not in INLINE for n in stack[depth:]):
             self.parts.append(None)
+        self.open.subtract(self.tag[n] for n in stack[depth:])
         del stack[depth:]
 
     def _close(self, stack: list[int], name: str) -> None:
         """Ends the nearest open element of the name; an inline one only up to the block around it."""
+        if not self.open[name]:
+            return None
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag == name:
@@ -132,6 +138,8 @@ class Page:
             if name in INLINE or name in VOID:
                 return
             closes, holds = frozenset(["p"]), ("td", "th", "li", "div", "article", "section", "body", "button")
+        if not any(self.open[tag] for tag in closes):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag in closes:
