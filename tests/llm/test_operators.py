@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -244,6 +245,14 @@ def test_html(spark, forest):
     assert html.train(pages.limit(0)).margins(np.zeros((2, len(dom.FEATURES)), np.float32)).tolist() == [1.0, 1.0]
 
 
+def test_close_tags_that_end_nothing():
+    """Tags that match nothing, under very many open ones: told without a walk, so the page is read in no time."""
+    start = time.perf_counter()
+    page = dom.Page("<div>" * 20_000 + "</p>" * 20_000 + "<span>" * 20_000 + "<li>" * 5 + "end")
+    assert time.perf_counter() - start < 5 and page.text[-1] == "end"
+    assert dom.Page("<p>a<b>b</p>c</b>d").tag == ["#page", "p", "#text", "b", "#text", "#text", "#text"]
+
+
 def test_html_held_out(forest):
     """Layouts that the trees were not trained on: nearly every text run is told right, and no choice contradicts another."""
     right = total = 0
