@@ -13,7 +13,7 @@ sent along with the tasks.
 
 Defined cases: a null or empty text has no ids; strings of special tokens in a text become their ids, as the library
 does by default; ids outside the vocabulary decode to nothing; bytes that are no UTF-8 decode to U+FFFD; a column
-named as the result is replaced.
+named as the result is replaced; a very long text is a slice of its own; repeated rows are encoded one by one; no documents give no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ sentences are set again into page layouts with known parts: with and without tel
 notices, forms and reader comments around and inside the article, and with tags left open.
 
 Defined cases: a null or empty page has empty text; a page without an article gives what the trees take for one, maybe
-nothing; tags that are not closed end with their parent; nesting may be of any depth; repeated rows are extracted one by one;
+nothing; tags that are not closed end with their parent; nesting may be of any depth; repeated rows are extracted one by one; a page of any
+length is read in one walk, and close tags that end nothing cost nothing; no pages give no rows;
 columns named ``text`` and ``n_chars`` in the input are replaced.
 """
 

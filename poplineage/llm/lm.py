@@ -12,7 +12,8 @@ the factor. The score is the mean over tokens, so lengths compare.
 An n-gram that every block holds has one row per block and is summed before the shuffle, so no key is hot beyond that.
 
 Defined cases: a null or empty text has no tokens, score 0; a null ``doc_id`` and repeated rows are rows of their
-own; copies know each other, so a copied document scores high.
+own; copies know each other, so a copied document scores high; a text longer than a block is a block of its own; no documents give
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

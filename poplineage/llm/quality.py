@@ -12,7 +12,7 @@ in every run.
 Defined cases: a null or empty text has no words and fails the base rules; a null ``doc_id`` is kept as a row and is
 never trusted; repeated rows are judged one by one, each with one copy of itself taken off; without good labels every
 score is 0 and only the base rules decide; a bucket that no other document uses has ratio 0; a column named
-``llm_quality`` in the input is replaced. Names that begin with ``__llm`` are not for the input's columns.
+``llm_quality`` in the input is replaced; a very long text is a slice of its own; no documents give no rows. Names that begin with ``__llm`` are not for the input's columns.
 """
 
 from __future__ import annotations

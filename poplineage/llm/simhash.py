@@ -12,7 +12,8 @@ in the shared folder.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a null ``doc_id`` takes part
 and gets the smallest id of its component, null if the component has no other; repeated rows are rows of their own
-in one component, of which ``one_of_each`` keeps one; among rows of one id the smaller hash of the text stays. Names
+in one component, of which ``one_of_each`` keeps one; among rows of one id the smaller hash of the text stays; bits of a very long text are
+summed in pieces; no documents give no rows. Names
 that begin with ``__llm`` are not for the input's columns.
 """
 

@@ -12,7 +12,8 @@ The dictionary is trained on a bounded sample: about ``SAMPLE_DOCS`` different d
 at most ``SAMPLE_CHARS`` characters of each. Every document is written whole.
 
 Defined cases: a null or empty text has the end id alone; a null ``doc_id`` is written as the smallest long and read back as null; with too few
-documents to train on, the sample itself is the dictionary; no documents give no shard.
+documents to train on, the sample itself is the dictionary; no documents give no shard; a very long text is one frame;
+repeated rows are written one by one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

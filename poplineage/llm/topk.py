@@ -10,7 +10,8 @@ best k of a query and shard meet in a ranking at the end.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors count
 as zero in the components they lack; rows with the same id are candidates and queries of their own, ranked in
-the order of their blocks; ties go to the smaller id.
+the order of their blocks; ties go to the smaller id; no vectors, or no queries among them, give no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
