@@ -193,7 +193,8 @@ def segmented(judged: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 
 def with_words(judged: DataFrame, docs: DataFrame) -> DataFrame:
     """``judged`` with ``words``, joined by spaces, and ``label``: the rule's verdict, else whether a word of the host is a seed."""
-    hosts = segmented(judged, *unigrams(docs, judged))
+    # One host may have a third of the URLs: they are the left side, and few hosts are sent to all tasks.
+    hosts = small_table(segmented(judged, *unigrams(docs, judged)), "host-words")
     none = F.array().cast("array<string>")
     joined = judged.join(hosts, "host", "left").withColumn("host_words", F.coalesce("host_words", none))
     seeded = F.when(F.arrays_overlap("host_words", F.array(*map(F.lit, SEEDS))), "block").otherwise("allow")
