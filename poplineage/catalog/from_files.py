@@ -118,7 +118,8 @@ def _cut_log(spark: SparkSession, folder: str) -> str:
     ordered = flat_log(cell_events(spark, folder)).withColumn("at", F.monotonically_increasing_id())
     rows = numbered(ordered, ["at"], "row").drop("at")
     dealt = pin(rows.withColumn("part", F.floor(F.col("row") / parts_of(rows.count(), CUT_PARTS))), "parts")
-    written = dealt.repartitionByRange(CUT_PARTS, "part").sortWithinPartitions("row").drop("row")
+    # By part first: the writer sorts by it again otherwise, and that need not keep the order of the rows.
+    written = dealt.repartitionByRange(CUT_PARTS, "part").sortWithinPartitions("part", "row").drop("row")
     written.write.partitionBy("part").option("sep", ";").option("header", True).option("compression", "gzip").csv(f"{path}/whole")
     fs = spark._jvm.org.apache.hadoop.fs
     files = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -223,3 +223,12 @@ def test_snapshot_text_job(spark, tmp_path):
     late = done["histograms"].filter("timePoint = 1.0 and parameter = 'birthEfficiency'").first().histogram
     # The four cells at 1.0 lie outside and count neither above nor below the line.
     assert late[250] == 5 / 16 and late[500] == 11 / 16 and len(late) == 1000
+
+
+def test_rows_of_a_cut_log_keep_their_order(spark):
+    """At this size the writer's own sort by file put the rows of one file in another order."""
+    from poplineage.catalog import from_files
+
+    rows = event_log.read_events(spark, from_files._cut_log(spark, "/root/testdata/sf0.1"), "csv", cut_off=True)
+    times = rows.select("ord", "time").orderBy("ord").toArrow().column("time").to_pylist()
+    assert len(times) == 99_998 and times == sorted(times)
