@@ -26,6 +26,7 @@ columns are not read, whatever their names. Names that begin with ``__llm`` are
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -192,15 +193,20 @@ def _prefix(length: int) -> Column:
 def kept_terms(rows: DataFrame, min_docs: int = MIN_DOCS, levels: Sequence[int] = LEVELS) -> DataFrame:
     """``lang, term``: terms in at least ``min_docs`` documents of their language, refined level by level.
 
-    Kept prefixes are broadcast where they are counted to be few, and joined by shuffle beyond that.
+    Kept prefixes are broadcast where they are counted to be few, and joined by shuffle beyond that. A term shorter than
+    a level is the only one with its prefix there, so that level has counted it whole and the next ones leave it out.
     """
-    live = rows
+    live, whole = rows, []
     for k, length in enumerate(levels):
         counted = live.groupBy("lang", _prefix(length).alias("__llm_prefix")).agg(F.sum(f"lead_{k}").alias("docs"))
         kept = small_table(counted.filter(F.col("docs") >= min_docs).select("lang", "__llm_prefix"), "prefixes")
-        live = live.withColumn("__llm_prefix", _prefix(length)).join(kept, ["lang", "__llm_prefix"], "left_semi").drop("__llm_prefix")
+        size = F.length("__llm_prefix")
+        whole.append(kept.filter(size < length).select("lang", F.col("__llm_prefix").alias("term")))
+        longer = live.filter(F.length("term") >= length).withColumn("__llm_prefix", _prefix(length))
+        live = longer.join(kept.filter(size == length), ["lang", "__llm_prefix"], "left_semi").drop("__llm_prefix")
     counted = live.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
-    return counted.filter(F.col("docs") >= min_docs).select("lang", "term")
+    whole.append(counted.filter(F.col("docs") >= min_docs).select("lang", "term"))
+    return functools.reduce(DataFrame.union, whole)
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:

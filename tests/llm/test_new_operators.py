@@ -202,3 +202,18 @@ def test_line_quality_held_out(spark):
     found = queries.op11_line_quality(spark, folder).filter("held_out").join(queries.table(spark, folder, "labels"), "doc_id")
     rows = found.groupBy("quality").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
     assert len(rows) == 2 and all(r.right >= 0.95 and r.n > 100 for r in rows)
+
+
+def test_terms_shorter_than_a_level_are_settled_by_it(spark):
+    """Lengths around every level; what later levels say of a settled term is not read any more."""
+    names = [c * n for c in "ab" for n in (1, 2, 3, 4, 5, 8, 9, 16, 17, 32, 33, 50)]
+    texts = [" ".join(names[: 1 + k % len(names)]) for k in range(4 * len(names))]
+    made = divergence.term_rows(spark.createDataFrame([(t, "en", "s") for t in texts], "text string, lang string, source string"))
+    docs = Counter(w for t in texts for w in set(t.split()))
+    for least in (1, 9, 50, 90):
+        kept = [r.term.decode() for r in divergence.kept_terms(made, least).collect()]
+        assert sorted(kept) == sorted(w for w, n in docs.items() if n >= least)
+    one = [("en", b"a", 9, 9, 0, 0, 0, 0), ("en", b"abc", 9, 9, 9, 0, 0, 0), ("en", b"zz", 3, 3, 3, 3, 3, 3)]
+    sums = ", ".join(f"{s} long" for s in divergence.SUMS)
+    rows = spark.createDataFrame(one, f"lang string, term binary, {sums}")
+    assert {bytes(r.term) for r in divergence.kept_terms(rows, 5).collect()} == {b"a", b"abc"}
