@@ -53,14 +53,18 @@ def _fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(held), bitorder="little").view("<u8")[0])
 
 
+def of_texts(texts: pa.Array) -> pa.Array:
+    """Fingerprints of the whole texts of a column as signed longs."""
+    made = np.fromiter((_fingerprint(text.as_py()) for text in texts), np.uint64, len(texts))
+    return pa.array(made.view(np.int64))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tie`` (a hash of the text) and ``fp``, the fingerprint of the whole text as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            made = np.fromiter((_fingerprint(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
-            held = [batch.column("doc_id"), batch.column("tie"), pa.array(made.view(np.int64))]
+            held = [batch.column("doc_id"), batch.column("tie"), of_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(held, ["doc_id", "tie", "fp"])
 
     read = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")

@@ -27,7 +27,7 @@ LINE = np.ones(256, np.uint8)
 LINE[ord("\n")] = 0
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row behind the last, bytes, offsets of the rows) of each slice; null counts as empty."""
     if column.null_count:
         column = pc.fill_null(column, "")
@@ -40,7 +40,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, held[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
