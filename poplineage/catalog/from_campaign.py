@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import chronicles as lifetimes
 from ..operators import muller, phylogeny, snapshots, stats, timepoints, tour
 from ..plans import jobs
-from ..runtime import pin, scratch_path
+from ..runtime import pin, scratch_path, side_by_side
 from ..sources import tables
 from . import sql_views as S
 from .from_counts import SCALARS
@@ -231,8 +231,8 @@ def analysis(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], st
     """The job's tables and their folder, from one folder of text for each run."""
     root, out = scratch_path(spark, "campaign"), scratch_path(spark, "analysis")
     rows = pin(campaign_events(spark, folder), "rows")
-    for k in range(RUNS):
-        tables.save_csv(flat_log(rows.filter(F.col("run") == f"seed-{k}")), f"{root}/seed-{k}")
+    write = lambda k: tables.save_csv(flat_log(rows.filter(F.col("run") == f"seed-{k}")), f"{root}/seed-{k}")
+    side_by_side(*[functools.partial(write, k) for k in range(RUNS)])
     return jobs.campaign(spark, root, out, LARGE, connected=False), out
 
 

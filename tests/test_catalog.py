@@ -32,3 +32,18 @@ def test_same_as_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_logs_of_a_campaign_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    """Each write waits for the others, so that writing one after another would fail."""
+    import shutil
+    import threading
+
+    from poplineage.catalog import from_campaign as campaign
+
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "events.parquet")
+    meet, save = threading.Barrier(campaign.RUNS), campaign.tables.save_csv
+    monkeypatch.setattr(campaign.tables, "save_csv", lambda df, path: (meet.wait(60), save(df, path)))
+    monkeypatch.setattr(campaign.jobs, "campaign", lambda spark, root, out, *more, **options: {"root": root})
+    root = campaign.analysis(spark, str(tmp_path))[0]["root"]
+    assert spark.read.option("header", True).csv(f"{root}/*").count() == spark.read.parquet(str(tmp_path)).count()
