@@ -26,7 +26,12 @@ _LOG_SQL = f"with {S.EV} select ord, time, timeDelta, eventKind, mutationId, x,
 
 
 def flat_log(nested: DataFrame) -> DataFrame:
-    """Events in the columns of an event log; what they do not hold is infinite or 0."""
+    """``flat_rows`` of events in any order, sorted."""
+    return flat_rows(nested.orderBy("ord"))
+
+
+def flat_rows(nested: DataFrame) -> DataFrame:
+    """Events, in the order they come, in the columns of an event log; what they do not hold is infinite or 0."""
     filled = {
         **{f"position_{i}": F.col(f"position.{a}") for i, a in enumerate("xyz")},
         "mutation_id": F.col("mutationId"),
@@ -37,7 +42,7 @@ def flat_log(nested: DataFrame) -> DataFrame:
         **{c: F.col(f"cellParams.{p}") for c, p in zip(PARAM_COLUMNS, PARAMS)},
     }
     columns = [filled.get(name, F.lit(0)).alias(name) for name in EVENT_LOG.names]
-    return nested.orderBy("ord").select(*columns)
+    return nested.select(*columns)
 
 
 def _logged(nested: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def _logged(nested: DataFrame) -> DataFrame:
 
 def _write_log(spark: SparkSession, folder: str, gz: bool = False) -> str:
     path = scratch_path(spark, "log")
-    tables.save_csv(flat_log(cell_events(spark, folder)), path, compression="gzip" if gz else "none")
+    tables.save_csv(flat_rows(cell_events(spark, folder, ordered=True)), path, compression="gzip" if gz else "none")
     return path
 
 
@@ -61,7 +66,7 @@ def csv_roundtrip(spark, folder):
 def natural_file_order(spark, folder):
     """The log in folders whose names sort wrongly as text: run-8 to run-11, then run-99999 and run-100000."""
     path, names = scratch_path(spark, "log"), (8, 9, 10, 11, 99_999, 100_000)
-    placed = flat_log(cell_events(spark, folder)).withColumn("at", F.monotonically_increasing_id())
+    placed = flat_rows(cell_events(spark, folder, ordered=True)).withColumn("at", F.monotonically_increasing_id())
     rows = pin(numbered(placed, ["at"], "row").drop("at"), "rows")
     each = -(-rows.count() // len(names))
     for k, name in enumerate(names):
@@ -96,7 +101,7 @@ def log_columns(spark, folder):
 )
 def malformed_rows(spark, folder):
     """Removals are written one column short, and must be found again."""
-    log = flat_log(cell_events(spark, folder))
+    log = flat_rows(cell_events(spark, folder, ordered=True))
     cut = F.when(F.col("event_kind") == 2, F.lit(None)).otherwise(F.col("event_kind"))
     fields = [F.col(c).cast("string") for c in EVENT_LOG.names[:-1]]
     line = F.concat_ws(";", *fields, cut.cast("string"))
@@ -115,7 +120,7 @@ CUT_PARTS, CUT = 6, (1, 4)
 def _cut_log(spark: SparkSession, folder: str) -> str:
     """The log in six gzip files; two of them have lost their last eight bytes, so their rows are there but not their end."""
     path = scratch_path(spark, "cut")
-    ordered = flat_log(cell_events(spark, folder)).withColumn("at", F.monotonically_increasing_id())
+    ordered = flat_rows(cell_events(spark, folder, ordered=True)).withColumn("at", F.monotonically_increasing_id())
     rows = numbered(ordered, ["at"], "row").drop("at")
     dealt = pin(rows.withColumn("part", F.floor(F.col("row") / parts_of(rows.count(), CUT_PARTS))), "parts")
     # By part first: the writer sorts by it again otherwise, and that need not keep the order of the rows.
@@ -444,7 +449,7 @@ def rewritten_log(spark, folder):
 
 def _write_part(spark: SparkSession, folder: str) -> str:
     path = scratch_path(spark, "log")
-    tables.save_csv(flat_log(cell_events(spark, folder).filter("ord % 2 = 0")), path)
+    tables.save_csv(flat_rows(cell_events(spark, folder, ordered=True).filter("ord % 2 = 0")), path)
     return path
 
 

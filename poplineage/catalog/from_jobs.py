@@ -14,7 +14,7 @@ from ..schemas import PARAMS
 from ..sources import tables
 from . import sql_views as S
 from .from_counts import SCALARS, stats_of, unpivoted
-from .from_files import flat_log
+from .from_files import flat_rows
 from .registry import joined, plain, query, rounded
 from .views import job_cells, job_events
 
@@ -42,7 +42,7 @@ def analysis(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], st
 @functools.lru_cache(maxsize=None)
 def _analysis(spark: SparkSession, folder: str, files: str) -> tuple[dict[str, DataFrame], str]:
     lines, log, out = (scratch_path(spark, name) for name in ("log", "converted", "analysis"))
-    tables.save_csv(flat_log(job_events(spark, folder)), lines)
+    tables.save_csv(flat_rows(job_events(spark, folder, ordered=True)), lines)
     jobs.convert(spark, lines, log)
     return jobs.analyze(spark, log, out, THRESHOLD, initial=job_cells(spark, folder)), out
 

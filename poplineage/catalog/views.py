@@ -35,13 +35,19 @@ def params_of(mutation: Column) -> Column:
     return F.struct(*values)
 
 
-def cell_events(spark: SparkSession, folder: str) -> DataFrame:
-    """``events`` as a cell-event log: users are positions, a signup creates, an error removes."""
+def cell_events(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
+    """``events`` as a cell-event log: users are positions, a signup creates, an error removes.
+
+    With ``ordered`` the rows come in the order of ``ord``. They are sorted as they are read, and what follows from them
+    is worked out behind the sort: its look for bounds and its exchange have the table's own columns only.
+    """
+    rows = table(spark, folder, "events")
+    rows = rows.orderBy("event_id") if ordered else rows
     # A difference of local times, so that the session's time zone does not shift it.
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{EPOCH}', ts)")
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 2).otherwise(4)
     mutation = F.col("event_id") % EVENT_MUTATIONS + 1
-    return table(spark, folder, "events").select(
+    return rows.select(
         F.col("event_id").alias("ord"),
         (micros / F.lit(DAY_MICROS)).alias("time"),
         F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("timeDelta"),
@@ -56,13 +62,13 @@ def cell_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def job_events(spark: SparkSession, folder: str) -> DataFrame:
+def job_events(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """The log of the jobs: removals begin late, so that every mutation is there before, and a quarter of the rows are rare mutations."""
     at = F.col("ord")
     mutation = F.when(at % 4 == 0, at % 512).otherwise(at % 8) + 1
     kind = F.col("eventKind.encoded")
     late = F.struct(F.when((kind == 2) & (at < 512), 4).otherwise(kind).alias("encoded"))
-    return cell_events(spark, folder).withColumns({"mutationId": mutation, "eventKind": late, "cellParams": params_of(mutation)})
+    return cell_events(spark, folder, ordered).withColumns({"mutationId": mutation, "eventKind": late, "cellParams": params_of(mutation)})
 
 
 def job_cells(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from poplineage.catalog import QUERIES, SQL
+from poplineage.catalog import QUERIES, SQL, from_jobs
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -47,3 +47,21 @@ def test_logs_of_a_campaign_are_written_at_the_same_time(spark, tmp_path, monkey
     monkeypatch.setattr(campaign.jobs, "campaign", lambda spark, root, out, *more, **options: {"root": root})
     root = campaign.analysis(spark, str(tmp_path))[0]["root"]
     assert spark.read.option("header", True).csv(f"{root}/*").count() == spark.read.parquet(str(tmp_path)).count()
+
+
+class Caught(Exception):
+    """Carries what would have been written."""
+
+
+def test_the_log_is_sorted_before_its_columns_are_made(spark, monkeypatch):
+    """One task reads a table of one row group, so what follows from its columns belongs behind the exchange."""
+
+    def caught(rows, path):
+        raise Caught(rows)
+
+    monkeypatch.setattr(from_jobs.tables, "save_csv", caught)
+    with pytest.raises(Caught) as held:
+        from_jobs._analysis.__wrapped__(spark, FOLDER, "")
+    plan = held.value.args[0]._jdf.queryExecution().executedPlan().toString()
+    behind, ahead = plan.split("Exchange rangepartitioning")
+    assert "regexp_extract" in behind and "regexp_extract" not in ahead
