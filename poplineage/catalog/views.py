@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import pin
 from ..schemas import PARAMS
 
 # One multiplier per parameter; a mutation's parameters follow from its id.
@@ -73,7 +74,8 @@ def job_events(spark: SparkSession, folder: str, ordered: bool = False) -> DataF
 
 def job_cells(spark: SparkSession, folder: str) -> DataFrame:
     """One cell of the first mutation for each user, ahead of the rows of the log."""
-    users = table(spark, folder, "events").select("user_id").distinct()
+    # The cells are read several times, and the log is not read again for them.
+    users = pin(table(spark, folder, "events").select("user_id").distinct(), "users")
     size = users.agg(F.max("user_id") + 1).first()[0]
     mutation, user = F.lit(1).cast("long"), F.col("user_id")
     axes = [(user % 10).cast("float").alias("x"), F.expr("user_id div 10").cast("float").alias("y"), F.lit(0.0).cast("float").alias("z")]

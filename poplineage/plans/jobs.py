@@ -11,7 +11,7 @@ from ..functions.aggregates import fractions
 from ..functions.intervals import TimeGrid
 from ..operators import chronicles as lifetimes
 from ..operators import events, muller, phylogeny, reports, snapshots, stats, timepoints, tour
-from ..runtime import pin
+from ..runtime import pin, side_by_side
 from ..sources import event_log, snapshot_text, tables
 from ..sources.tables import materialize
 
@@ -127,14 +127,35 @@ def analyze(
 
     # Names of the result tables.
     cells = kept["chronicles"] = _lifetimes(spark, log, out, initial, strict, parent_rule, keys)
-    if keys:
-        grid = timepoints.KeyedGrids(cells, keys)
-        points = table("time_points", lambda: grid.points().orderBy(*keys, "value"))
+
+    def counts() -> tuple:
+        if keys:
+            grid = timepoints.KeyedGrids(cells, keys)
+            points = table("time_points", lambda: grid.points().orderBy(*keys, "value"))
+        else:
+            points = table("time_points", lambda: snapshots.time_points(cells))
+            grid = TimeGrid(points.agg(F.max("value")).first()[0])
+        clones = table("clone_snapshots", lambda: snapshots.clone_snapshots(cells, grid, keys=keys))
+        if not keys:
+            return clones, snapshots.clones_at(clones, grid.last)
         lasts = points.groupBy(*keys).agg(F.max("value").alias("value"))
-    else:
-        points = table("time_points", lambda: snapshots.time_points(cells))
-        grid = TimeGrid(points.agg(F.max("value")).first()[0])
-    clones = table("clone_snapshots", lambda: snapshots.clone_snapshots(cells, grid, keys=keys))
+        return clones, snapshots.clones_at_last(clones, lasts, keys)
+
+    def trees() -> tuple:
+        links = table("mutation_tree", lambda: phylogeny.mutation_tree(cells, keys))
+        paths, tree = side_by_side(
+            lambda: table("lineages", lambda: phylogeny.lineages(links, strict=connected, keys=keys)),
+            lambda: table("mutation_tour", lambda: tour.tour(links, keys=keys, strict=connected)),
+        )
+        return links, paths, tree
+
+    # What needs nothing of each other is worked on at the same time: after the lifetimes these are many short jobs.
+    (clones, final), (links, paths, tree), large, _ = side_by_side(
+        counts,
+        trees,
+        lambda: table("large_clones", lambda: muller.large_clones(cells, threshold, keys), by_size),
+        lambda: tables.save_csv(snapshots.final_cells(cells, keys), f"{out}/final_snapshot.csv"),
+    )
 
     def statistics(prefix: str, rows: Callable[[], DataFrame], folder: str) -> None:
         held = table(f"{prefix}stats", lambda: stats.clone_stats(rows(), at), folder)
@@ -143,27 +164,27 @@ def analyze(
         names = {"clone_": "", "major_": "major_", "noise_": "noise_"}
         tables.write_histograms(held, f"{folder}/{names[prefix]}", single_file=not keys, keys=keys)
 
-    statistics("clone_", lambda: clones, out)
-
-    links = table("mutation_tree", lambda: phylogeny.mutation_tree(cells, keys))
-    paths = table("lineages", lambda: phylogeny.lineages(links, strict=connected, keys=keys))
-    tree = table("mutation_tour", lambda: tour.tour(links, keys=keys, strict=connected))
-
-    large = table("large_clones", lambda: muller.large_clones(cells, threshold, keys), by_size)
-    order = table("large_muller_order", lambda: muller.large_muller_order(tree, large, keys), by_size)
-    statistics("major_", lambda: stats.major_and_noise(clones, large, keys)[0], by_size)
-    statistics("noise_", lambda: stats.major_and_noise(clones, large, keys)[1], by_size)
-    table("muller_data_long", lambda: muller.collapsed(clones, order, keys), by_size)
-    table("muller_data", lambda: muller.muller_pivot(clones, order, keys=keys), by_size)
-
-    tables.save_csv(snapshots.final_cells(cells, keys), f"{out}/final_snapshot.csv")
-    final = snapshots.clones_at_last(clones, lasts, keys) if keys else snapshots.clones_at(clones, grid.last)
-    table(
-        "final_mutation_freq",
-        lambda: phylogeny.mutation_frequency(final, tree, keys).orderBy(*keys, "ancestorMutationId"),
+    def growth() -> None:
+        order = table("large_muller_order", lambda: muller.large_muller_order(tree, large, keys), by_size)
+        table("muller_data_long", lambda: muller.collapsed(clones, order, keys), by_size)
+        table("muller_data", lambda: muller.muller_pivot(clones, order, keys=keys), by_size)
+
+    def frequencies() -> None:
+        found = lambda: phylogeny.mutation_frequency(final, tree, keys).orderBy(*keys, "ancestorMutationId")
+        table("final_mutation_freq", found)
+
+    def summaries() -> None:
+        summary = table("clone_counts", lambda: phylogeny.mutation_summary(paths, tree, final, links, keys))
+        table("large_final_mutations", lambda: summary.filter(F.col("mutationCount") >= threshold), by_size)
+
+    side_by_side(
+        lambda: statistics("clone_", lambda: clones, out),
+        lambda: statistics("major_", lambda: stats.major_and_noise(clones, large, keys)[0], by_size),
+        lambda: statistics("noise_", lambda: stats.major_and_noise(clones, large, keys)[1], by_size),
+        growth,
+        frequencies,
+        summaries,
     )
-    summary = table("clone_counts", lambda: phylogeny.mutation_summary(paths, tree, final, links, keys))
-    table("large_final_mutations", lambda: summary.filter(F.col("mutationCount") >= threshold), by_size)
     return kept
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 import concurrent.futures
 import contextlib
 import tempfile
+from typing import Any
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -92,7 +93,7 @@ def small_table(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(pinned) if _is_small(counted["rows"], counted["bytes"], max_rows) else pinned
 
 
-def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+def side_by_side(*builds: Callable[[], Any]) -> list[Any]:
     """Results of builders that run jobs of their own and need nothing of each other, worked on at the same time."""
     with concurrent.futures.ThreadPoolExecutor(len(builds)) as pool:
         return list(pool.map(lambda build: build(), builds))

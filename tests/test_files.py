@@ -1,12 +1,13 @@
 """Files in the formats of the pipeline, and the jobs from end to end."""
 
 import gzip
+import threading
 
 import golden
 from pyspark.sql import functions as F
 import pytest
 
-from poplineage.operators import events, muller
+from poplineage.operators import events, muller, phylogeny, snapshots
 from poplineage.plans import jobs
 from poplineage.schemas import EVENT_LOG, not_nullable, require_not_null
 from poplineage.sources import event_log, snapshot_text, tables
@@ -191,6 +192,24 @@ def test_jobs_from_log_to_reports(spark, tmp_path, log_file):
     assert reports["histogram_fractions"].count() == 5 and reports["tree_roots"].count() == 1
 
 
+def test_tables_that_need_nothing_of_each_other_are_built_at_the_same_time(spark, tmp_path, log_file, monkeypatch):
+    """Each of a group waits for the others, so that building one after another would fail."""
+    stored = str(tmp_path / "stored")
+    jobs.convert(spark, log_file, stored)
+
+    def meeting(*builders):
+        meet = threading.Barrier(len(builders))
+        for module, name in builders:
+            build = getattr(module, name)
+            monkeypatch.setattr(module, name, lambda *given, build=build, **more: (meet.wait(60), build(*given, **more))[1])
+
+    meeting((snapshots, "clone_snapshots"), (phylogeny, "mutation_tree"), (muller, "large_clones"))
+    meeting((muller, "large_muller_order"), (phylogeny, "mutation_frequency"), (phylogeny, "mutation_summary"))
+    kept = jobs.analyze(spark, stored, str(tmp_path / "out"), threshold=2, initial=golden.initial(spark))
+    assert {(r.mutationId, r.parentMutationId, r.time) for r in kept["mutation_tree"].collect()} == golden.TREE
+    assert {r.mutationId for r in kept["large_final_mutations"].collect()} == {1, 2, 3}
+
+
 def test_linear_job(spark, tmp_path, log_file):
     stored, out = str(tmp_path / "stored"), str(tmp_path / "out")
     jobs.convert(spark, log_file, stored)
