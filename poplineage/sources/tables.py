@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+import functools
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import TimeGrid
 from ..operators.snapshots import cells_by_time
-from ..runtime import save_buckets, small_table
+from ..runtime import save_buckets, side_by_side, small_table
 from ..schemas import PARAMS
 
 
@@ -90,13 +91,19 @@ def histogram_lines(stats: DataFrame, separator: str = ";") -> DataFrame:
 def write_histograms(
     stats: DataFrame, prefix: str, separator: str = ";", single_file: bool = False, keys: Sequence[str] = ()
 ) -> None:
-    """One text table per parameter, a line per time point in order; a folder for each key if there are any."""
-    for param in PARAMS:
+    """One text table per parameter, a line per time point in order; a folder for each key if there are any.
+
+    All parameters are written at the same time: each is a short job of its own.
+    """
+
+    def write(param: str) -> None:
         line = F.array_join(f"histograms.{param}", separator).alias("value")
         lines = stats.orderBy(*keys, "timePoint").select(*keys, line)
         writer = (lines.coalesce(1) if single_file else lines).write.mode("overwrite").partitionBy(*keys)
         writer.text(f"{prefix}histogram_{param}.csv")
 
+    side_by_side(*[functools.partial(write, param) for param in PARAMS])
+
 
 def read_histogram(spark: SparkSession, path: str, bins: int, separator: str = ";") -> DataFrame:
     """Lines of bins without a header as columns ``_c0`` …."""

@@ -9,7 +9,7 @@ import pytest
 
 from poplineage.operators import events, muller, phylogeny, snapshots
 from poplineage.plans import jobs
-from poplineage.schemas import EVENT_LOG, not_nullable, require_not_null
+from poplineage.schemas import EVENT_LOG, PARAMS, not_nullable, require_not_null
 from poplineage.sources import event_log, snapshot_text, tables
 
 HEADER = ";".join(EVENT_LOG.names)
@@ -210,6 +210,17 @@ def test_tables_that_need_nothing_of_each_other_are_built_at_the_same_time(spark
     assert {r.mutationId for r in kept["large_final_mutations"].collect()} == {1, 2, 3}
 
 
+def test_histograms_of_all_parameters_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    """Each file waits for the others, so that writing one after another would fail."""
+    arrays = ", ".join(f"'{p}', array({k}, {k + 1})" for k, p in enumerate(PARAMS))
+    counted = spark.sql(f"select cast(timePoint as double) as timePoint, named_struct({arrays}) as histograms from values (2), (1) as t(timePoint)")
+    meet, join = threading.Barrier(len(PARAMS)), tables.F.array_join
+    monkeypatch.setattr(tables.F, "array_join", lambda *given: (meet.wait(60), join(*given))[1])
+    tables.write_histograms(counted, f"{tmp_path}/", single_file=True)
+    for k, name in enumerate(PARAMS):
+        assert [r.value for r in spark.read.text(f"{tmp_path}/histogram_{name}.csv").collect()] == [f"{k};{k + 1}"] * 2
+
+
 def test_linear_job(spark, tmp_path, log_file):
     stored, out = str(tmp_path / "stored"), str(tmp_path / "out")
     jobs.convert(spark, log_file, stored)
