@@ -119,16 +119,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def families(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with the ``label`` of each ``fp``: the smallest fingerprint reachable over links."""
+    found = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tie``, ``fp``, ``component_id``: the smallest id reachable over links, and ``first``: whether the row stays."""
     marked = pin(fingerprints(docs), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")
     distinct = pin(marked.groupBy("fp").agg(F.min(rank).alias("rank")), "distinct")
-    found = components(links(distinct))
-    linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp")
-    )
-    return ranked(marked, pin(linked, "linked"), "fp")
+    return ranked(marked, pin(families(distinct), "linked"), "fp")
 
 
 def ranked(marked: DataFrame, linked: DataFrame, node: str) -> DataFrame:
